@@ -61,3 +61,10 @@ def fits(df: DataFrame, rows: int) -> bool:
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is (shuffled join)."""
     return F.broadcast(df) if fits(df, rows) else df
+
+
+def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Hold Arrow batches for Python to ``rows`` rows and 16 MB, so that long texts don't fill a worker's memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
