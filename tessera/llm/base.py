@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 #: ASCII white space: space and the code points 9 to 13.
 WS = " \t\n\x0b\x0c\r"
@@ -53,14 +54,14 @@ def words(col: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, GAP_RE))
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether a materialized table has at most ``rows`` rows: the proof that broadcasts need."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is (shuffled join)."""
-    return F.broadcast(df) if fits(df, rows) else df
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is (shuffled join).
+
+    The rows are counted first, which is the proof that a broadcast needs; they are kept
+    in the executors meanwhile, and what a lost executor held is computed again.
+    """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:

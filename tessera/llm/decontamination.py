@@ -74,11 +74,11 @@ def contained_items(docs: DataFrame, items: DataFrame, *, width: int = 5, thresh
     found = [F.array_distinct(F.filter(_hashes(F.col("_w"), k), lambda h, b=b: h <= b)) for k, b in sorted(bounds.items())]
     hashes = ws.select("doc_id", "_k", F.explode(F.concat(*found) if found else F.array().cast("array<bigint>")).alias("h"))
     lookup = sampled.select(F.explode("sample").alias("h"), "item_id", "size_class").distinct()
-    lookup = maybe_broadcast(materialize(lookup, "lookup"), BROADCAST_ROWS)
+    lookup = maybe_broadcast(lookup, BROADCAST_ROWS)
     pairs = hashes.join(lookup, "h").groupBy("doc_id", "_k", "item_id").count()
     pairs = materialize(pairs.select(F.col("doc_id").alias("_d"), F.col("_k").alias("_dk"), F.col("item_id").alias("_i")), "pairs")
     per_doc = pairs.groupBy("_d", "_dk").agg(F.collect_set("_i").alias("_items"))
-    per_doc = maybe_broadcast(materialize(per_doc, "per_doc"), BROADCAST_ROWS)
+    per_doc = maybe_broadcast(per_doc, BROADCAST_ROWS)
     texts = keyed.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_k").eqNullSafe(F.col("_dk")))
     texts = texts.select("doc_id", words(ascii_lower(F.col("text"))).alias("_w"), "_items")
     # A document's shingles are made once per width, whatever the number of its candidates.
@@ -96,5 +96,5 @@ def contained_items(docs: DataFrame, items: DataFrame, *, width: int = 5, thresh
 def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """``docs`` without the documents that contain an item; all columns stay."""
     leaks = contained_items(docs, items, **how).select(F.col("doc_id").alias("_leak")).distinct()
-    leaks = maybe_broadcast(materialize(leaks, "leaks"), BROADCAST_ROWS)
+    leaks = maybe_broadcast(leaks, BROADCAST_ROWS)
     return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")

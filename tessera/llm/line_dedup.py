@@ -56,7 +56,7 @@ def line_bitmaps(docs: DataFrame, *, min_docs: int = 2, min_chars: int = 1, keep
         repeated = repeated.select("h1", "h2", "first")
     else:
         repeated = repeated.select("h1", "h2")
-    repeated = maybe_broadcast(materialize(repeated, "repeated"), BROADCAST_ROWS)
+    repeated = maybe_broadcast(repeated, BROADCAST_ROWS)
     hit = lines.join(repeated, ["h1", "h2"])
     if keep == "first":
         same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_k") == F.col("first._k")) & (F.col("pos") == F.col("first.pos"))
@@ -78,7 +78,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """
     cols = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     rows = docs.select(*cols, F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("_k", F.xxhash64(F.lit(17), "text"))
-    b = maybe_broadcast(materialize(bitmaps, "bitmaps"), BROADCAST_ROWS).select(
+    b = maybe_broadcast(bitmaps, BROADCAST_ROWS).select(
         F.col("doc_id").alias("_b_doc"), F.col("_k").alias("_b_k"), "n_dropped", F.map_from_entries("dropped").alias("_dropped")
     )
     out = rows.join(b, F.col("doc_id").eqNullSafe(F.col("_b_doc")) & (F.col("_k") == F.col("_b_k")), "left")
