@@ -45,6 +45,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs.select("doc_id", "text"), model, threshold=0.3).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contained_items
 
@@ -66,7 +72,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_near_dedup, op4_toxicity, op5_html_text, op6_quality, op8_decontamination, op9_secret_scan, op10_mixing)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_near_dedup, op4_toxicity, op5_html_text, op6_quality, op7_lm_score, op8_decontamination, op9_secret_scan, op10_mixing)}
 
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
