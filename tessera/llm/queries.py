@@ -12,6 +12,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chroma import excerpts, fingerprints, render_vectors, search
+
+    media = render_vectors(_table(spark, sf_dir, "embeddings"), id_col="vec_id", vector_col="embedding")
+    probes = excerpts(media.filter("id % 20 = 0"), start_seconds=1.28, seconds=5.12)
+    return search(fingerprints(media), fingerprints(probes)).withColumnRenamed("id", "vec_id")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -72,7 +80,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_near_dedup, op4_toxicity, op5_html_text, op6_quality, op7_lm_score, op8_decontamination, op9_secret_scan, op10_mixing)}
+    return {f.__name__: f for f in (op1_chroma, op2_line_dedup, op3_near_dedup, op4_toxicity, op5_html_text, op6_quality, op7_lm_score, op8_decontamination, op9_secret_scan, op10_mixing)}
 
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
