@@ -25,7 +25,7 @@ from .base import bounded_batches
 from .labelled import fit_logistic, fold, sigmoid, training_texts
 
 #: Bound on the labelled rows that are fitted on.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 12_000
 #: Bound on the mined terms.
 MAX_TERMS = 600
 #: Lexicon voters; with the pattern voters below there are 3 ** 5 * 2 ** 6 patterns at most.
@@ -49,20 +49,16 @@ def mine_terms(rows: list[tuple[str, int]], most: int = MAX_TERMS) -> dict[str,
     size = [0, 0]
     seen: list[Counter] = [Counter(), Counter()]
     docs = [0, 0]
-    sets = []
     for text, y in rows:
-        ws, n = terms_of(text)
-        u = set(ws)
-        u.discard("")
-        sets.append((u, y))
+        u = set(terms_of(text)[0]) - {""}
         size[y] += len(u)
         docs[y] += 1
         if y:
             seen[1].update(u)
     may = {w for w, c in seen[1].items() if c >= 3}
-    for u, y in sets:
+    for text, y in rows:
         if not y:
-            seen[0].update(u & may)
+            seen[0].update(may.intersection(terms_of(text)[0]))
     if not docs[1] or not docs[0]:
         return {}
     share = size[1] / max(1, size[0] + size[1])
