@@ -13,6 +13,8 @@ strings.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,10 @@ def _strings(ws: Column, width: Column) -> Column:
     return F.when(last >= 0, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
 
+def _at_most(bound: int) -> Callable[[Column], Column]:
+    return lambda h: h <= bound  # of one parameter only: a second would be the element's place
+
+
 def item_samples(items: DataFrame, *, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """item_id, width, shingles, n_shingles, size_class and sample (least hashes) per item.
 
@@ -71,7 +77,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, width: int = 5, thresh
     bounds = {k: max(r.bound for r in classes if r.width == k) for k in {r.width for r in classes}}
     keyed = docs.select("doc_id", "text", F.xxhash64(F.lit(17), "text").alias("_k"))
     ws = keyed.select("doc_id", "_k", words(ascii_lower(F.col("text"))).alias("_w"))
-    found = [F.array_distinct(F.filter(_hashes(F.col("_w"), k), lambda h, b=b: h <= b)) for k, b in sorted(bounds.items())]
+    found = [F.array_distinct(F.filter(_hashes(F.col("_w"), k), _at_most(b))) for k, b in sorted(bounds.items())]
     hashes = ws.select("doc_id", "_k", F.explode(F.concat(*found) if found else F.array().cast("array<bigint>")).alias("h"))
     lookup = sampled.select(F.explode("sample").alias("h"), "item_id", "size_class").distinct()
     lookup = maybe_broadcast(lookup, BROADCAST_ROWS)
