@@ -130,7 +130,7 @@ def fingerprints(media: DataFrame, *, id_col: str = "id", audio_col: str = "audi
     """id, n_frames and codes (array of integers of 32 bits, as bigint) for each recording.
 
     Null, empty and unreadable recordings have no frames, and those shorter than SPAN
-    frames no codes.  Repeated rows repeat; further columns are ignored.
+    frames no codes.  Rows without id are left out; repeated rows repeat; further columns are ignored.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +139,7 @@ def fingerprints(media: DataFrame, *, id_col: str = "id", audio_col: str = "audi
             yield pd.DataFrame({"id": part["id"].to_numpy(), "n_frames": [len(f) for f in frames], "codes": [codes(f) for f in frames]})
 
     bounded_batches(media.sparkSession, 128)
-    rows = media.select(F.col(id_col).cast("long").alias("id"), F.col(audio_col).alias("audio"))
+    rows = media.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(audio_col).alias("audio"))
     return rows.mapInPandas(run, "id long, n_frames long, codes array<long>")
 
 
@@ -213,7 +213,7 @@ def excerpts(media: DataFrame, *, start_seconds: float, seconds: float, noise: f
             yield pd.DataFrame({"id": part["id"].to_numpy(), "audio": audio})
 
     bounded_batches(media.sparkSession, 128)
-    return media.select("id", "audio").mapInPandas(cut, "id long, audio binary")
+    return media.filter("id IS NOT NULL").select("id", "audio").mapInPandas(cut, "id long, audio binary")
 
 
 def render_vectors(table: DataFrame, *, id_col: str, vector_col: str, rate: int = 4_000, note_seconds: float = 0.128) -> DataFrame:
@@ -236,4 +236,5 @@ def render_vectors(table: DataFrame, *, id_col: str, vector_col: str, rate: int
             yield pd.DataFrame({"id": part["id"].to_numpy(), "audio": audio})
 
     bounded_batches(table.sparkSession, 128)
-    return table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInPandas(play, "id long, audio binary")
+    named = table.filter(F.col(id_col).isNotNull())
+    return named.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInPandas(play, "id long, audio binary")

@@ -84,11 +84,14 @@ def signatures(docs: DataFrame, *, width: int, threshold: float) -> DataFrame:
                     rows.append((len(u), int(f[0]), int(f[1]), keys.astype(np.int64), odd_sketch(s).tobytes()))
             out = pd.DataFrame(rows, columns=["n_shingles", "f1", "f2", "bands", "sketch"])
             out.insert(0, "doc_id", part["doc_id"].to_numpy())
+            out.insert(1, "named", part["named"].to_numpy())
             yield out
 
     bounded_batches(docs.sparkSession)
-    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return one.mapInPandas(sign, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary")
+    # Null ids would turn all ids of a batch into floating point numbers.
+    one = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), "text")
+    out = one.mapInPandas(sign, "doc_id long, named boolean, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary")
+    return out.withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("named")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -101,7 +104,8 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 yield pd.DataFrame({"id": part["doc_id"].iloc[a:b].to_numpy(), "codes": [u.tobytes() for u in shingle_sets(texts[a:b], width)]})
 
     wanted = maybe_broadcast(ids, BROADCAST_ROWS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(make, "id long, codes binary")
+    named = docs.filter("doc_id IS NOT NULL")
+    return named.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(make, "id long, codes binary")
 
 
 def links_between(left: list, right: list, threshold: float, bound: int) -> list[tuple[int, int]]:
@@ -209,7 +213,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8)
         found = components(links.unionByName(more))
     final = signed.join(classes.withColumnRenamed("id", "_class"), ["f1", "f2", "n_shingles"], "left")
     final = final.join(found.withColumnRenamed("id", "_class"), "_class", "left")
-    final = final.select("doc_id", "n_shingles", F.coalesce("component", "_class", "doc_id").alias("component_id"))
+    final = final.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "_class", "doc_id")).alias("component_id"))
     return final.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

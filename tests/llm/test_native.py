@@ -1,0 +1,171 @@
+"""Line dedup, decontamination, secret scans and mixing against plain Python."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import decontamination as D
+from tessera.llm import line_dedup as L
+from tessera.llm import mixing as M
+from tessera.llm import secrets as S
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, texts, source=None):
+    rows = [(i, t, "en", source[i] if source else "s", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def low(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+
+
+def kept_lines(texts, least, keep):
+    key = lambda x: low(x.strip(" \t\n\x0b\x0c\r"))
+    where = {}
+    for i, t in enumerate(texts):
+        for p, x in enumerate((t or "").split("\n")):
+            if key(x):
+                where.setdefault(key(x), []).append((i, p))
+    gone = set()
+    for at in where.values():
+        if len({i for i, _ in at}) >= least:
+            gone |= set(at[1:] if keep == "first" else at)
+    return ["\n".join(x for p, x in enumerate((t or "").split("\n")) if (i, p) not in gone) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_line_dedup(spark, keep):
+    r = random.Random(1)
+    pool = ["a b", " A B\t", "É", "é", "", "  ", "x", "y" * 300, "tail\r", "TAIL"]
+    texts = ["\n".join(r.choice(pool) for _ in range(r.randint(0, 150))) for _ in range(12)] + [None, "", "\n", "only here\nonly here", "x" * 50_000]
+    got = L.dedup_lines(docs(spark, texts), min_docs=3, keep=keep).collect()
+    want = kept_lines(texts, 3, keep)
+    for x in got:
+        assert x.text == want[x.doc_id]
+        n = len((texts[x.doc_id] or "").split("\n"))
+        assert x.n_lines == n and x.n_dropped == n - (len(want[x.doc_id].split("\n")) if want[x.doc_id] or n == 1 or x.n_dropped < n else 0)
+    assert len(got) == len(texts) and got[0].asDict().keys() >= {"lang", "source", "n_chars"}
+
+
+def test_line_dedup_edges(spark):
+    assert L.dedup_lines(docs(spark, []), min_docs=2).count() == 0
+    twice = docs(spark, ["same\nx"] * 3).withColumn("doc_id", F.lit(7)).withColumn("n_lines", F.lit("clash"))
+    got = L.dedup_lines(twice, min_docs=2, keep="none").collect()  # repeated rows of one document
+    assert [(r.n_dropped, r.text, r.n_lines) for r in got] == [(0, "same\nx", 2)] * 3
+    none = docs(spark, ["l", "l", "l"]).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
+    assert {r.text for r in L.dedup_lines(none, min_docs=3, keep="none").collect()} == {""}
+
+
+def test_decontamination_is_exact_containment(spark):
+    r = random.Random(2)
+    words = lambda n: [r.choice("abcdefghijkl") + str(r.randint(0, 30)) for _ in range(n)]
+    items = [words(n) for n in (5, 6, 8, 20, 40, 40, 3, 1)]
+    texts = []
+    for it in items:
+        for spoil in (0, 1, 3):
+            w = list(it)
+            for _ in range(min(spoil, len(w) // 6)):
+                w[r.randrange(len(w))] = "zz"
+            texts.append(" ".join(words(r.randint(0, 200)) + w + words(r.randint(0, 50))))
+    texts += ["", None, "\n\t", " ".join(items[3]).upper(), " ".join(words(5000) + items[4])]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(100, ""), (101, None), (102, "  ")], "item_id long, text string")
+    sh = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    want = {}
+    for d, t in enumerate(texts):
+        for i, it in enumerate(items):
+            k = min(5, len(it))
+            share = len(sh(it, k) & sh(low(t or "").split(), k)) / len(sh(it, k))
+            if share >= 0.8:
+                want[d, i] = share
+    found = D.contained_items(docs(spark, texts), bench).collect()
+    assert {(x.doc_id, x.item_id): pytest.approx(x.containment) for x in found} == want and want
+    clean = D.decontaminate(docs(spark, texts), bench)
+    assert {x.doc_id for x in clean.collect()} == set(range(len(texts))) - {d for d, _ in want}
+    assert D.contained_items(docs(spark, []), bench).count() == 0 == D.contained_items(docs(spark, texts), bench.limit(0)).count()
+
+
+def test_secrets(spark):
+    hexa, key = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f", "AKIA" + "ABCD2345EFGH6789"
+    texts = [
+        f'text token = "{hexa}" more', f"TOKEN = \"{hexa.upper()}\"!! on", f"api_key={hexa}", f"see {key} here", "Bearer", None, "", "card 9807915762804490 and 12.04.2020", "uuid = 123e4567-e89b-12d3-a456-426614174000 for",
+        "token = your_api_key_here", f"commit {hexa} merged", "pathword " * 5000 + f' secret = "{hexa}"', "http://www.example.com/page2/index.html",
+    ]
+    got = {(r.doc_id, r.candidate): r for r in S.scan(docs(spark, texts)).collect()}
+    secret = {k for k, r in got.items() if r.is_secret}
+    assert secret == {(0, hexa), (1, hexa.upper()), (2, hexa), (3, key), (11, hexa)}
+    assert all(0 <= r.score <= 1 for r in got.values()) and got[0, hexa].word_no == 3 and got[11, hexa].word_no == 5002
+    assert S.scan(docs(spark, [])).count() == 0 and S.scan(docs(spark, texts).select("doc_id", "text")).count() == len(got)
+
+
+def test_forest_sql_is_the_forest_and_held_out_findings_are_told(spark):
+    forest = S.train_forest(spark, S.labelled_findings(3000, seed=1))
+    rows = S.labelled_findings(800, seed=2)
+    df = spark.createDataFrame(rows, "cand string, before string, after string, path string, label int")
+    made = df.select("label", *[c.cast("double").alias(k) for k, c in S.features(F.col("cand"), F.col("before"), F.col("after"), F.col("path")).items()])
+    got = made.withColumn("score", F.expr(S.forest_sql(forest))).collect()
+
+    def walk(t, r):
+        while isinstance(t, tuple):
+            t = t[2] if r[S.FEATURES[t[0]]] <= t[1] else t[3]
+        return t
+
+    assert all(abs(r.score - sum(walk(t, r) for t in forest) / len(forest)) < 1e-9 for r in got)
+    assert sum((r.score >= 0.5) == bool(r.label) for r in got) / len(got) > 0.95
+
+
+def targets(sizes, weights, most):
+    """Sharing again and again until no source is above its cap."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    capped, total = {}, sum(sizes.values())
+    while True:
+        free = [s for s in order if s not in capped]
+        left, all_w = total - sum(capped.values()), sum(w[s] for s in free)
+        over = [s for s in free if left * w[s] / all_w > most * sizes[s]]
+        if not over:
+            return {**capped, **{s: left * w[s] / all_w for s in free}}
+        capped |= {s: most * sizes[s] for s in over}
+
+
+def test_mixing(spark):
+    r = random.Random(4)
+    names = ["a", "b", "ä", "c", None, "Z", "tiny", "empty"]
+    source = [r.choice(names[:6]) for _ in range(300)] + ["tiny"] * 2 + ["empty"]
+    texts = ["w " * r.randint(0, 40) for _ in range(300)] + ["one two", "three"] + [None]
+    plan = M.mix_plan(docs(spark, texts, source)).collect()
+    sizes = {}
+    for s, t in zip(source, texts, strict=True):
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    want, taken = targets(sizes, (5, 2, 1), 3), {}
+    for x in plan:
+        assert x.size == len((texts[x.doc_id] or "").split()) and x.source_size == sizes[x.source] and x.target == pytest.approx(want[x.source])
+        assert 0 <= x.taken <= 3 * x.size and x.taken == x.copies * x.size and (x.position is None) == (x.copies == 0)
+        taken[x.source] = taken.get(x.source, 0) + x.taken
+    assert len(plan) == len(texts) and all(abs(taken[s] - want[s]) <= 40 for s in taken)
+    again = M.mix_plan(docs(spark, texts, source).repartition(7)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, plan))
+    order = [x.position for x in M.mix(docs(spark, texts, source)).collect() if x.position is not None]
+    assert order == sorted(order)
+    assert M.mix_plan(docs(spark, [])).count() == 0 and M.mix_plan(docs(spark, [None, ""])).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_position_inverts_the_schedule(spark):
+    df = spark.range(21).select((F.col("id") / 20).alias("t"))
+    for tilt in (-1.0, 0.0, 1.0):
+        a, b = 1 - tilt / 2, tilt / 2
+        x = df.select("t", M.position(F.lit(a) * F.col("t") + F.lit(b) * F.col("t") * F.col("t"), F.lit(tilt)).alias("p")).collect()
+        assert all(r.p == pytest.approx(r.t, abs=1e-6) for r in x)
+
+
+def test_words_are_ascii_white_space_words(spark):
+    from tessera.llm.base import words
+
+    for t in ("a b", " a\t\x0bb \r\n", "", None, "a b c", "\x1c a", "x" * 10):
+        want = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        assert spark.createDataFrame([(t,)], "t string").select(words(F.col("t")).alias("w")).first().w == want
+    assert hashlib.sha256(b"").hexdigest()
