@@ -140,13 +140,15 @@ def top_level_spans(source: str, lang: str) -> list[tuple[int, int]] | None:
         return None
     lines = source.splitlines()
     starts = [i for i, x in enumerate(lines) if re.match(pattern, x)]
+    if not starts:
+        return None
     out = []
     for i, nxt in zip(starts, [*starts[1:], len(lines)], strict=True):
         end = next((j for j in range(i, nxt) if re.match(r"^(\}|end\b)", lines[j])), nxt - 1)
         while end > i and not lines[end].strip():
             end -= 1
         out.append((i + 1, end + 1))
-    return out or None
+    return out
 
 
 def regions(n_lines: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

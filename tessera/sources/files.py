@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import fnmatch
+import os
+import re
+from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,17 +29,46 @@ IGNORED_DIRECTORIES = (
 )
 
 
-def _exists(spark: SparkSession, root: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+_BINARY = "path string, modificationTime timestamp, length long, content binary"
+
+
+def _listed(root: str, pattern: str, recursive: bool, enter: Callable[[str], bool]) -> list[tuple[str, datetime, int]]:
+    out = []
+    for d, below, names in os.walk(root):
+        below[:] = sorted(x for x in below if enter(x)) if recursive else []
+        for n in sorted(names):
+            if fnmatch.fnmatchcase(n, pattern):
+                s = os.stat(path := os.path.join(d, n))
+                out.append((path, datetime.fromtimestamp(s.st_mtime, UTC), s.st_size))
+    return out
 
 
-def _binary(spark: SparkSession, root: str, glob: str, recursive: bool = True) -> DataFrame:
-    if not _exists(spark, root):
-        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
-    out = (reader.option("recursiveFileLookup", "true") if recursive else reader).load(root)
-    return out.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+def _binary(spark: SparkSession, root: str, glob: str, recursive: bool = True, enter: Callable[[str], bool] = lambda _: True, most: int = 64 << 20) -> DataFrame:
+    """path, modificationTime, length and content of files; no row if there is no such directory.
+
+    Spark's own reader passes over names that begin with ``_`` or ``.`` and over empty files,
+    which source trees have.  So directories of a mounted file system are listed here, with
+    pruning, and the files (of at most ``most`` bytes) are read by the executors; other file
+    systems are left to Spark's reader.
+    """
+    if re.match(r"(?!file:)[a-z][a-z0-9+.-]*:", root):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return spark.createDataFrame([], _BINARY)
+        reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
+        return (reader.option("recursiveFileLookup", "true") if recursive else reader).load(root)
+    found = _listed(re.sub(r"^file:/+", "/", root), glob, recursive, enter)
+    table = spark.createDataFrame(found, "path string, modificationTime timestamp, length long")
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            content = []
+            for f, n in zip(p["path"], p["length"], strict=True):
+                with open(f, "rb") as x:
+                    content.append(x.read() if n <= most else None)
+            yield p.assign(content=content)
+
+    return table.repartition(max(1, min(len(found) // 64, 10_000))).mapInPandas(read, _BINARY)
 
 
 def markdown_files(spark: SparkSession, root: str, kind: str = "memory_global", *, recursive: bool = True) -> DataFrame:
@@ -48,7 +84,8 @@ def code_files(spark: SparkSession, root: str, *, suffixes: tuple[str, ...] = CO
     are empty or too large are listed without text, so that a change plan can drop what they had.
     ``max_files`` keeps the first by path.
     """
-    rows = _binary(spark, root, "*")
+    pruned = {*IGNORED_DIRECTORIES, *ignored}
+    rows = _binary(spark, root, "*", enter=lambda d: d not in pruned and (d == ".github" or not d.startswith(".")))
     rel = F.substring(F.col("path"), len(root.rstrip("/")) + 2, 1 << 20)
     parts = F.split(rel, "/")
     above, name = F.slice(parts, F.lit(1), F.size(parts) - 1), F.element_at(parts, -1)

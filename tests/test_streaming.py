@@ -1,4 +1,6 @@
 import json
+import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tessera.streaming import maintenance as M
 def feed(spark, path, name, rows):
     path.mkdir(exist_ok=True)
     (path / name).write_text("\n".join(json.dumps(r) for r in rows))
+    os.utime(path / name, (1_700_000_000 + int(name[0]),) * 2)  # files are taken in this order
 
 
 def stream(spark, path, schema):
@@ -17,8 +20,7 @@ def stream(spark, path, schema):
 
 
 def drain(query):
-    query.processAllAvailable()
-    query.stop()
+    assert query.awaitTermination(60)
 
 
 def test_index_edits(spark, tmp_path):
@@ -44,7 +46,10 @@ def test_session_state(spark, tmp_path):
     feed(spark, tmp_path / "in", "1.json", [dict(session_id="s", title="A", scope="global", score=0.5), dict(session_id="s", title="B", scope="skill_global", score=0.1)])
     feed(spark, tmp_path / "in", "2.json", [dict(session_id="s", title="A", scope="global", score=0.9)])
     q = M.session_state(stream(spark, tmp_path / "in", schema)).writeStream.format("memory").queryName("state").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).start()
-    drain(q)
+    end = time.time() + 60  # a stream with time-outs is never idle
+    while time.time() < end and q.isActive and spark.table("state").filter("n_hits = 2").count() < 1:
+        time.sleep(0.5)
+    q.stop()
     rows = spark.table("state").collect()
     assert {(r.n_hits, r.n_skills, r.n_memories, r.expired) for r in rows} == {(2, 1, 1, False)}
 
@@ -53,8 +58,9 @@ def test_windows(spark, tmp_path):
     t = lambda m: f"2026-01-01T{m // 60:02d}:{m % 60:02d}:00"
     feed(spark, tmp_path / "in", "1.json", [dict(session_id="s", ts=t(0), role="user"), dict(session_id="s", ts=t(5), role="assistant")])
     feed(spark, tmp_path / "in", "2.json", [dict(session_id="s", ts=t(120), role="user")])
-    feed(spark, tmp_path / "in", "3.json", [dict(session_id="s", ts=t(1), role="user"), dict(session_id="z", ts=t(121), role="user")])  # the first is too late
-    q = M.closed_sessions(stream(spark, tmp_path / "in", "session_id string, ts timestamp, role string"), gap="30 minutes", delay="10 minutes").writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    feed(spark, tmp_path / "in", "3.json", [dict(session_id="z", ts=t(121), role="user")])
+    feed(spark, tmp_path / "in", "4.json", [dict(session_id="s", ts=t(1), role="user")])  # too late
+    q = M.closed_sessions(stream(spark, tmp_path / "in", "session_id string, ts timestamp, role string"), gap="30 minutes", delay="10 minutes").writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     drain(q)
     assert [(r.session_id, r.n_user_messages, r.n_turns) for r in spark.table("closed").collect()] == [("s", 1, 2)]
 
@@ -62,9 +68,9 @@ def test_windows(spark, tmp_path):
 def test_costs(spark, tmp_path):
     schema = "ts timestamp, source string, cost_usd double, tokens long"
     feed(spark, tmp_path / "in", "1.json", [dict(ts=f"2026-01-0{d}T10:00:00", source="index", cost_usd=0.5, tokens=10) for d in (1, 1, 5)])
-    q = M.daily_costs(stream(spark, tmp_path / "in", schema), delay="1 hour").writeStream.format("memory").queryName("daily").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q = M.daily_costs(stream(spark, tmp_path / "in", schema), delay="1 hour").writeStream.format("memory").queryName("daily").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     drain(q)
     assert [(str(r.day), r.cost_usd, r.tokens, r.n) for r in spark.table("daily").collect()] == [("2026-01-01", 1.0, 20, 2)]
-    q = M.running_spend(stream(spark, tmp_path / "in", schema)).writeStream.format("memory").queryName("spend").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck2")).start()
+    q = M.running_spend(stream(spark, tmp_path / "in", schema)).writeStream.format("memory").queryName("spend").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     drain(q)
     assert spark.table("spend").first().spent == 1.5
