@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_ODD_LINE = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _LINE = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -21,10 +22,17 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")
 
 
+def not_blank(c: Column) -> Column:
+    """Whether there is more than white space; stops at the first other character."""
+    return c.rlike(_SPACE.replace("[", "[^", 1))
+
+
 def split_lines(c: Column) -> Column:
     """Lines without their ends; a line end at the end of the text starts no further line."""
     cut = lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(x)
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(let(F.split(c, _LINE, -1), cut))
+    # Plain line feeds, the common case, need no regular expression.
+    parts = F.when(c.rlike(_ODD_LINE), F.split(c, _LINE, -1)).otherwise(F.split(c, "\n", -1))
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(let(parts, cut))
 
 
 def slugify(c: Column, default: str = "item", length: int = 60) -> Column:

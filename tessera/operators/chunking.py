@@ -28,7 +28,7 @@ def _windows(lines: Column, first: Column, size: int, overlap: int) -> Column:
             (s + first).cast("int").alias("start_line"), (F.least(s + size, n) + first - 1).cast("int").alias("end_line"), F.array_join(F.slice(lines, s + 1, F.lit(size)), "\n").alias("text")
         ),
     )
-    return F.filter(made, lambda w: X.strip(w["text"]) != "")
+    return F.filter(made, lambda w: X.not_blank(w["text"]))
 
 
 def chunk_lines(files: DataFrame, *, text: str = "text", size: int = CHUNK_LINES, overlap: float = OVERLAP) -> DataFrame:
@@ -58,7 +58,7 @@ def sections(body: Column, *, fence_aware: bool = False) -> Column:
     )
 
     def step(s: Column, line: Column) -> Column:
-        level = F.length(F.regexp_extract(line, _HEADING, 1))
+        level = F.when(line.startswith("#"), F.length(F.regexp_extract(line, _HEADING, 1))).otherwise(0)
         mark = line.rlike(r"^\s*(```|~~~)") if fence_aware else F.lit(False)
         heading = (level > 0) & ~s["fence"]
         pushed = F.concat(F.filter(s["stack"], lambda h: h["level"] < level), F.array(F.struct(level.cast("int").alias("level"), F.regexp_extract(line, _HEADING, 2).alias("title"))))
@@ -101,12 +101,12 @@ def chunk_markdown(files: DataFrame, *, body: str = "body", max_chars: int = MAX
     b = F.coalesce(F.col(body), F.lit(""))
 
     def pieces(s: Column) -> Column:
-        keep = lambda parts: F.filter(parts, lambda p: (X.strip(p) != "") & ((F.size(parts) <= 1) | (F.length(X.strip(p)) >= min_piece)))
+        keep = lambda parts: F.filter(parts, lambda p: X.not_blank(p) & ((F.size(parts) <= 1) | (F.length(X.strip(p)) >= min_piece)))
         return F.transform(X.let(pack_paragraphs(s["text"], max_chars), keep), lambda p: F.struct(s["path"].alias("path"), p.alias("text")))
 
     found = F.flatten(F.transform(sections(b, fence_aware=fence_aware), pieces))
     whole = F.array(F.struct(F.array().cast("array<string>").alias("path"), X.strip(b).alias("text")))
-    chunks = X.let(found, lambda x: F.when((F.size(x) == 0) & (X.strip(b) != ""), whole).otherwise(x))
+    chunks = X.let(found, lambda x: F.when((F.size(x) == 0) & X.not_blank(b), whole).otherwise(x))
     out = files.withColumn("_c", chunks).drop(*[c for c in ("chunk_idx", "heading_path", "text", "display_text") if c in files.columns and c != body])
     out = out.select("*", F.posexplode("_c").alias("chunk_idx", "_p")).drop("_c", body)
     return out.select(*[c for c in out.columns if c != "_p"], F.col("_p.path").alias("heading_path"), F.col("_p.text").alias("text"), X.breadcrumb(F.col("_p.path"), F.col("_p.text")).alias("display_text"))
