@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import bounded_batches
-from .labelled import fit_logistic, fold, sigmoid, training_texts, unlabelled_texts
+from .labelled import fit_logistic, fold, sigmoid, training_rows, unlabelled_rows
 
 #: Bounds on the labelled rows and on the unlabelled texts that are fitted on.
 MAX_LABELLED = 12_000
@@ -131,21 +131,22 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, units:
     return p[0], p[1], p[2], float(p[3][0])
 
 
-def train(positive: list[str], unlabelled: list[str], known: list[tuple[str, int]]) -> Model:
-    """The model from trusted positives and unlabelled texts; ``known`` rows set the scale of its scores."""
-    xp, xu = np.array([features(t) for t in positive]), np.array([features(t) for t in unlabelled])
-    means, scales = xu.mean(axis=0), xu.std(axis=0) + 1e-6
+def train(known: np.ndarray, y: np.ndarray, unlabelled: np.ndarray) -> Model:
+    """The model from features of labelled rows, whose positives are trusted, and of unlabelled texts.
+
+    The risk sees the positives and the unlabelled only; the labels of all known rows then
+    set the scale of the scores.
+    """
+    means, scales = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-6
     squash = lambda x: np.clip((x - means) / scales, -6, 6)
-    xp, xu = squash(xp), squash(xu)
+    xp, xu = squash(known[y == 1]), squash(unlabelled)
     prior = estimate_prior(xp, xu)
     h, hb, o, b = fit_pu(xp, xu, prior)
-    model = Model(means, scales, h, hb, o, b, prior, 1.0, 0.0)
-    y = np.array([v for _, v in known], dtype=float)
+    slope, shift = 1.0, 0.0
     if 0 < y.sum() < len(y):
-        z = raw_scores([t for t, _ in known], model)
-        w, shift = fit_logistic(z[:, None], y, l2=1e-3)
-        model = Model(means, scales, h, hb, o, b, prior, float(max(w[0], 1e-3)), shift)
-    return model
+        w, shift = fit_logistic(_forward(squash(known), h, hb, o, b)[1][:, None], y.astype(float), l2=1e-3)
+        slope = float(max(w[0], 1e-3))
+    return Model(means, scales, h, hb, o, b, prior, slope, shift)
 
 
 def raw_scores(texts: list[str | None], model: Model) -> np.ndarray:
@@ -157,12 +158,25 @@ def score_texts(texts: list[str | None], model: Model) -> np.ndarray:
     return sigmoid(raw_scores(texts, model) * model.slope + model.shift)
 
 
+def _measured(rows: DataFrame) -> list:
+    """doc_id, features and _y, if there is one, of each row; only numbers come to the driver, in an order that doesn't change."""
+
+    @F.pandas_udf("array<double>")
+    def measure(col: pd.Series) -> pd.Series:
+        return pd.Series([features(t if isinstance(t, str) else None) for t in col], dtype=object)
+
+    bounded_batches(rows.sparkSession)
+    got = rows.withColumn("x", measure("text")).drop("text").collect()
+    return sorted(got, key=lambda r: (r.doc_id, *r.x))
+
+
 def quality_model(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> Model | None:
-    """Fit on bounded samples; None without a positive or without text."""
-    known = training_texts(docs, labels, "quality", max_labelled)
-    positive = [t for t, y in known if y == 1]
-    unlabelled = unlabelled_texts(docs, max_unlabelled)
-    return train(positive, unlabelled, known) if len(positive) > 3 and unlabelled else None
+    """Fit on bounded samples; None without positives or without text."""
+    known, other = _measured(training_rows(docs, labels, "quality", max_labelled)), _measured(unlabelled_rows(docs, max_unlabelled))
+    y = np.array([r["_y"] for r in known])
+    if (y == 1).sum() < 4 or not other:
+        return None
+    return train(np.array([r.x for r in known]), y, np.array([r.x for r in other]))
 
 
 def score_quality(docs: DataFrame, model: Model | None, *, threshold: float = 0.3) -> DataFrame:
