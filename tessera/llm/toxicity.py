@@ -25,7 +25,7 @@ from .base import bounded_batches
 from .labelled import fit_logistic, fold, sigmoid, training_texts
 
 #: Bound on the labelled rows that are fitted on.
-MAX_LABELLED = 12_000
+MAX_LABELLED = 8_000
 #: Bound on the mined terms.
 MAX_TERMS = 600
 #: Lexicon voters; with the pattern voters below there are 3 ** 5 * 2 ** 6 patterns at most.
