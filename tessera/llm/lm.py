@@ -1,7 +1,9 @@
 """Language-model scores from a causal self-attention model on subword ids.
 
 A text is its words and an end.  A word is its subword ids: the first, then the inner
-ones and an end of word.  One attention model predicts all of them.  The mask lets a
+ones and an end of word.  An attention model predicts all of them, with weights of its
+own for first and for inner ids.  Its first steps are on a bounded sample of texts on the
+driver; then it passes over all training rows on the executors.  The mask lets a
 first id see the first ids of the words before it in the window, and an inner id see the
 ids of its own word; so what an inner id gets depends on its word alone, and is computed
 once per distinct word and not per occurrence.  Windows overlap: each holds some ids as
@@ -25,6 +27,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ from .labelled import fold
 FOLDS, HELD_OUT = 7, 2
 #: Classes of first ids of frequent words (the last is the end of a text, the one before takes all rarer ids), then of
 #: first ids of other words (the last takes all rarer ids); classes of inner ids (rarer ids, end of word).
-FREQUENT, OTHER, INNER = 96, 48, 384
+FREQUENT, OTHER, INNER = 96, 64, 512
 FIRST = FREQUENT + OTHER
 DIM = 16
 #: Length of a window of first ids, and how many of these are context; the same for inner ids.
@@ -42,8 +45,12 @@ WINDOW, CONTEXT = 48, 16
 INNER_WINDOW, INNER_CONTEXT = 8, 4
 #: Bound on the table of frequent words that every worker holds.
 MAX_FREQUENT = 300_000
-#: Bound on the texts that the model is trained on; all counts cover the whole corpus.
-MAX_TRAINING = 3_000
+#: Bound on the texts of the first steps on the driver; after these the model passes over all training rows.
+MAX_TRAINING = 5_000
+#: Rate of each pass's steps on the executors; every training row is in one of these passes.
+RATES = (2e-3, 7e-4)
+#: Windows that each pass sees at least, rows counted again, where the first steps haven't been on all texts.
+LEAST_WINDOWS = 32_000
 #: Characters of a word that are encoded at once; longer words are encoded in pieces.
 PIECE = 64
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -81,7 +88,7 @@ class Subwords:
 
 @dataclass
 class Attention:
-    """One layer of causal self-attention with a residual path; two heads of outputs, for first and inner ids."""
+    """Causal self-attention with a residual path: one layer and head for first ids, one (names end in 1) for inner ids."""
 
     p: dict[str, np.ndarray] = field(default_factory=dict)
 
@@ -90,20 +97,19 @@ class Attention:
         r = np.random.default_rng(seed)
         n = lambda *s, k=0.1: r.normal(0, k, s).astype(np.float32)
         d = DIM
-        return Attention(
-            {"e": n(FIRST + INNER + 1, d, k=0.3), "pos": n(WINDOW, d, k=0.02), "q": n(d, d, k=0.2), "k": n(d, d, k=0.2), "v": n(d, d, k=0.25), "o": n(d, d, k=0.25), "u0": n(d, FIRST), "b0": np.zeros(FIRST, np.float32), "u1": n(d, INNER), "b1": np.zeros(INNER, np.float32)}
-        )
+        layer = lambda m: {f"e{m}": n(FIRST + INNER + 1, d, k=0.3), f"pos{m}": n(WINDOW, d, k=0.02), f"q{m}": n(d, d, k=0.2), f"k{m}": n(d, d, k=0.2), f"v{m}": n(d, d, k=0.25), f"o{m}": n(d, d, k=0.25)}
+        return Attention(layer("") | layer("1") | {"u0": n(d, FIRST), "b0": np.zeros(FIRST, np.float32), "u1": n(d, INNER), "b1": np.zeros(INNER, np.float32)})
 
     def forward(self, ids: np.ndarray, valid: np.ndarray, scored: int, inner: bool, keep: bool = False):
         """Logits of the classes at the last ``scored`` places of each window.
 
         ``ids`` (windows, length) are inputs, ``valid`` marks those within their text.
         """
-        p, n = self.p, ids.shape[1]
-        x = np.take(p["e"], ids, axis=0)
-        x += p["pos"][:n]
+        p, n, m = self.p, ids.shape[1], "1" if inner else ""
+        x = np.take(p["e" + m], ids, axis=0)
+        x += p["pos" + m][:n]
         xq = x[:, n - scored :]
-        q, k, v = xq @ p["q"], x @ p["k"], x @ p["v"]
+        q, k, v = xq @ p["q" + m], x @ p["k" + m], x @ p["v" + m]
         s = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(DIM**-0.5)
         np.exp(np.minimum(s, np.float32(40), out=s), out=s)
         s *= np.tri(scored, n, n - scored, dtype=s.dtype)  # no id sees those ahead of it
@@ -111,7 +117,7 @@ class Attention:
         s[part] *= valid[part][:, None, :]
         s /= s.sum(axis=2, keepdims=True) + np.float32(1e-30)
         c = np.matmul(s, v)
-        h = xq + c @ p["o"]
+        h = xq + c @ p["o" + m]
         u, b = ("u1", "b1") if inner else ("u0", "b0")
         z = h.reshape(-1, DIM) @ p[u]
         z += p[b]
@@ -121,7 +127,7 @@ class Attention:
 
     def gradient(self, ids: np.ndarray, valid: np.ndarray, target: np.ndarray, weight: np.ndarray, inner: bool) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the weighted targets and its gradient."""
-        p, scored, n = self.p, target.shape[1], ids.shape[1]
+        p, scored, n, m = self.p, target.shape[1], ids.shape[1], "1" if inner else ""
         lp, x, xq, q, k, v, s, c, h = self.forward(ids, valid, scored, inner, keep=True)
         lp -= np.log(np.exp(lp).sum(axis=2, keepdims=True))
         u, b = ("u1", "b1") if inner else ("u0", "b0")
@@ -134,22 +140,41 @@ class Attention:
         flat = lambda a: a.reshape(-1, a.shape[-1])
         g = {u: flat(h).T @ flat(dz), b: flat(dz).sum(axis=0)}
         dh = dz @ p[u].T
-        g["o"] = flat(c).T @ flat(dh)
-        dc = dh @ p["o"].T
+        g["o" + m] = flat(c).T @ flat(dh)
+        dc = dh @ p["o" + m].T
         ds = np.matmul(dc, v.transpose(0, 2, 1))
         dv = np.matmul(s.transpose(0, 2, 1), dc)
         ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * np.float32(DIM**-0.5)
         dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        g["q"], g["k"], g["v"] = flat(xq).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dk @ p["k"].T + dv @ p["v"].T
-        dx[:, n - scored :] += dh + dq @ p["q"].T
-        g["e"] = np.zeros_like(p["e"])
-        np.add.at(g["e"], ids.ravel(), flat(dx))
-        g["pos"] = np.zeros_like(p["pos"])
-        g["pos"][:n] = dx.sum(axis=0)
+        g["q" + m], g["k" + m], g["v" + m] = flat(xq).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
+        dx = dk @ p["k" + m].T + dv @ p["v" + m].T
+        dx[:, n - scored :] += dh + dq @ p["q" + m].T
+        places = (ids.ravel()[:, None] * DIM + np.arange(DIM)).ravel()
+        g["e" + m] = np.bincount(places, weights=dx.ravel(), minlength=p["e" + m].size).reshape(p["e" + m].shape).astype(dx.dtype)
+        g["pos" + m] = np.zeros_like(p["pos" + m])
+        g["pos" + m][:n] = dx.sum(axis=0)
         return loss, g
 
 
+class Adam:
+    """Steps of Adam, with gradients held to a norm of 1, on parameters by name."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p = p
+        self.mom, self.var = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+        self.t = dict.fromkeys(p, 0)
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        norm = math.sqrt(sum(float((gk * gk).sum()) for gk in g.values()))
+        for k, gk in g.items():
+            gk = gk * np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
+            self.t[k] += 1
+            t = self.t[k]
+            self.mom[k] = 0.9 * self.mom[k] + 0.1 * gk
+            self.var[k] = 0.99 * self.var[k] + 0.01 * gk * gk
+            self.p[k] -= (rate * (self.mom[k] / (1 - 0.9**t)) / (np.sqrt(self.var[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+
+
 def windows(lengths: np.ndarray, window: int, context: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places in the joined inputs of sequences of these lengths: (windows, window), which are valid, which targets count.
 
@@ -191,20 +216,23 @@ class Model:
 
     BOS = FIRST + INNER
 
-    def encode(self, words: list[bytes], subwords: Subwords) -> tuple[np.ndarray, np.ndarray]:
-        """Class of the first id of words outside the table, and natural log of the rest of the word given that class."""
-        ids = [subwords(w) for w in words]
-        n = np.array([len(x) for x in ids])
+    def spelled(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs (first class, inner classes), targets (inner classes, end of word), lengths and joined ids of words."""
+        n = np.array([len(x) for x in ids], dtype=np.int64)
         flat = np.array([i for x in ids for i in x], dtype=np.int64)
         begins = np.cumsum(n) - n
-        first = flat[begins]
-        # Inputs: first class, inner classes; targets: inner classes, end of word.
         inputs = self.inner_class[flat] + FIRST
-        inputs[begins] = self.other_class[first]
-        ends = begins + n - 1
+        inputs[begins] = self.other_class[flat[begins]]
         target = np.empty(len(flat), dtype=np.int64)
         target[:-1] = self.inner_class[flat[1:]]
-        target[ends] = INNER - 1
+        target[begins + n - 1] = INNER - 1
+        return inputs, target, n, flat
+
+    def encode(self, words: list[bytes], subwords: Subwords) -> tuple[np.ndarray, np.ndarray]:
+        """Class of the first id of words outside the table, and natural log of the rest of the word given that class."""
+        inputs, target, n, flat = self.spelled([subwords(w) for w in words])
+        begins = np.cumsum(n) - n
+        first, ends = flat[begins], begins + n - 1
         within = np.zeros(len(flat))
         within[:-1] = self.inner_log[flat[1:]]
         within[ends] = 0.0
@@ -240,64 +268,121 @@ def _classes(counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return cls, np.where(cls == n - 1, np.log(np.maximum(rare, 1e-9) / max(1e-9, rare.sum())), 0.0)
 
 
-def train(texts: list[str], frequent: set[bytes], tokenizer: str = DEFAULT_TOKENIZER, *, steps: int = 2000, seed: int = 11) -> Model:
-    """Fit the attention model on a bounded list of texts (Adam, both kinds of ids in turn); ``frequent`` is the table."""
-    sub = Subwords(tokenizer)
+def train(texts: list[str], m: Model, *, steps: int = 2000, seed: int = 11) -> Model:
+    """The first steps, on a bounded list of texts (both kinds of ids in turn); ``m`` has classes and words."""
+    table, sub = _ready(m)
     docs = [words_of(t) for t in texts]
-    counted = Counter(w for d in docs for w in d)
-    ids = {w: sub(w) for w in counted}
-    first, other, inner = np.zeros(sub.n_ids), np.zeros(sub.n_ids), np.zeros(sub.n_ids)
-    for w, c in counted.items():
-        (first if w in frequent else other)[ids[w][0]] += c
-        if w not in frequent:
-            for i in ids[w][1:]:
-                inner[i] += 1
-    fc, _ = _classes(first, FREQUENT - 1)
-    oc, ol = _classes(other, OTHER)
-    ic, il = _classes(inner, INNER - 1)
-    m = Model(Attention.new(seed), fc, oc + FREQUENT, ol, ic, il, tokenizer)
-    kind = {w: int(fc[x[0]] if w in frequent else oc[x[0]] + FREQUENT) for w, x in ids.items()}
-    # Sequences of first classes with their ends, and of the inner ids of a sample of occurrences.
-    seqs = [np.array([kind[w] for w in d] + [FREQUENT - 1]) for d in docs]
-    lengths = np.array([len(s) for s in seqs])
-    target = np.concatenate(seqs) if seqs else np.zeros(0, np.int64)
-    inputs = np.empty_like(target)
-    inputs[1:] = target[:-1]
-    inputs[np.cumsum(lengths) - lengths] = Model.BOS
     r = np.random.default_rng(seed)
-    some = [w for w in counted if w not in frequent]
+    some = sorted({w for d in docs for w in d if w not in table})
     some = [some[i] for i in r.permutation(len(some))[:200_000]]
-    for w in some:
-        m.inner_share[ic[ids[w][1:]]] += 1
-    m.inner_share[INNER - 1] += len(some) + 1
-    m.inner_share /= m.inner_share.sum()
-    n2 = np.array([len(ids[w]) for w in some], dtype=np.int64)
-    flat = np.array([i for w in some for i in ids[w]], dtype=np.int64)
+    inputs, target, lengths = first_places(docs, m)
     sets = [(inputs, target, *windows(lengths, WINDOW, CONTEXT), False, 16)]
-    if len(flat):
-        b2 = np.cumsum(n2) - n2
-        in2 = ic[flat] + FIRST
-        in2[b2] = oc[flat[b2]] + FREQUENT
-        t2 = np.empty(len(flat), dtype=np.int64)
-        t2[:-1] = ic[flat[1:]]
-        t2[b2 + n2 - 1] = INNER - 1
-        sets.append((in2, t2, *windows(n2, INNER_WINDOW, INNER_CONTEXT), True, 384))
-    mom = {k: np.zeros_like(v) for k, v in m.net.p.items()}
-    var = {k: np.zeros_like(v) for k, v in m.net.p.items()}
-    t = 0
-    for step in range(steps if len(target) else 0):
+    if some:
+        inputs, target, lengths, _ = m.spelled([sub(w) for w in some])
+        sets.append((inputs, target, *windows(lengths, INNER_WINDOW, INNER_CONTEXT), True, 384))
+    adam = Adam(m.net.p)
+    for step in range(steps if docs else 0):
         rate = 6e-3 * min(1.0, (steps - step) / (0.6 * steps))
-        for x, y, at, valid, counts, is_inner, size in sets:
+        for x, y, at, valid, counts, inner, size in sets:
             i = r.integers(0, len(at), size)
-            context = at.shape[1] - counts.shape[1]
-            _, g = m.net.gradient(x[at[i]], valid[i], y[at[i][:, context:]], counts[i].astype(np.float32), is_inner)
-            t += 1
-            norm = math.sqrt(sum(float((gk * gk).sum()) for gk in g.values()))
-            for k, gk in g.items():
-                gk = gk * np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-                mom[k] = 0.9 * mom[k] + 0.1 * gk
-                var[k] = 0.99 * var[k] + 0.01 * gk * gk
-                m.net.p[k] -= (rate * (mom[k] / (1 - 0.9**t)) / (np.sqrt(var[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            adam.step(m.net.gradient(x[at[i]], valid[i], y[at[i][:, at.shape[1] - counts.shape[1] :]], counts[i].astype(np.float32), inner)[1], rate)
+    return m
+
+
+def first_places(docs: list[list[bytes]], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets and lengths of the first classes of texts, each with its end."""
+    table, sub = _ready(m)
+    other: dict[bytes, int] = {}
+
+    def kind(w: bytes) -> int:
+        i = table.get(w, -1)
+        if i >= 0:
+            return m.word_class[i]
+        if w not in other:
+            other[w] = m.other_class[sub(w)[0]]
+        return other[w]
+
+    lengths = np.array([len(d) + 1 for d in docs], dtype=np.int64)
+    target = np.array([c for d in docs for c in (*map(kind, d), FREQUENT - 1)], dtype=np.int64)
+    inputs = np.empty_like(target)
+    inputs[1:] = target[:-1]
+    inputs[np.cumsum(lengths) - lengths] = Model.BOS
+    return inputs, target, lengths
+
+
+def train_on(rows: DataFrame, model: Broadcast, net: Attention, rate: float, passes: int, *, inner: bool) -> Attention:
+    """``net`` after steps on all ``rows`` (one column: texts, or for inner ids words).
+
+    Every task goes over its rows from the same start; the results are averaged by windows.
+    """
+    start = {k: v for k, v in net.p.items() if (k.endswith("1")) == inner}
+    column = rows.columns[0]
+
+    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, here = model.value, Attention({k: v.copy() for k, v in start.items()})
+        adam, r, seen, step = Adam(here.p), np.random.default_rng(13), 0, 0
+        size = 384 if inner else 64
+        for part in parts:
+            values = [t if isinstance(t, str) else None for t in part[column]]
+            if inner:
+                x, y, lengths, _ = m.spelled([_ready(m)[1](w.encode("utf-8", "surrogatepass")) for w in values if w])
+                at, valid, counts = windows(lengths, INNER_WINDOW, INNER_CONTEXT)
+            else:
+                x, y, lengths = first_places([words_of(t) for t in values], m)
+                at, valid, counts = windows(lengths, WINDOW, CONTEXT)
+            seen += len(at)
+            for _ in range(passes):
+                order = r.permutation(len(at))
+                for i in range(0, len(order), size):
+                    j = order[i : i + size]
+                    step += 1
+                    g = here.gradient(x[at[j]], valid[j], y[at[j][:, at.shape[1] - counts.shape[1] :]], counts[j].astype(np.float32), inner)[1]
+                    adam.step(g, rate * min(1.0, step / 20))
+        if seen:
+            yield pd.DataFrame({"n": [seen], "p": [np.concatenate([here.p[k].ravel() for k in start]).astype("<f4").tobytes()]})
+
+    got = rows.mapInPandas(fit, "n long, p binary").collect()
+    if not got:
+        return net
+    total = sum(r.n for r in got)
+    mean = sum(np.frombuffer(r.p, "<f4").astype(float) * (r.n / total) for r in got)
+    cuts = np.split(mean.astype(np.float32), np.cumsum([v.size for v in start.values()])[:-1])
+    return Attention({**net.p, **{k: c.reshape(v.shape) for (k, v), c in zip(start.items(), cuts, strict=True)}})
+
+
+def id_counts(vocabulary: DataFrame, least: int | None, tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Over all words of the corpus: occurrences of first ids of frequent words (``least`` times or more) and of other
+    words, in how many other words each inner id is found (with repeats), and the number of other words."""
+    n_ids = Subwords(tokenizer).n_ids
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sub, n = Subwords(tokenizer), np.zeros((3, n_ids), dtype=np.int64)
+        for part in parts:
+            for w, c in zip(part["word"], part["c"], strict=True):
+                ids = sub(w.encode("utf-8", "surrogatepass"))
+                other = least is None or c < least
+                n[int(other), ids[0]] += c
+                if other:
+                    np.add.at(n[2], ids[1:], 1)
+        k, i = np.nonzero(n)
+        yield pd.DataFrame({"kind": k, "id": i, "n": n[k, i]})
+
+    out = np.zeros((3, n_ids))
+    for r in vocabulary.mapInPandas(count, "kind int, id int, n long").groupBy("kind", "id").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r.kind, r.id] = r.n
+    others = vocabulary.filter(F.col("c") < least).count() if least else vocabulary.count()
+    return out[0], out[1], out[2], others
+
+
+def new_model(first: np.ndarray, other: np.ndarray, inner: np.ndarray, n_other_words: int, tokenizer: str, seed: int = 11) -> Model:
+    """An untrained model whose classes and shares come from the counts of the whole corpus."""
+    fc, _ = _classes(first, FREQUENT - 1)
+    oc, ol = _classes(other, OTHER)
+    ic, il = _classes(inner, INNER - 1)
+    m = Model(Attention.new(seed), fc, oc + FREQUENT, ol, ic, il, tokenizer)
+    m.inner_share += np.bincount(ic, weights=inner, minlength=INNER)
+    m.inner_share[INNER - 1] += n_other_words
+    m.inner_share /= m.inner_share.sum()
     return m
 
 
@@ -396,18 +481,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def score_texts(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, max_frequent: int = MAX_FREQUENT, max_training: int = MAX_TRAINING) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
-
-    Learns from rows whose crc32(doc_id as text) mod 7 is not 2: counts from all of
-    them, the attention model from at most ``max_training``.  Null and empty texts are an end
-    alone.  Without rows to learn from, train_tokens is 0 and only the untrained model scores.
-    Repeated rows repeat.
-    """
+def fit_model(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, max_frequent: int = MAX_FREQUENT, max_training: int = MAX_TRAINING) -> tuple[Model, Broadcast, DataFrame, int, int]:
+    """The model of the rows that aren't held out, its broadcast tables, the vocabulary, and the numbers of tokens and of distinct ones."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    held = fold(F.col("doc_id"), FOLDS) == HELD_OUT
-    learned = docs.filter(~held)
+    learned = docs.filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     vocabulary = materialize(word_counts(learned), "vocabulary")
     n_texts = learned.count()
     sums = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
@@ -420,14 +498,38 @@ def score_texts(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, max_freq
             break
         least = r.c
     frequent = sorted((r.word, r.c) for r in vocabulary.filter(F.col("c") >= least).toLocalIterator()) if least else []
+    fitted = add_counts(new_model(*id_counts(vocabulary, least, tokenizer), tokenizer), frequent, total, distinct, n_texts)
     chosen = learned.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_training)
     texts = [r.text for r in sorted(learned.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").limit(2 * max_training).collect(), key=lambda r: (r.doc_id, r.text or ""))]
-    fitted = add_counts(train(texts, {w.encode("utf-8", "surrogatepass") for w, _ in frequent}, tokenizer), frequent, total, distinct, n_texts)
+    train(texts, fitted)
+    _READY.clear()
+    # All training rows and all other words, each in one of the passes.
     model = spark.sparkContext.broadcast(fitted)
+    others = vocabulary.filter(F.col("c") < least) if least else vocabulary
+    passes = 1 if n_texts <= max_training else max(1, -(-LEAST_WINDOWS * (WINDOW - CONTEXT) // max(1, total)))
+    for i, rate in enumerate(RATES):
+        turn = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(len(RATES))) == i  # noqa: B023, E731
+        fitted.net = train_on(learned.filter(turn("doc_id")).select("text"), model, fitted.net, rate, passes, inner=False)
+        fitted.net = train_on(others.filter(turn("word")).select("word"), model, fitted.net, rate, 1, inner=True)
+    return fitted, model, vocabulary, total, distinct
+
+
+def score_texts(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, max_frequent: int = MAX_FREQUENT, max_training: int = MAX_TRAINING) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
+
+    Learns from all rows whose crc32(doc_id as text) mod 7 is not 2: counts, and the
+    attention model, whose first steps are on at most ``max_training`` of them.  Null and
+    empty texts are an end alone.  Without rows to learn from, train_tokens is 0 and only the
+    untrained model scores.  Repeated rows repeat.
+    """
+    fitted, model, vocabulary, total, distinct = fit_model(docs, tokenizer=tokenizer, max_frequent=max_frequent, max_training=max_training)
+    net = fitted.net
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = model.value
+        m.net = net
         for part in parts:
-            got = score_batch([t if isinstance(t, str) else None for t in part.pop("text")], model.value)
+            got = score_batch([t if isinstance(t, str) else None for t in part.pop("text")], m)
             out = part.assign(**{k: [g[i] for g in got] for i, k in enumerate(("n_tokens", "n_known", "base_score", "score"))})
             out["rare"] = [[{"word": w.decode("utf-8", "replace"), "spelled": [a for a, _ in x], "any": [b for _, b in x]} for w, x in g[4].items()] for g in got]
             yield out

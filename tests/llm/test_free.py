@@ -200,6 +200,19 @@ def test_language_model(spark, sf):
     assert len(got) == len(texts)
 
 
+def test_language_model_learns_from_all_rows(spark):
+    one, two = "red green blue pink ", "north east south west "
+    rows = spark.createDataFrame([(i, (one if i % 2 else two) * 12) for i in range(400)], DOCS)
+    held = lm.score_texts(rows, max_training=1).filter("held_out").toPandas()
+    each = held.score / held.n_tokens
+    # The single text of the first steps has one of the two patterns; the other is learned from the rest.
+    assert (each[held.doc_id % 2 == 0].mean() > -0.3) and (each[held.doc_id % 2 == 1].mean() > -0.3)
+    texts = [f"common {'only ' * (i == 7)}" for i in range(40)]
+    m = lm.fit_model(spark.createDataFrame(list(enumerate(texts)), DOCS), max_training=1, max_frequent=1)[0]
+    sub = lm.Subwords(lm.DEFAULT_TOKENIZER)
+    assert m.first_class[sub(b"common")[0]] == 0 and m.other_class[sub(b"only")[0]] == lm.FREQUENT and m.n_other == 1
+
+
 def test_windows_score_every_id_once_and_gradients_are_right():
     lengths = np.array([1, 40, 33, 7, 100])
     at, valid, counts = lm.windows(lengths, 48, 16)
