@@ -45,6 +45,8 @@ WINDOW, CONTEXT = 48, 16
 INNER_WINDOW, INNER_CONTEXT = 8, 4
 #: Bound on the table of frequent words that every worker holds.
 MAX_FREQUENT = 300_000
+#: One in so many distinct words, at least, isn't in the table: the rarest, from which the spelling of others is learned.
+SPELLED = 10
 #: Bound on the texts of the first steps on the driver; after these the model passes over all training rows.
 MAX_TRAINING = 5_000
 #: Rate of each pass's steps on the executors; every training row is in one of these passes.
@@ -490,7 +492,9 @@ def fit_model(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, max_freque
     n_texts = learned.count()
     sums = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     total, distinct = int(sums.n) + n_texts, int(sums.v) + (n_texts > 0)
-    # The least count for which the words that reach it fit the table: from the counts of counts.
+    # The least count for which the words that reach it fit the table: from the counts of counts.  The rarest tenth
+    # of the words stays outside at any size, so that spellings are learned from it.
+    max_frequent = min(max_frequent, int(sums.v) * (SPELLED - 1) // SPELLED)
     least, running = None, 0
     for r in sorted(vocabulary.groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r.c):
         running += r.k

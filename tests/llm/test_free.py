@@ -202,8 +202,8 @@ def test_language_model(spark, sf):
 
 def test_language_model_learns_from_all_rows(spark):
     one, two = "red green blue pink ", "north east south west "
-    rows = spark.createDataFrame([(i, (one if i % 2 else two) * 12) for i in range(400)], DOCS)
-    held = lm.score_texts(rows, max_training=1).filter("held_out").toPandas()
+    rows = spark.createDataFrame([(i, (one if i % 2 else two) * 12 + f"odd{i}" * (i < 20)) for i in range(400)], DOCS)
+    held = lm.score_texts(rows, max_training=1).filter("held_out AND doc_id >= 20").toPandas()
     each = held.score / held.n_tokens
     # The single text of the first steps has one of the two patterns; the other is learned from the rest.
     assert (each[held.doc_id % 2 == 0].mean() > -0.3) and (each[held.doc_id % 2 == 1].mean() > -0.3)
@@ -213,6 +213,18 @@ def test_language_model_learns_from_all_rows(spark):
     assert m.first_class[sub(b"common")[0]] == 0 and m.other_class[sub(b"only")[0]] == lm.FREQUENT and m.n_other == 1
 
 
+def test_spelling_is_learned_at_every_size(spark):
+    r = random.Random(5)
+    often = [f"w{i}" for i in range(20)]
+    texts = [" ".join(r.choice(often) for _ in range(30)) + " " + "".join(r.choice(["qua", "zor", "bli"]) for _ in range(4)) for _ in range(150)]
+    m = lm.fit_model(spark.createDataFrame(list(enumerate(texts)), DOCS))[0]
+    assert m.n_other > 0 and len(m.words.split(b"\n")) >= 20
+    assert np.abs(m.net.p["b1"]).max() > 0.1 and (m.net.p["b0"][lm.FREQUENT :] > m.net.p["b0"][: lm.FREQUENT].min()).any()
+    _, seen = m.encode([b"quazorblizor"], lm.Subwords(m.tokenizer))
+    _, odd = m.encode([b"x7#kjq@vv!pw"], lm.Subwords(m.tokenizer))
+    assert seen[0] > odd[0] + 5
+
+
 def test_windows_score_every_id_once_and_gradients_are_right():
     lengths = np.array([1, 40, 33, 7, 100])
     at, valid, counts = lm.windows(lengths, 48, 16)
