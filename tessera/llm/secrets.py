@@ -32,6 +32,11 @@ DICTIONARY = (
     "branch change default example sample dummy placeholder password secret token your here insert replace xxxx todo none null "
     "true false type size time date year month page view read write open close start stop begin end first last next order line"
 ).split()
+#: Issued formats anywhere in a word, and all values of a word that isn't one name and one value: those, and runs between signs.
+ISSUED_RE = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)?|AIza[0-9A-Za-z_-]{30,})"
+VALUES_RE = ISSUED_RE + r"|(?:(?!" + ISSUED_RE + r")[A-Za-z0-9+/_.\-]){8,}(?:={0,2}(?![A-Za-z0-9+/_.\-]))?"
+#: The name that a value is assigned to, at the end of the text before it.
+NAME_RE = r"([A-Za-z0-9_.\-]+)[\"'`]?(?:=+>?|:=?)+[\"'`(<\[{]*$"
 FEATURES = ("n_chars", "digits", "uppers", "lowers", "others", "shifts", "mixed", "distinct", "dictionary", "hex", "slashes", "announced", "assigned", "other_words", "path_test", "issued")
 
 #: Bound on the labelled findings that the forest is grown on.
@@ -180,8 +185,10 @@ def train_forest(spark: SparkSession, findings: list | None = None) -> list:
 
 
 def candidates(docs: DataFrame, *, path_col: str | None = "source") -> DataFrame:
-    """doc_id, word_no, candidate, before, after, path for each word that looks like a key.
+    """doc_id, word_no, candidate, before, after, path for each value in a word that looks like a key.
 
+    A word of one name and one value gives that value; any other word gives all its issued
+    formats and runs between signs, each with the name before it.
     A candidate has 16 characters or more with a digit and a letter among them, or 8 or
     more after an announcing word and an assignment sign, or a documented format.
     """
@@ -192,14 +199,22 @@ def candidates(docs: DataFrame, *, path_col: str | None = "source") -> DataFrame
     likely = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.get("_w", i).rlike(r"^.*[A-Za-z0-9+/_.=\-]{8}"))
     one = ws.withColumn("word_no", F.explode(F.filter(likely, lambda i: F.get("_w", i).rlike("[0-9]") | F.array_join(F.slice("_w", F.greatest(i - 1, F.lit(1)), F.least(i + 1, F.lit(3))), " ").rlike(ANNOUNCE_RE))))
     w = F.get("_w", F.col("word_no"))
-    inner = F.regexp_extract(w, WORD_PARTS_RE, 1)
+    inner, value = F.regexp_extract(w, WORD_PARTS_RE, 1), F.regexp_extract(w, WORD_PARTS_RE, 2)
+    named = lambda name: F.when(name != "", F.concat(name, F.lit("="))).otherwise("")
+    found = lambda cand, name: F.struct(cand.alias("cand"), named(name).alias("own"))
+    # Values are marked off: every second piece is one, and the pieces ahead of it are the text before it.
+    one = one.withColumn("_p", F.split(F.regexp_replace(F.translate(w, "\x01", ""), VALUES_RE, "\x01$0\x01"), "\x01"))
+    places = F.when(F.size("_p") > 2, F.sequence(F.lit(1), F.size("_p") - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    each = F.transform(places, lambda i: found(F.get("_p", i), F.regexp_extract(F.array_join(F.slice("_p", F.lit(1), i), ""), NAME_RE, 1)))
+    simple = (value != "") & (value.rlike(PREFIX_RE) | ~value.rlike(ISSUED_RE))
+    one = one.withColumn("_v", F.explode(F.when(simple, F.array(found(value, inner))).otherwise(each)))
     pre = F.array_join(F.slice("_w", F.greatest(F.col("word_no") - 2, F.lit(1)), F.least("word_no", F.lit(3))), " ")
     out = one.select(
         "doc_id",
         F.col("word_no").cast("long").alias("word_no"),
-        F.regexp_extract(w, WORD_PARTS_RE, 2).alias("candidate"),
+        F.col("_v.cand").alias("candidate"),
         F.when(F.col("word_no") > 0, pre).otherwise("").alias("_pre"),
-        F.when(inner != "", F.concat(inner, F.lit("="))).otherwise("").alias("_own"),
+        F.col("_v.own").alias("_own"),
         F.array_join(F.slice("_w", F.col("word_no") + 2, F.lit(2)), " ").alias("after"),
         "path",
     ).withColumn("before", F.trim(F.concat_ws(" ", "_pre", "_own")))

@@ -102,6 +102,14 @@ def test_secrets(spark):
     assert S.scan(docs(spark, [])).count() == 0 and S.scan(docs(spark, texts).select("doc_id", "text")).count() == len(got)
 
 
+def test_secrets_inside_words(spark):
+    key, two = "ghp_" + "a1B2c3D4" * 5, "ghp_" + "Z9y8X7w6" * 5
+    texts = [f'connect("{key}")', f"https://x.org/p?token={key}&u=1", f'{{"id":1,"api_key":"{key}"}}', f"https://{key}@host/a.git", f"a={key};b=2", f"a={key};b={two}"]
+    got = S.scan(docs(spark, texts)).filter("is_secret").collect()
+    assert sorted((r.doc_id, r.candidate) for r in got) == sorted([(i, key) for i in range(6)] + [(5, two)])
+    assert {r.doc_id: r.before for r in got if r.candidate == key}[2] == "api_key="
+
+
 def test_forest_sql_is_the_forest_and_held_out_findings_are_told(spark):
     forest = S.train_forest(spark, S.labelled_findings(3000, seed=1))
     rows = S.labelled_findings(800, seed=2)
