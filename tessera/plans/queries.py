@@ -309,7 +309,7 @@ def state_merge(spark, sf):
 @query
 def slugify(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", X.slugify(F.substring("text", 1, 200)).alias("slug"))
+    return d.select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
 
 @query

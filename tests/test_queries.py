@@ -45,3 +45,8 @@ def test_query(spark, sf, duck, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["vec_id", "scope", "score"]
+
+
+def test_slugify_reads_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "é" * 250 + " Late Words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.slug for r in plans.QUERIES["slugify"](spark, str(tmp_path)).collect()] == ["late-words"]
