@@ -44,7 +44,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How often each document is taken and where it stands in training, sorted by that position."""
-    return mix(docs, weights=(5, 2, 1), max_repeats=3).select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "position")
+    return mix(docs, weights=(5, 2, 1), max_repeats=3).select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "position", "positions")
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontamination", benchmark), ("mixing", mixture)]

@@ -66,13 +66,13 @@ def position(demand: Column, tilt: Column) -> Column:
 
 
 def mix_plan(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken, position.
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken, position, positions.
 
     size counts the words of the text (null: 0).  Every document of a source is taken
     ``floor(target / source_size)`` times, and those whose middle lies in the first part of
     the source's order once more, so that the source's words miss its target by half a
     document at most.  position is where the first copy stands, from 0 to 1; null if none
-    is taken.  The order is that of md5(doc_id), doc_id, size, so reruns agree; rows that
+    is taken; positions has one for every copy, ascending.  The order is that of md5(doc_id), doc_id, size, so reruns agree; rows that
     are equal in all of these change places without effect.  An empty table gives an empty one.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -103,6 +103,8 @@ def mix_plan(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), max_rep
         "copies",
         (F.col("copies") * F.col("size")).cast("long").alias("taken"),
         F.when(F.col("copies") > 0, position(F.least(demand, F.lit(1.0)), F.col("tilt"))).alias("position"),
+        # The copy after j whole rounds of the source stands where the demand reaches that round's words.
+        F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies").cast("int") - 1), lambda j: position(F.least(demand + j * F.col("source_size") / F.col("target"), F.lit(1.0)), F.col("tilt")))).otherwise(F.array().cast("array<double>")).alias("positions"),
         "_t",
     )
 
@@ -111,3 +113,10 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """``mix_plan`` sorted by position through range partitions; documents not taken come last."""
     plan = materialize(mix_plan(docs, **how), "mix")
     return plan.repartitionByRange(F.asc_nulls_last("position"), "doc_id").sortWithinPartitions(F.asc_nulls_last("position"), "doc_id")
+
+
+def mix_copies(docs: DataFrame, **how) -> DataFrame:
+    """One row per copy of each document taken, with copy (from 0) and its own position, sorted by that through range partitions."""
+    plan = materialize(mix_plan(docs, **how), "mix")
+    each = plan.drop("position").select("*", F.posexplode("positions").alias("copy", "position")).drop("positions")
+    return each.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")

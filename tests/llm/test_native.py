@@ -162,6 +162,19 @@ def test_mixing(spark):
     assert M.mix_plan(docs(spark, [])).count() == 0 and M.mix_plan(docs(spark, [None, ""])).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_every_copy_has_a_position(spark):
+    frame = docs(spark, ["w " * 10] * 60 + ["x " * 10] * 600, ["a"] * 60 + ["b"] * 600)
+    got = M.mix_copies(frame, weights=(5, 1)).collect()
+    plan = {r.doc_id: r for r in M.mix_plan(frame, weights=(5, 1)).collect()}
+    assert len(got) == sum(r.copies for r in plan.values()) and [r.position for r in got] == sorted(r.position for r in got)
+    assert all(len(r.positions) == r.copies and r.positions == sorted(r.positions) and r.positions[:1] == ([r.position] if r.copies else []) for r in plan.values())
+    # Source a is taken three times and rises over training; its copies reach to the end.
+    a = [r.position for r in got if r.source == "a"]
+    assert len(a) == 180 and max(a) > 0.98
+    for t in (0.25, 0.5, 0.75):
+        assert sum(p <= t for p in a) / 180 == pytest.approx(0.5 * t + 0.5 * t * t, abs=0.02)
+
+
 def test_position_inverts_the_schedule(spark):
     df = spark.range(21).select((F.col("id") / 20).alias("t"))
     for tilt in (-1.0, 0.0, 1.0):
