@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,28 +22,91 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes up to which a table may be broadcast, as its copy in the executors measures.
+BROADCAST_BYTES = 64 << 20
+#: Rows of one key from which a join sends that key's other side to all tasks instead of its rows to one.
+HOT_ROWS = 1_000
+#: Tasks over which a salted join deals the rows of a key.
+SALTS = 8
+
+#: What the blocks of ``scratch`` that are open have written or cached, innermost last.
+_OPEN: list[list[DataFrame]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set."""
+    """The folder that all executors share.
+
+    Where ``spark.checkpoint.dir`` is unset it is one under the warehouse; on a master of one
+    machine, whose tasks share its disk, a temporary one.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
+    if path:
+        return path
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
         path = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path
+    else:
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tessera"
+    spark.sparkContext.setCheckpointDir(path)
+    return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, *, outlive: bool = False) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs the tasks it ran, not the job.
-    The files go when the driver's file system closes.
+    This cuts the lineage: a lost executor costs the tasks it ran, not the job.  The files go
+    with ``release``, at the end of the innermost open ``scratch`` (with ``outlive`` of the one
+    around it), or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _file(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    if len(_OPEN) > outlive:
+        _OPEN[-1 - outlive].append(out)
+    return out
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of materialized frames, or drop the copies of cached ones; they can't be read after."""
+    for df in frames:
+        path = getattr(df, "_written", None)
+        if path:
+            fs, at = _file(df.sparkSession, path)
+            fs.delete(at, True)
+        else:
+            df.unpersist()
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is materialized or cached inside goes at the end; materialize what is to outlast it outside."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        release(*_OPEN.pop())
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that no column of the frames has, whatever the case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    i, out = 0, f"_tessera_{name}"
+    while out.lower() in taken:
+        i, out = i + 1, f"_tessera_{name}_{i}"
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def ascii_lower(col: Column) -> Column:
@@ -54,14 +120,36 @@ def words(col: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, GAP_RE))
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is (shuffled join).
+def maybe_broadcast(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows and ``size`` bytes, else as it is (shuffled join).
 
-    The rows are counted first, which is the proof that a broadcast needs; they are kept
+    It is counted and measured first, which is the proof that a broadcast needs; it is kept
     in the executors meanwhile, and what a lost executor held is computed again.
     """
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(df) if df.count() <= rows else df
+    if _OPEN:
+        _OPEN[-1].append(df)
+    few = df.count() <= rows
+    # The plan of a new query over the cached copy knows the copy's true size.
+    return F.broadcast(df) if few and int(df.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= size else df
+
+
+def salted_join(many: DataFrame, few: DataFrame, on: str, salts: int = SALTS) -> DataFrame:
+    """Inner join of ``many`` with ``few``, which has one row per key: every key's rows are dealt over ``salts`` tasks, and its one row is sent to each."""
+    salt = unused("salt", many, few)
+    dealt = many.withColumn(salt, F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int"))
+    return dealt.join(few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [on, salt]).drop(salt)
+
+
+def hot_join(many: DataFrame, few: DataFrame, on: str, *, count: str = "n", rows: int = 200_000) -> DataFrame:
+    """Inner join of ``many`` with ``few``, which has one row per key and in ``count`` how many rows of ``many`` the key has.
+
+    Keys of HOT_ROWS rows or more are few; their rows stay where they are and the side of one
+    row a key is sent to them, so that no task gets a whole key.  The others are joined by shuffle.
+    """
+    hot = maybe_broadcast(few.filter(F.col(count) >= HOT_ROWS), rows)
+    cold = many.join(hot.select(on), on, "left_anti").join(few.filter(F.col(count) < HOT_ROWS), on)
+    return many.join(hot, on).unionByName(cold)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:

@@ -5,35 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialize
+from .base import materialize, release, salted_join
 
 
 def _toward_least(pairs: DataFrame, *, larger: bool) -> DataFrame:
     """One star contraction: neighbours of each node join the least node among it and them.
 
     ``larger`` joins the neighbours that exceed the node, else those below it and the node
-    itself.  Minima are pre-aggregated, and a node of many neighbours is joined back, never
-    gathered.
+    itself.  Minima are pre-aggregated; a node of many neighbours is never gathered, and the
+    join back with its minimum is salted, so that no task has all of them.
     """
     if larger:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("_m")).withColumn("_m", F.least("_m", "a"))
-        return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
+        return salted_join(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
     down = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
     least = down.groupBy("a").agg(F.min("b").alias("_m"))
-    joined = down.join(least, "a").filter("b > _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
+    joined = salted_join(down, least, "a").filter("b > _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
     return joined.unionByName(least.select("a", F.col("_m").alias("b"))).distinct()
 
 
 def components(pairs: DataFrame, *, rounds: int = 60) -> DataFrame:
-    """(id, component): for every node of the pairs (a, b) the least node that it reaches."""
+    """(id, component): for every node of the pairs (a, b) the least node that it reaches.
+
+    Every round is written, and the round before it deleted.  ``rounds`` is a bound on rounds, of
+    which a graph needs about the logarithm of its longest path squared; more is an error.
+    """
     edges = materialize(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     digest = lambda e: e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
     before = digest(edges)
     for _ in range(rounds):
         if not before.n:
             break
-        edges = materialize(_toward_least(_toward_least(edges, larger=True), larger=False), "edges")
+        new = materialize(_toward_least(_toward_least(edges, larger=True), larger=False), "edges")
+        release(edges)
+        edges = new
         now = digest(edges)
         if now == before:
             break

@@ -15,27 +15,17 @@ def fold(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """doc_id, text and _y of up to ``most`` labelled rows outside the held-out fold, chosen by hash of the id.
+    """doc_id, text and _y of up to ``most`` labelled documents outside the held-out fold, chosen by hash of the id.
 
     The labels are sorted by hash with a bounded heap in each task, and only the chosen ids
-    are joined with the texts; ``most`` bounds that side.
+    are joined with the texts; ``most`` bounds that side.  A doc_id counts once: of repeated
+    labels the highest, of repeated rows the least text.
     """
     usable = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
-    chosen = usable.select("doc_id", F.col(label).cast("int").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * most)
-
-
-def training_texts(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list[tuple[str, int]]:
-    """(text, label) of ``training_rows``, in an order that doesn't change."""
-    got = training_rows(docs, labels, label, most).collect()
-    got.sort(key=lambda r: (r.doc_id, r.text or "", r["_y"]))
-    return [(r.text or "", int(r["_y"])) for r in got]
-
-
-def unlabelled_rows(docs: DataFrame, most: int) -> DataFrame:
-    """doc_id and text of up to ``most`` rows chosen by hash of the id from all documents, whatever their labels."""
-    chosen = docs.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * most)
+    one = usable.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("_y"))
+    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_y").alias("_y"))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, materialize, maybe_broadcast
+from .base import bounded_batches, hot_join, materialize, maybe_broadcast, unused
 from .components import components
 from .shingles import in_chunks, mix64, shingle_sets
 
@@ -36,7 +36,7 @@ BROADCAST_ROWS = 500_000
 
 
 def banding(threshold: float, rows: int = ROWS) -> tuple[int, int]:
-    """(bands, samples): bands so that a pair at the threshold is missed once in a million."""
+    """(bands, samples): bands so that a pair at the threshold shares none of them once in a million; sketches may rule out a few more."""
     bands = math.ceil(math.log(1e-6) / math.log(1 - threshold**rows))
     return bands, max(128, bands * rows)
 
@@ -61,6 +61,14 @@ def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8))
 
 
+#: Two hashes of a whole set, as sums of its mixed codes.
+FIRST, SECOND = 0x5851F42D4C957F2D, 0x14057B7EF767814F
+
+
+def _digest(u: np.ndarray, salt: int) -> int:
+    return int(mix64(u ^ np.uint64(salt)).sum(dtype=np.uint64).astype(np.int64))
+
+
 def signatures(docs: DataFrame, *, width: int, threshold: float) -> DataFrame:
     """doc_id, n_shingles, f1, f2 (hash of the whole set), bands and sketch of each row."""
     bands, k = banding(threshold)
@@ -80,8 +88,7 @@ def signatures(docs: DataFrame, *, width: int, threshold: float) -> DataFrame:
                     keys = salt.copy()
                     for j in range(ROWS):
                         keys = mix64(keys + s[j : bands * ROWS : ROWS])
-                    f = [mix64(u ^ np.uint64(c)).sum(dtype=np.uint64).astype(np.int64) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-                    rows.append((len(u), int(f[0]), int(f[1]), keys.astype(np.int64), odd_sketch(s).tobytes()))
+                    rows.append((len(u), _digest(u, FIRST), _digest(u, SECOND), keys.astype(np.int64), odd_sketch(s).tobytes()))
             out = pd.DataFrame(rows, columns=["n_shingles", "f1", "f2", "bands", "sketch"])
             out.insert(0, "doc_id", part["doc_id"].to_numpy())
             out.insert(1, "named", part["named"].to_numpy())
@@ -94,18 +101,19 @@ def signatures(docs: DataFrame, *, width: int, threshold: float) -> DataFrame:
     return out.withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("named")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, codes: the full shingle sets of the documents named in ``ids``."""
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """id, f1, codes: the full shingle sets of the representatives (id, f1) in ``wanted``; a document may have several."""
 
     def make(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             texts = [t if isinstance(t, str) else None for t in part["text"]]
             for a, b in in_chunks(texts):
-                yield pd.DataFrame({"id": part["doc_id"].iloc[a:b].to_numpy(), "codes": [u.tobytes() for u in shingle_sets(texts[a:b], width)]})
+                sets = shingle_sets(texts[a:b], width)
+                yield pd.DataFrame({"id": part["doc_id"].iloc[a:b].to_numpy(), "f1": [_digest(u, FIRST) for u in sets], "codes": [u.tobytes() for u in sets]})
 
-    wanted = maybe_broadcast(ids, BROADCAST_ROWS)
+    ids = maybe_broadcast(wanted.select("id").distinct(), BROADCAST_ROWS)
     named = docs.filter("doc_id IS NOT NULL")
-    return named.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(make, "id long, codes binary")
+    return named.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(make, "id long, f1 long, codes binary")
 
 
 def links_between(left: list, right: list, threshold: float, bound: int) -> list[tuple[int, int]]:
@@ -140,7 +148,7 @@ def _compare(groups: DataFrame, reps: DataFrame, sets: DataFrame, threshold: flo
         left, right = [x for x, s in zip(rows, part["side"], strict=True) if s == 0], [x for x, s in zip(rows, part["side"], strict=True) if s == 1]
         return pd.DataFrame(links_between(left, right, threshold, bound) if left and right else [], columns=["a", "b"], dtype="int64")
 
-    full = groups.join(reps.select("id", "bands", "sketch").join(sets, "id"), "id")
+    full = groups.join(reps.select("id", "f1", "bands", "sketch").join(sets, ["id", "f1"]), "id")
     return full.groupBy("unit", "l", "r").applyInPandas(compare, "a long, b long")
 
 
@@ -148,35 +156,43 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8)
     """Components of the documents whose shingle sets have a Jaccard similarity of ``threshold`` or more.
 
     Words are parted by ASCII white space, A-Z lower-cased; a text of fewer than ``width``
-    words is one shingle.  Null, empty and blank texts have no shingle and are linked with
-    nothing.  Returns per row doc_id, n_shingles, component_id (the least doc_id of the
-    component), kept (doc_id is that one).  Rows that share a doc_id are one document.  Rows
-    without doc_id are linked with nothing; their component_id is null and they are kept.
+    words is one shingle, a very long one is taken whole.  Null, empty and blank texts have no
+    shingle and are linked with nothing.  Returns per row doc_id, n_shingles, component_id (the
+    least doc_id of the component), kept (doc_id is that one).  Rows that share a doc_id are one
+    document, linked by any of their texts.  Rows without doc_id are linked with nothing; their
+    component_id is null and they are kept.  doc_ids are whole numbers; an empty table gives an
+    empty one; further columns are ignored, whatever their names.
     """
+    docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs, width=width, threshold=threshold), "signed")
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    same = ["f1", "f2", "n_shingles"]
     # Classes of equal sets: one aggregation, however many copies there are.
-    classes = some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"))
+    classes = some.groupBy(*same).agg(F.min("doc_id").alias("id"))
     classes = materialize(classes, "classes")
-    reps = some.join(classes, ["f1", "f2", "n_shingles"]).filter(F.col("doc_id") == F.col("id")).select("id", "n_shingles", "bands", "sketch").dropDuplicates(["id", "n_shingles"])
+    reps = some.join(classes, same).filter(F.col("doc_id") == F.col("id")).select("id", "f1", "n_shingles", "bands", "sketch").dropDuplicates(["id", "f1"])
     reps = materialize(reps, "reps")
+    # Documents of several texts link the classes of these.
+    several = some.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("a"), F.max(F.struct(*same)).alias("b")).filter("a <> b").select("doc_id")
+    several = maybe_broadcast(several, BROADCAST_ROWS)
+    owned = some.join(several, "doc_id", "left_semi").join(classes, same).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     keyed = reps.select("id", F.explode("bands").alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = materialize(keyed.join(counts, "key"), "buckets")
+    buckets = materialize(hot_join(keyed, counts, "key"), "buckets")
     central = buckets.groupBy("id").agg(F.sum("n").alias("c"))
-    hubs = buckets.join(central, "id").groupBy("key").agg(F.max(F.struct("c", (-F.col("id")).alias("m"))).alias("h")).select("key", (-F.col("h.m")).alias("hub"))
-    star = materialize(buckets.join(hubs, "key").filter("id <> hub").select("id", "hub").distinct(), "star")
-    one_each = reps.select("id", "bands", "sketch").dropDuplicates(["id"])
-    sets = materialize(_sets(docs, buckets.select("id").distinct(), width).dropDuplicates(["id"]), "sets")
+    hubs = buckets.join(central, "id").groupBy("key").agg(F.max(F.struct("c", (-F.col("id")).alias("m"))).alias("h"), F.count(F.lit(1)).alias("n")).select("key", (-F.col("h.m")).alias("hub"), "n")
+    star = materialize(hot_join(buckets.select("id", "key"), hubs, "key").filter("id <> hub").select("id", "hub").distinct(), "star")
+    one_each = reps.select("id", "f1", "bands", "sketch")
+    sets = materialize(_sets(docs, buckets.select("id"), width).dropDuplicates(["id", "f1"]), "sets")
 
     # Each hub with its documents; a hub of many is dealt out over several groups.
-    spread = star.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / RIGHT).cast("int").alias("parts"))
-    dealt = star.join(spread, "hub").withColumn("r", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    spread = star.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / RIGHT).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"))
+    dealt = hot_join(star, spread, "hub").withColumn("r", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     first = dealt.select(F.col("hub").alias("unit"), F.lit(0).alias("l"), "r", F.lit(1).alias("side"), "id", F.col("id").alias("component"))
     first = first.unionByName(
         spread.select(F.col("hub").alias("unit"), F.lit(0).alias("l"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("r"), F.lit(0).alias("side"), F.col("hub").alias("id"), F.col("hub").alias("component"))
     )
-    links = materialize(_compare(first, one_each, sets, threshold), "links")
+    links = materialize(_compare(first, one_each, sets, threshold).unionByName(owned.filter("a <> b")), "links")
     found = components(links)
 
     # Buckets that lie in several components: what is outside their largest one is compared with all members.
@@ -218,7 +234,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8)
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of each component, the one with the least doc_id; all columns stay."""
-    gone = near_duplicates(docs, **how).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    """``docs`` with one document of each component, the one with the least doc_id; all columns stay, whatever their names.
+
+    Rows that share the doc_id that stays all stay, as they are one document.  Nulls, empty and
+    very long texts, repeated rows and empty tables are taken as by ``near_duplicates``.
+    """
+    mark = unused("gone", docs)
+    gone = near_duplicates(docs, **how).filter("NOT kept").select(F.col("doc_id").alias(mark)).distinct()
     gone = maybe_broadcast(gone, BROADCAST_ROWS)
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col(mark), "left_anti")
