@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import ascii_lower, materialize, maybe_broadcast, words
+from .base import ascii_lower, materialize, maybe_broadcast, unused, words
 
 #: Rows up to which a table of hashes, or of candidates, may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -68,8 +68,10 @@ def contained_items(docs: DataFrame, items: DataFrame, *, width: int = 5, thresh
 
     Returns doc_id, item_id, n_shingles (of the item), n_shared, containment; the pair's
     highest count if several rows share a doc_id or an item_id.  Words are split at ASCII
-    white space, A-Z lower-cased.  Null and empty texts contain nothing; an empty table
-    gives no pairs; further columns of either table are ignored.
+    white space, A-Z lower-cased.  Null and empty texts contain nothing, very long ones are
+    read whole; an empty table gives no pairs; repeated rows give the pairs of one; items with
+    equal texts are items of their own.  Further columns of either table are ignored, whatever
+    their names.
     """
     sampled = materialize(item_samples(items.select("item_id", "text"), width=width, threshold=threshold), "items")
     # A few numbers: for each width and size class the bound of its sample's hashes.
@@ -100,7 +102,12 @@ def contained_items(docs: DataFrame, items: DataFrame, *, width: int = 5, thresh
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """``docs`` without the documents that contain an item; all columns stay."""
-    leaks = contained_items(docs, items, **how).select(F.col("doc_id").alias("_leak")).distinct()
+    """``docs`` without the documents that contain an item; all columns stay, whatever their names.
+
+    Rows that share a doc_id go if one of them contains an item; null doc_ids are one document.
+    Null, empty and very long texts, repeated rows and empty tables are taken as by ``contained_items``.
+    """
+    leak = unused("leak", docs)
+    leaks = contained_items(docs, items, **how).select(F.col("doc_id").alias(leak)).distinct()
     leaks = maybe_broadcast(leaks, BROADCAST_ROWS)
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col(leak)), "left_anti")

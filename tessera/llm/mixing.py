@@ -9,6 +9,8 @@ position interleaves the sources as the schedules ask.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,8 +19,8 @@ from .base import materialize, words
 
 #: How often a source or a document may be repeated at most.
 MAX_REPEATS = 3
-#: Leading hexadecimal digits of the order key: parts of a source that are summed apart.
-BUCKET_DIGITS = 3
+#: Documents that a part of a source has, about; parts are told by leading hexadecimal digits of the order key and summed apart.
+PART_ROWS = 50_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], max_repeats: int = MAX_REPEATS, total: float = 1.0) -> DataFrame:
@@ -72,12 +74,16 @@ def mix_plan(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), max_rep
     ``floor(target / source_size)`` times, and those whose middle lies in the first part of
     the source's order once more, so that the source's words miss its target by half a
     document at most.  position is where the first copy stands, from 0 to 1; null if none
-    is taken; positions has one for every copy, ascending.  The order is that of md5(doc_id), doc_id, size, so reruns agree; rows that
-    are equal in all of these change places without effect.  An empty table gives an empty one.
+    is taken; positions has one for every copy, ascending.  The order is that of md5(doc_id), doc_id,
+    size, text, so reruns agree; repeated rows change places without effect, and a null doc_id counts
+    as an empty one.  Null and empty texts have size 0 and are not taken, very long ones are counted
+    whole.  An empty table gives an empty one; further columns are ignored, whatever their names.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("_key"), F.xxhash64("text").alias("_t"))
-    rows = materialize(rows.withColumn("_part", F.substring("_key", 1, BUCKET_DIGITS)), "sizes")
+    rows = materialize(rows, "sizes")
+    digits = max(1, math.ceil(math.log(max(1, rows.count() / PART_ROWS), 16)))
+    rows = rows.withColumn("_part", F.substring("_key", 1, digits))
     targets = source_targets(rows, weights, max_repeats)
     # Sums in two levels: parts of a source, then documents of a part; no task sees a whole source.
     part = rows.groupBy("source", "_part").agg(F.sum("size").alias("_size"))
