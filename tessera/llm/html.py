@@ -1,11 +1,13 @@
 """Main text of web pages by scoring the tree.
 
-The page is parsed into a tree of elements.  What is never part of an article (menus,
-page headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers)
-goes first, by element, role and the words of class and id.  Each paragraph then earns
-points for its length and its commas and passes them to its ancestors, less with every
-level; an element's points are discounted by the share of its text that is in links.
-The best container and those of its siblings that read like it are kept.
+The page is parsed into a tree of elements.  Elements and roles that are never part of an
+article (menus, footers, asides, forms, scripts) go by what they are.  Words of class and
+id decide nothing alone: they make a block lean towards the article or away from it, and
+weigh its points.  Each paragraph earns points for its length and its commas and passes
+them to its ancestors, less with every level and with every block on the way that leans
+away; an element's points are discounted by the share of its text that is in links.  The
+container with the most points is kept, with those blocks beside it, or beside what it is
+in, that read like it; inside, blocks that lean away go unless they hold most of the points.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches
+from .base import bounded_batches, quoted
 
 #: Elements whose content is no markup, up to their end tag.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "noembed", "noframes", "xmp", "title"}
@@ -38,16 +40,29 @@ ENDED_BY = {
     "option": {"option"},
     "head": {"body"},
 }
+PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", "dd"}
+CONTAINERS = {"div", "section", "article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4"}
+#: Blocks that are no containers.
+NO_BOX = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "td", "tr", "tbody"}
 DROPPED = {"nav", "aside", "footer", "form", "button", "select", "option", "input", "dialog", "menu", "fieldset", "svg", "math", "canvas", "audio", "video", "object", "map", "search", "head", *RAW}
 DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
-#: Words of class and id, whole between signs and changes of case, that mark what is not the article.
-DROPPED_NAMES = set(
+#: Words of class and id, whole between signs and changes of case, that make a block lean away from the article.
+AWAY = set(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion breadcrumb breadcrumbs nav navbar navigation menu "
     "sidebar sidebars aside footer masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations comment comments disqus respond replies pagination pager toolbar widget widgets skip "
     "copyright legal disclaimer outbrain taboola".split()
 )
-KEPT_NAMES = {"article", "content", "main", "post", "entry", "story", "body", "text"}
+#: Words that make it lean towards the article; both together balance.
+TOWARDS = {"article", "content", "main", "post", "entry", "story", "body", "text"}
+#: What a block's points are multiplied by if it leans away, or towards; and if it is an article or the main element.
+AWAY_FACTOR, TOWARDS_FACTOR, ARTICLE_FACTOR = 0.1, 1.25, 1.5
+#: Levels that a paragraph's points reach.
+LEVELS = 6
+#: Least share of the best container's points for an article around it, for a block beside it, and inside it for one that leans away.
+AROUND, BESIDE, INSIDE = 0.3, 0.2, 0.5
+LEAST_POINTS = 10.0
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?=[\s/]|$))", re.I)
@@ -56,40 +71,37 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RA
 
 
 class _Node:
-    __slots__ = ("tag", "up", "kids", "gone", "article", "points", "chars", "linked")
+    __slots__ = ("tag", "up", "kids", "gone", "lean", "points", "chars", "linked")
 
-    def __init__(self, tag: str, up: _Node | None, gone: bool, article: bool):
-        self.tag, self.up, self.gone, self.article = tag, up, gone, article
+    def __init__(self, tag: str, up: _Node | None, gone: bool, lean: int):
+        self.tag, self.up, self.gone, self.lean = tag, up, gone, lean
         self.kids: list[_Node | str] = []
         self.points = self.chars = self.linked = 0.0
 
 
-def _attributes(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether the element is never part of an article, and whether its name says that it is one."""
+def _attributes(tag: str, attrs: str) -> tuple[bool, int]:
+    """Whether the element is never part of an article by role or hidden, and how it leans by its name: 1, 0 or -1."""
+    own = tag in ("article", "main")
     if not attrs.strip() or not ("=" in attrs or "hidden" in attrs):
-        return False, False
-    names, gone, hinted = set(), False, False
+        return False, int(own)
+    names, gone = set(), False
     for key, a, b, c in _NAMED.findall(attrs):
         key, value = key.lower(), a or b or c
         if key == "role":
             gone |= value.strip().lower() in DROPPED_ROLES
-            hinted |= value.strip().lower() in ("main", "article")
+            own |= value.strip().lower() in ("main", "article")
         elif key == "hidden":
             gone |= value.lower() != "until-found"
         elif key == "aria-hidden":
             gone |= value.lower() == "true"
         else:
             names |= {w.lower() for w in _PARTS.findall(value)}
-    if names & DROPPED_NAMES and tag not in ("html", "body", "article", "main"):
-        gone = True
-    elif names & DROPPED_NAMES & {"comment", "comments", "ad", "ads", "advert", "sponsored", "related", "promo"} and tag == "article":
-        gone = True
-    return gone, hinted or bool(names & KEPT_NAMES)
+    return gone, max(-1, min(1, int(own or bool(names & TOWARDS)) - int(bool(names & AWAY))))
 
 
 def parse(page: str) -> tuple[_Node, list[_Node]]:
     """The root and all nodes in page order; broken markup is taken as browsers take it, roughly."""
-    root = _Node("html", None, False, False)
+    root = _Node("html", None, False, 0)
     nodes, at, here = [root], 0, root
     n = len(page)
     find = _TOKEN.search
@@ -126,7 +138,7 @@ def parse(page: str) -> tuple[_Node, list[_Node]]:
                 if tag in ENDED_BY.get(ends.tag, ()) and ends.up is not None:
                     here = ends.up
                 ends = ends.up
-        gone, hinted = _attributes(tag, m[3])
+        gone, lean = _attributes(tag, m[3])
         inside = here.gone
         if tag == "header":
             # The header of an article holds its title; a page's header goes.
@@ -134,7 +146,7 @@ def parse(page: str) -> tuple[_Node, list[_Node]]:
             while x is not None and x.tag not in ("article", "main"):
                 x = x.up
             gone |= x is None
-        node = _Node(tag, here, inside or gone or tag in DROPPED, tag in ("article", "main") or hinted)
+        node = _Node(tag, here, inside or gone or tag in DROPPED, 0 if tag in ("html", "body") else lean)
         here.kids.append(node)
         nodes.append(node)
         if tag in RAW:
@@ -160,6 +172,7 @@ def _own_text(node: _Node) -> str:
 
 
 def _score(nodes: list[_Node]) -> None:
+    """Points, length of text and length of linked text of every node; ``nodes`` are in page order."""
     for x in reversed(nodes):  # what is below a node comes after it
         if x.gone:
             continue
@@ -170,24 +183,63 @@ def _score(nodes: list[_Node]) -> None:
         if x.up is not None:
             x.up.chars += x.chars
             x.up.linked += x.linked
-        if x.tag in ("p", "pre", "td", "blockquote", "li", "dd") or x.tag in ("div", "section", "article", "main") and own > 0:
+        if x.tag in PARAGRAPHS or x.tag in CONTAINERS and own > 0:
             text = _own_text(x).strip()
             if text:
-                links = x.linked / max(1.0, x.chars)
-                points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links)
-                up, level = (x.up if x.tag not in ("div", "section", "article", "main") else x), 0
-                while up is not None and level < 6:
-                    up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+                points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - x.linked / max(1.0, x.chars))
+                up, level = (x if x.tag in CONTAINERS else x.up), 0
+                if x.tag in PARAGRAPHS and x.lean < 0:
+                    points *= AWAY_FACTOR
+                while up is not None and level < LEVELS:
+                    up.points += points / (level + 1)
+                    if up.lean < 0:
+                        points *= AWAY_FACTOR  # what is above a block that leans away has little of it
                     up, level = up.up, level + 1
     for x in nodes:
         x.points *= 1 - x.linked / max(1.0, x.chars)
-        if x.article:
-            x.points += 25.0 if x.chars else 0.0
+        x.points *= AWAY_FACTOR if x.lean < 0 else TOWARDS_FACTOR if x.lean > 0 else 1.0
+        x.points *= ARTICLE_FACTOR if x.tag in ("article", "main") and x.lean >= 0 else 1.0
 
 
-def _text(node: _Node) -> str:
-    """Blocks in page order: references decoded, white space folded, joined by one space."""
+def _like(k: _Node, best: _Node) -> bool:
+    """Whether a block beside the best container reads like it."""
+    return not k.gone and k.lean >= 0 and k.points >= max(LEAST_POINTS, BESIDE * best.points) and k.linked < 0.5 * k.chars
+
+
+def _chosen(nodes: list[_Node]) -> tuple[_Node, list[_Node]] | None:
+    """The best container, and all blocks that are kept, in page order; None if nothing has points."""
+    boxes = [x for x in nodes if not x.gone and x.chars and x.tag in BLOCK and x.tag not in NO_BOX]
+    best = max(boxes, key=lambda x: x.points, default=None)
+    if best is None or best.points <= 0:
+        return None
+    # An article that the best container is a part of, and that has enough points of its own, is the container.
+    x, found = best.up, best
+    while x is not None:
+        if x.tag in ("article", "main") and not x.gone and x.points >= AROUND * best.points:
+            found = x
+        x = x.up
+    best = found
+    kept, x = {id(best)}, best
+    while x.up is not None:
+        for k in x.up.kids:
+            if isinstance(k, str) or k is x or k.gone:
+                continue
+            if _like(k, best):
+                kept.add(id(k))
+            elif x is best and k.lean >= 0 and (k.tag in ("p", "blockquote", "pre") and k.linked < 0.25 * k.chars or k.tag in HEADINGS and k.linked < 0.5 * k.chars):
+                kept.add(id(k))
+        x = x.up
+    return best, [x for x in nodes if id(x) in kept]
+
+
+def _text(node: _Node, best: _Node) -> str:
+    """Blocks in page order: references decoded, white space folded, joined by one space; what leans away inside goes."""
     blocks, line, stack = [], [], [node]
+    above = set()
+    x: _Node | None = best
+    while x is not None:
+        above.add(id(x))
+        x = x.up
     while stack:
         k = stack.pop()
         if isinstance(k, str):
@@ -196,7 +248,7 @@ def _text(node: _Node) -> str:
             if line:
                 blocks.append("".join(line))
                 line = []
-        elif k.gone:
+        elif k.gone or k.lean < 0 and id(k) not in above and k.points < INSIDE * best.points:
             if k.tag in BLOCK:
                 stack.append(None)
         elif k.tag == "br":
@@ -217,41 +269,29 @@ def _text(node: _Node) -> str:
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page as one line of text; empty if the page has none."""
+    """The article of a page as one line of text; empty if the page has none.
+
+    Without points anywhere, as on a page of plain text, the whole page is the article.  Of
+    containers with equal points the first in page order is the best.
+    """
     if not page:
         return ""
     _, nodes = parse(page)
     _score(nodes)
-    boxes = [x for x in nodes if not x.gone and x.chars and x.tag in BLOCK and x.tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "td", "tr", "tbody")]
-    if not boxes:
-        return _text(nodes[0])
-    best = max(boxes, key=lambda x: x.points)
-    # An article is kept whole if the best container is a part of it.
-    x = best
-    while x is not None and x.tag not in ("article", "main"):
-        x = x.up
-    best = x if x is not None and not x.gone else best
-    if best.up is None or best.tag in ("article", "main") or best.points <= 0:
-        return _text(best if best.points > 0 else nodes[0])
-    least, out = max(10.0, 0.2 * best.points), []
-    for k in best.up.kids:
-        if isinstance(k, str) or k.gone:
-            continue
-        links = k.linked / max(1.0, k.chars)
-        like = k is best or k.points >= least and links < 0.5
-        like |= k.tag in ("p", "blockquote", "pre") and links < 0.25 and k.chars > 0
-        like |= k.tag in ("h1", "h2", "h3", "h4") and links < 0.5
-        if like:
-            out.append(_text(k))
-    return " ".join(t for t in out if t)
+    found = _chosen(nodes)
+    if found is None:
+        return _text(nodes[0], nodes[0])
+    best, kept = found
+    return " ".join(t for t in (_text(k, best) for k in kept) if t)
 
 
 def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     """``pages`` with text and n_chars (its code points) for the column ``html_col``.
 
-    Null and empty pages and pages without an article give an empty text.  The other
-    columns stay, except those called text or n_chars; rows are taken one by one, so
-    repeated rows repeat.
+    Null and empty pages, and pages without text, give an empty text; an empty table gives an
+    empty one.  Pages are read whole, however long or deep.  The other columns stay, except
+    those called text or n_chars, whatever the case; rows are taken one by one, so repeated
+    rows repeat.
     """
 
     @F.pandas_udf("string")
@@ -259,6 +299,5 @@ def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
         return col.map(lambda p: main_text(p if isinstance(p, str) else None))
 
     bounded_batches(pages.sparkSession)
-    rows = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in ("text", "n_chars") or c == html_col])
-    out = rows.withColumn("_text", article(F.col(html_col))).drop(html_col).withColumnRenamed("_text", "text")
-    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+    rest = [quoted(c) for c in pages.columns if c.lower() not in ("text", "n_chars", html_col.lower())]
+    return pages.select(*rest, article(quoted(html_col)).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
