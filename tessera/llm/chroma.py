@@ -4,7 +4,8 @@ A recording becomes frames of twelve pitch classes.  Filters that compare sums o
 rectangles of the frames, read off an integral image, are cut into four levels each and
 packed into one integer of 32 bits per place.  Two recordings that share integers at one
 offset more often than at any other are aligned there, if the bits of their integers
-over the whole overlap agree well enough.
+over the whole overlap agree well enough.  An excerpt may begin between two frames of the
+recording it is from; so probes are fingerprinted at several phases of a hop.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, materialize
+from .base import bounded_batches, materialize, quoted
 
 #: Samples of a frame of spectrum at any rate: about a quarter of a second, half overlapping.
 FRAME_SECONDS, HOP_SECONDS = 0.256, 0.128
@@ -35,6 +36,8 @@ FILTERS = (
 #: Levels of a filter's value: below -CUT, up to 0, up to CUT, above; numbered in Gray code.
 CUT = 0.25
 GRAY = (0, 1, 3, 2)
+#: Phases of a hop at which probes are fingerprinted.
+PHASES = 4
 #: Least overlap in integers, and highest share of bits that may differ.
 MIN_OVERLAP, MAX_ERROR = 16, 0.2
 
@@ -120,86 +123,113 @@ def codes(frames: np.ndarray) -> np.ndarray:
         else:
             up = box(w // 3, w - w // 3, y, z) * 2
             down = (whole - up / 2)
-        v = np.log((1 + up) / (1 + down))
+        v = np.round(np.log((1 + up) / (1 + down)), 6)  # sums of the image differ in their last digits
         level = (v > -CUT).astype(np.int64) + (v > 0) + (v > CUT)
         out = (out << 2) | np.array(GRAY)[level]
     return out
 
 
-def fingerprints(media: DataFrame, *, id_col: str = "id", audio_col: str = "audio") -> DataFrame:
-    """id, n_frames and codes (array of integers of 32 bits, as bigint) for each recording.
+#: The integer of a place without sound: no key that recordings meet under.
+SILENT = int(codes(np.zeros((SPAN, 12)))[0])
 
-    Null, empty and unreadable recordings have no frames, and those shorter than SPAN
-    frames no codes.  Rows without id are left out; repeated rows repeat; further columns are ignored.
+
+def fingerprints(media: DataFrame, *, id_col: str = "id", audio_col: str = "audio", phases: int = 1) -> DataFrame:
+    """id, phase, n_frames and codes (array of integers of 32 bits, as bigint) for each recording and phase.
+
+    Phase ``i`` of ``phases`` begins ``i / phases`` of a hop into the recording.  Null, empty
+    and unreadable recordings have no frames, and those shorter than SPAN frames no codes; very
+    long ones are read in blocks.  Rows without id are left out; repeated rows repeat; an empty
+    table gives an empty one; further columns are ignored.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            frames = [pitch_frames(*decode_wav(a if isinstance(a, (bytes, bytearray)) else None)) for a in part["audio"]]
-            yield pd.DataFrame({"id": part["id"].to_numpy(), "n_frames": [len(f) for f in frames], "codes": [codes(f) for f in frames]})
+            rows = []
+            for i, a in zip(part["id"].tolist(), part["audio"], strict=True):
+                x, rate = decode_wav(a if isinstance(a, (bytes, bytearray)) else None)
+                for k in range(phases):
+                    f = pitch_frames(x[int(rate * HOP_SECONDS * k / phases) :], rate)
+                    rows.append((i, k, len(f), codes(f)))
+            yield pd.DataFrame(rows, columns=["id", "phase", "n_frames", "codes"])
 
     bounded_batches(media.sparkSession, 128)
-    rows = media.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(audio_col).alias("audio"))
-    return rows.mapInPandas(run, "id long, n_frames long, codes array<long>")
+    rows = media.filter(quoted(id_col).isNotNull()).select(quoted(id_col).cast("long").alias("id"), quoted(audio_col).alias("audio"))
+    return rows.mapInPandas(run, "id long, phase int, n_frames long, codes array<long>")
+
+
+def _places(prints: DataFrame, side: str) -> DataFrame:
+    """Where a run of equal integers begins in each recording; silence has no place."""
+    before = lambda i: F.get("codes", i - 1)
+    each = F.transform("codes", lambda c, i: F.when((c != SILENT) & ((i == 0) | (c != before(i))), F.struct(i.alias("pos"), c.alias("code"))))
+    own = [F.col("id").alias(f"{side}_id")] + ([F.col("phase").alias("phase")] if side == "left" else [])
+    return prints.select(*own, F.explode(F.filter(each, lambda x: x.isNotNull())).alias("p")).select(f"{side}_id", *(["phase"] if side == "left" else []), F.col("p.pos").alias(f"{side}_pos"), F.col("p.code").alias("code"))
 
 
 def align(left: DataFrame, right: DataFrame, *, min_hits: int = 2, min_overlap: int = MIN_OVERLAP, max_error: float = MAX_ERROR) -> DataFrame:
-    """Aligned pairs of two tables of (id, codes): left_id, right_id, offset, hits, overlap, bit_error.
+    """Aligned pairs of two tables of (id, phase, codes): left_id, right_id, phase, offset, hits, overlap, bit_error.
 
-    offset is the place in the right recording, minus that in the left, that most equal
-    integers agree on (the least such offset in a tie).
+    offset is the place in the right recording, minus that in the left at its phase, that most
+    equal integers agree on (the least such phase, then offset, in a tie).  Runs of equal
+    integers count once, where they begin, and silence not at all; so a drone or a silent tail,
+    however long, adds one place at most.  Null and empty codes align with nothing.
     """
-    places = lambda x, p: x.select(F.col("id").alias(f"{p}_id"), F.posexplode("codes").alias(f"{p}_pos", "code"))
-    hits = places(left, "left").join(places(right, "right"), "code")
-    histogram = hits.groupBy("left_id", "right_id", (F.col("right_pos") - F.col("left_pos")).alias("offset")).agg(F.count(F.lit(1)).alias("hits"))
-    peak = histogram.groupBy("left_id", "right_id").agg(F.max(F.struct("hits", (-F.col("offset")).alias("o"))).alias("p")).filter(F.col("p.hits") >= min_hits)
+    hits = _places(left, "left").join(_places(right, "right"), "code")
+    histogram = hits.groupBy("left_id", "right_id", "phase", (F.col("right_pos") - F.col("left_pos")).alias("offset")).agg(F.count(F.lit(1)).alias("hits"))
+    peak = histogram.groupBy("left_id", "right_id").agg(F.max(F.struct("hits", (-F.col("phase")).alias("p"), (-F.col("offset")).alias("o"))).alias("p")).filter(F.col("p.hits") >= min_hits)
     both = (
-        peak.select("left_id", "right_id", (-F.col("p.o")).alias("offset"), F.col("p.hits").alias("hits"))
-        .join(left.select(F.col("id").alias("left_id"), F.col("codes").alias("_l")), "left_id")
+        peak.select("left_id", "right_id", (-F.col("p.p")).alias("phase"), (-F.col("p.o")).alias("offset"), F.col("p.hits").alias("hits"))
+        .join(left.select(F.col("id").alias("left_id"), "phase", F.col("codes").alias("_l")), ["left_id", "phase"])
         .join(right.select(F.col("id").alias("right_id"), F.col("codes").alias("_r")), "right_id")
     )
     start, end = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("_l"), F.size("_r") - F.col("offset"))
     cut = lambda c, a: F.slice(c, a + 1, F.greatest(end - start, F.lit(0)))
     wrong = F.aggregate(F.zip_with(cut("_l", start), cut("_r", start + F.col("offset")), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    scored = both.select("left_id", "right_id", "offset", "hits", (end - start).alias("overlap"), (wrong / (32.0 * (end - start))).alias("bit_error"))
+    scored = both.select("left_id", "right_id", "phase", "offset", "hits", (end - start).alias("overlap"), (wrong / (32.0 * (end - start))).alias("bit_error"))
     return scored.filter((F.col("overlap") >= min_overlap) & (F.col("bit_error") <= max_error))
 
 
 def _classes(prints: DataFrame) -> DataFrame:
-    """_f, _g (hash of the integers), id (the least), size and codes of each class of equal recordings with codes."""
+    """_f, _g (hash of the integers), phase, id (the least), size and codes of each class of equal recordings with codes."""
     some = prints.filter(F.size("codes") > 0)
-    return some.groupBy("_f", "_g").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), F.min_by("codes", "id").alias("codes"))
+    return some.groupBy("_f", "_g", "phase").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), F.min_by("codes", "id").alias("codes"))
 
 
 def _hashed(prints: DataFrame) -> DataFrame:
+    """With the hash of the integers at phase 0, by which recordings are classed."""
     return prints.withColumn("_f", F.xxhash64("codes")).withColumn("_g", F.xxhash64(F.lit(1), "codes"))
 
 
 def search(prints: DataFrame, probes: DataFrame, **how) -> DataFrame:
-    """Align probe recordings with all recordings; both are tables of ``fingerprints``.  One row per recording.
+    """Align probe recordings with all recordings; both are tables of ``fingerprints``, probes at several phases.  One row per recording.
 
     Recordings with equal integers form a class, known by its least id; classes, not
     their members, are aligned, so that many copies cost what one does.  Returns id,
-    n_frames, n_codes, class_id, class_size, n_probes (classes of probes that align) and
-    best_id, best_offset, best_error of the closest probe (least error, then least id; null if
-    none).  Recordings without codes are a class each and align with nothing.
+    n_frames, n_codes, class_id, class_size, n_probes (least ids of classes of probes that align) and
+    best_id, best_phase, best_offset, best_error of the closest probe (least error, then least id; null if
+    none).  Recordings without codes are a class each and align with nothing; without probes none does.
+    Repeated rows are copies of each other; an empty table gives an empty one.
     """
-    prints = materialize(_hashed(prints), "prints")
+    prints = materialize(_hashed(prints.filter("phase = 0")), "prints")
     classes = materialize(_classes(prints), "classes")
+    # Equal probes are equal at every phase; the least id stands for them.
     pairs = align(materialize(_classes(_hashed(probes)), "probes"), classes, **how)
-    best = pairs.groupBy(F.col("right_id").alias("class_id")).agg(F.count(F.lit(1)).alias("n_probes"), F.min(F.struct("bit_error", "left_id", "offset")).alias("b"))
+    nearest = F.min(F.struct("bit_error", "left_id", "phase", "offset")).alias("b")
+    best = pairs.groupBy(F.col("right_id").alias("class_id")).agg(F.count_distinct("left_id").alias("n_probes"), nearest)
     found = classes.select("_f", "_g", F.col("id").alias("class_id"), F.col("size").alias("class_size")).join(best, "class_id", "left")
     out = prints.select("id", "n_frames", F.size("codes").cast("long").alias("n_codes"), "_f", "_g").join(found, ["_f", "_g"], "left")
     return out.select(
-        "id", "n_frames", "n_codes", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        F.coalesce("n_probes", F.lit(0)).cast("long").alias("n_probes"), F.col("b.left_id").alias("best_id"), F.col("b.offset").alias("best_offset"), F.col("b.bit_error").alias("best_error"),
+        "id", "n_frames", "n_codes", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_probes", F.lit(0)).cast("long").alias("n_probes"),
+        F.col("b.left_id").alias("best_id"), F.col("b.phase").cast("long").alias("best_phase"), F.col("b.offset").cast("long").alias("best_offset"), F.col("b.bit_error").alias("best_error"),
     )
 
 
-def excerpts(media: DataFrame, *, start_seconds: float, seconds: float, noise: float = 0.01, volume: float = 0.5) -> DataFrame:
+def excerpts(media: DataFrame, *, seconds: float, start_seconds: float | None = None, noise: float = 0.01, volume: float = 0.5) -> DataFrame:
     """id and audio: a part of each recording, quieter and with noise, as a microphone would hear it.
 
-    The noise depends on the recording's bytes, so equal recordings have equal excerpts.
+    Without ``start_seconds`` the part begins anywhere, to the sample, that leaves it whole.
+    Start and noise depend on the recording's bytes, so equal recordings have equal excerpts.
+    Null and unreadable recordings give null, those that end before the part an empty one; rows
+    without id are left out, repeated rows repeat, an empty table gives an empty one.
     """
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,8 +237,9 @@ def excerpts(media: DataFrame, *, start_seconds: float, seconds: float, noise: f
             audio = []
             for raw in part["audio"]:
                 x, rate = decode_wav(raw if isinstance(raw, (bytes, bytearray)) else None)
-                x = x[int(start_seconds * rate) : int((start_seconds + seconds) * rate)]
                 r = np.random.default_rng(zlib.crc32(raw or b""))
+                start = int(r.integers(0, max(1, len(x) - int(seconds * rate)))) if start_seconds is None else int(start_seconds * rate)
+                x = x[start : start + int(seconds * rate)]
                 audio.append(encode_wav(volume * x + noise * r.standard_normal(len(x)), rate) if rate else None)
             yield pd.DataFrame({"id": part["id"].to_numpy(), "audio": audio})
 
@@ -221,7 +252,9 @@ def render_vectors(table: DataFrame, *, id_col: str, vector_col: str, rate: int
 
     The test tables hold no media; this makes recordings of known content from vectors.
     A number's note is the nearest half tone to 48 half tones per unit around 220 Hz,
-    within two octaves, with one overtone.
+    within two octaves, with one overtone; what is no number counts as 0.  A null or empty
+    vector is a recording of no length.  Rows without id are left out, repeated rows repeat,
+    an empty table gives an empty one, further columns are ignored.
     """
 
     def play(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,5 +269,5 @@ def render_vectors(table: DataFrame, *, id_col: str, vector_col: str, rate: int
             yield pd.DataFrame({"id": part["id"].to_numpy(), "audio": audio})
 
     bounded_batches(table.sparkSession, 128)
-    named = table.filter(F.col(id_col).isNotNull())
-    return named.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInPandas(play, "id long, audio binary")
+    named = table.filter(quoted(id_col).isNotNull())
+    return named.select(quoted(id_col).cast("long").alias("id"), quoted(vector_col).alias("v")).mapInPandas(play, "id long, audio binary")
