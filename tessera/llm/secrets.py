@@ -35,6 +35,8 @@ DICTIONARY = (
 #: Issued formats anywhere in a word, and all values of a word that isn't one name and one value: those, and runs between signs.
 ISSUED_RE = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)?|AIza[0-9A-Za-z_-]{30,})"
 VALUES_RE = ISSUED_RE + r"|(?:(?!" + ISSUED_RE + r")[A-Za-z0-9+/_.\-]){8,}(?:={0,2}(?![A-Za-z0-9+/_.\-]))?"
+#: How issued formats begin.
+BEGIN_RE = r"AKIA|gh[pousr]_|xox[abprs]-|sk-|eyJ|AIza"
 #: The name that a value is assigned to, at the end of the text before it.
 NAME_RE = r"([A-Za-z0-9_.\-]+)[\"'`]?(?:=+>?|:=?)+[\"'`(<\[{]*$"
 FEATURES = ("n_chars", "digits", "uppers", "lowers", "others", "shifts", "mixed", "distinct", "dictionary", "hex", "slashes", "announced", "assigned", "other_words", "path_test", "issued")
@@ -79,16 +81,19 @@ def features(cand: Column, before: Column, after: Column, path: Column) -> dict[
 def labelled_findings(n: int = 4_000, seed: int = 7) -> list[tuple[str, str, str, str, int]]:
     """Findings (candidate, words before, words after, path, label) to learn from.
 
-    Half are keys in formats that issuers use or random values that are assigned to a
-    telling name; half are what scanners mistake for keys: hashes of commits and files,
-    identifiers, paths, numbers, placeholders and long words.
+    Half are keys in formats that issuers use, or random values and passwords that are
+    assigned to a telling name; half are what scanners mistake for keys: hashes of commits and
+    files, identifiers, paths, numbers, times, hosts, placeholders and long words, some of them
+    right after an announcing word.
     """
     r = random.Random(seed)
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     alnum, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
     syll = "the tion er on an re he in ed nd ha at en es of or nt ea ti to io le is ou ar as de rt ve".split()
     prose = lambda: "".join(r.choice(syll) for _ in range(r.randint(1, 4)))
-    names = ["token", "api_key", "secret", "password", "AUTH_TOKEN", "client_secret", "access-key", "TOKEN", "Bearer"]
+    names = ["token", "api_key", "secret", "password", "AUTH_TOKEN", "client_secret", "access-key", "TOKEN", "Bearer", "passwd", "credential", "private_key"]
+    host = lambda: ".".join([r.choice(["mail", "www", "auth", "cdn", "db"]) + str(r.randint(1, 99)), prose(), r.choice(["com", "net", "org", "io"])])
+    moment = lambda: f"20{r.randint(10, 29)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}-{r.randint(10, 59)}Z"
     paths = ["src/app/main.py", "config/prod.yaml", "notes.txt", "src0", "web/page", "tests/fixtures/keys.json", "docs/example.md"]
     out = []
     while len(out) < n:
@@ -98,7 +103,7 @@ def labelled_findings(n: int = 4_000, seed: int = 7) -> list[tuple[str, str, str
         path = r.choice(paths[:5])
         if label:
             before = f"{prose()} {r.choice(names)} {r.choice(['=', ':', '=', '=>', ''])}".strip()
-            kind = r.randint(0, 5)
+            kind = r.randint(0, 6)
             if kind <= 1:
                 cand = pick(hexa, r.choice((32, 40, 40, 64)))
                 cand = cand.upper() if r.random() < 0.2 else cand
@@ -108,11 +113,15 @@ def labelled_findings(n: int = 4_000, seed: int = 7) -> list[tuple[str, str, str
                 cand = pick(alnum + "+/", r.randint(24, 64)) + "=" * r.randint(0, 2)
             elif kind == 4:
                 cand = pick(alnum + "_-", r.randint(10, 20))
+            elif kind == 6:  # what people choose
+                word = lambda: (prose() + prose())[: r.randint(3, 8)]
+                cand = r.choice([word() + pick(string.digits, 2) + word() + pick(string.digits, 1), word().title() + pick(string.digits, 4), word() + r.choice("-_.") + word() + pick(string.digits, 3)]).ljust(8, "7")
+                before = f"{prose()} {r.choice(['password', 'passwd', 'pwd', 'PASSWORD', 'db_password'])} {r.choice(['=', ':'])}"
             else:
                 cand = r.choice(["AKIA" + pick(string.ascii_uppercase + string.digits, 16), "ghp_" + pick(alnum, 36), "xoxb-" + pick(string.digits, 11) + "-" + pick(alnum, 24), "sk-" + pick(alnum, 40)])
                 before = r.choice([before, plain])
         else:
-            before, kind = plain, r.randint(0, 8)
+            before, kind = plain, r.randint(0, 11)
             if kind == 0:
                 cand, before = pick(hexa, r.choice((32, 40, 64))), f"{prose()} {r.choice(['commit', 'sha256', 'md5', 'revision', 'checksum'])} {r.choice(['', ':', '='])}".strip()
             elif kind == 1:
@@ -130,6 +139,12 @@ def labelled_findings(n: int = 4_000, seed: int = 7) -> list[tuple[str, str, str
             elif kind == 7:
                 cand, before, path = pick(hexa, 40), f"{prose()} token =", r.choice(paths[5:])
                 before = r.choice([before, f"example {before}"])
+            elif kind == 8:  # hosts and addresses, as in running text
+                cand, before = r.choice([host(), host() + "/" + prose() + str(r.randint(1, 9))]), r.choice([plain, f"{prose()} {r.choice(['mail', 'auth', 'host'])}"])
+            elif kind == 9:  # an announcing word before what is none
+                cand, before = r.choice([moment(), pick(string.digits, r.choice((10, 16))), host(), f"{prose()}/{prose()}{r.randint(1, 9)}/{prose()}"]), f"{prose()} {r.choice(names)} {r.choice(['', '=', ':'])}".strip()
+            elif kind == 10:  # identifiers that name a secret but hold none
+                cand, before = r.choice([f"get_{r.choice(names)}_v{r.randint(1, 9)}", f"{prose()}.{r.choice(names)}.{prose()}{r.randint(1, 9)}", f"{r.choice(names).upper()}_LENGTH_{r.randint(8, 64)}"]), plain
             else:
                 cand = f"{r.randint(0, 30)}.{r.randint(0, 30)}.{r.randint(0, 300)}-{prose()}.{r.randint(0, 9)}"
         out.append((cand, before, after, path, label))
@@ -192,12 +207,12 @@ def candidates(docs: DataFrame, *, path_col: str | None = "source") -> DataFrame
     A candidate has 16 characters or more with a digit and a letter among them, or 8 or
     more after an announcing word and an assignment sign, or a documented format.
     """
-    # Texts without a digit and without an announcing word have no candidate.
-    some = docs.filter(F.col("text").rlike(r"[0-9]|" + ANNOUNCE_RE))
+    # Texts without a digit, an announcing word or the beginning of an issued format have no candidate.
+    some = docs.filter(F.col("text").rlike(f"[0-9]|{BEGIN_RE}|{ANNOUNCE_RE}"))
     path = F.col(path_col).cast("string") if path_col and path_col in docs.columns else F.lit(None).cast("string")
     ws = some.select("doc_id", path.alias("path"), F.split(F.trim("text", F.lit(WS)), GAP_RE).alias("_w"))
     likely = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.get("_w", i).rlike(r"^.*[A-Za-z0-9+/_.=\-]{8}"))
-    one = ws.withColumn("word_no", F.explode(F.filter(likely, lambda i: F.get("_w", i).rlike("[0-9]") | F.array_join(F.slice("_w", F.greatest(i - 1, F.lit(1)), F.least(i + 1, F.lit(3))), " ").rlike(ANNOUNCE_RE))))
+    one = ws.withColumn("word_no", F.explode(F.filter(likely, lambda i: F.get("_w", i).rlike(f"[0-9]|{BEGIN_RE}") | F.array_join(F.slice("_w", F.greatest(i - 1, F.lit(1)), F.least(i + 1, F.lit(3))), " ").rlike(ANNOUNCE_RE))))
     w = F.get("_w", F.col("word_no"))
     inner, value = F.regexp_extract(w, WORD_PARTS_RE, 1), F.regexp_extract(w, WORD_PARTS_RE, 2)
     named = lambda name: F.when(name != "", F.concat(name, F.lit("="))).otherwise("")
@@ -227,8 +242,9 @@ def candidates(docs: DataFrame, *, path_col: str | None = "source") -> DataFrame
 def scan(docs: DataFrame, *, forest: list | None = None, path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
     """Every candidate with score (0 to 1) and is_secret (score >= threshold).
 
-    Null, empty and blank texts have no findings; repeated rows repeat theirs; further
-    columns are ignored.  The path is the column ``path_col`` if the table has it.
+    Null, empty and blank texts have no findings, and an empty table has none; very long texts
+    are read whole; repeated rows repeat theirs; equal findings get equal scores; further columns
+    are ignored, whatever their names.  The path is the column ``path_col`` if the table has it.
     """
     forest = forest or train_forest(docs.sparkSession)
     found = candidates(docs, path_col=path_col)
@@ -236,5 +252,3 @@ def scan(docs: DataFrame, *, forest: list | None = None, path_col: str | None =
     rows = found.select("*", F.struct(*[c.cast("double").alias(k) for k, c in made.items()]).alias("_f"))
     score = F.expr(forest_sql(forest, tuple(f"_f.{k}" for k in FEATURES)))
     return rows.select(*found.columns, score.alias("score")).withColumn("is_secret", F.col("score") >= threshold)
-
-
