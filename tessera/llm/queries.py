@@ -13,11 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chroma import excerpts, fingerprints, render_vectors, search
+    from .chroma import PHASES, excerpts, fingerprints, render_vectors, search
 
     media = render_vectors(_table(spark, sf_dir, "embeddings"), id_col="vec_id", vector_col="embedding")
-    probes = excerpts(media.filter("id % 20 = 0"), start_seconds=1.28, seconds=5.12)
-    return search(fingerprints(media), fingerprints(probes)).withColumnRenamed("id", "vec_id")
+    probes = excerpts(media.filter("id % 20 = 0"), seconds=5.12)
+    return search(fingerprints(media), fingerprints(probes, phases=PHASES)).withColumnRenamed("id", "vec_id")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +46,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality import quality_model, score_quality
+    from .quality import score_quality
 
-    docs = _table(spark, sf_dir, "documents")
-    model = quality_model(docs, _table(spark, sf_dir, "labels"))
-    return score_quality(docs.select("doc_id", "text"), model, threshold=0.3).select("doc_id", "held_out", "score", "predicted")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, _table(spark, sf_dir, "labels"), threshold=0.3, text=False).select("doc_id", "held_out", "score", "predicted")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
