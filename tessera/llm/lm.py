@@ -23,13 +23,14 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .base import bounded_batches, materialize
 from .labelled import fold
@@ -53,6 +54,10 @@ MAX_TRAINING = 5_000
 RATES = (2e-3, 7e-4)
 #: Windows that each pass sees at least, rows counted again, where the first steps haven't been on all texts.
 LEAST_WINDOWS = 32_000
+#: Bound on the bytes of these texts, and on the sets of weights that the driver collects of a pass.
+FIRST_BYTES, PARTS = 64 << 20, 256
+#: Places whose logits are held at once.
+BLOCK = 1024
 #: Characters of a word that are encoded at once; longer words are encoded in pieces.
 PIECE = 64
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -102,8 +107,8 @@ class Attention:
         layer = lambda m: {f"e{m}": n(FIRST + INNER + 1, d, k=0.3), f"pos{m}": n(WINDOW, d, k=0.02), f"q{m}": n(d, d, k=0.2), f"k{m}": n(d, d, k=0.2), f"v{m}": n(d, d, k=0.25), f"o{m}": n(d, d, k=0.25)}
         return Attention(layer("") | layer("1") | {"u0": n(d, FIRST), "b0": np.zeros(FIRST, np.float32), "u1": n(d, INNER), "b1": np.zeros(INNER, np.float32)})
 
-    def forward(self, ids: np.ndarray, valid: np.ndarray, scored: int, inner: bool, keep: bool = False):
-        """Logits of the classes at the last ``scored`` places of each window.
+    def states(self, ids: np.ndarray, valid: np.ndarray, scored: int, inner: bool, keep: bool = False):
+        """States (windows, scored, DIM) at the last ``scored`` places of each window.
 
         ``ids`` (windows, length) are inputs, ``valid`` marks those within their text.
         """
@@ -111,48 +116,67 @@ class Attention:
         x = np.take(p["e" + m], ids, axis=0)
         x += p["pos" + m][:n]
         xq = x[:, n - scored :]
-        q, k, v = xq @ p["q" + m], x @ p["k" + m], x @ p["v" + m]
-        s = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(DIM**-0.5)
+        q, k, v = xq @ (p["q" + m] * np.float32(DIM**-0.5)), x @ p["k" + m], x @ p["v" + m]
+        s = np.matmul(q, k.transpose(0, 2, 1))
         np.exp(np.minimum(s, np.float32(40), out=s), out=s)
         s *= np.tri(scored, n, n - scored, dtype=s.dtype)  # no id sees those ahead of it
         part = np.flatnonzero(~valid.all(axis=1))
         s[part] *= valid[part][:, None, :]
-        s /= s.sum(axis=2, keepdims=True) + np.float32(1e-30)
+        total = s.sum(axis=2, keepdims=True) + np.float32(1e-30)
+        if keep:
+            s /= total
+            c = np.matmul(s, v)
+            return xq + c @ p["o" + m], (x, xq, q, k, v, s, c)
         c = np.matmul(s, v)
-        h = xq + c @ p["o" + m]
-        u, b = ("u1", "b1") if inner else ("u0", "b0")
-        z = h.reshape(-1, DIM) @ p[u]
-        z += p[b]
-        np.minimum(z, np.float32(60), out=z)
-        z = z.reshape(*h.shape[:2], -1)
-        return (z, x, xq, q, k, v, s, c, h) if keep else z
+        c /= total
+        return xq + c @ p["o" + m]
+
+    def odds(self, h: np.ndarray, inner: bool) -> np.ndarray:
+        """Logits of the classes for states (places, DIM); they may be changed in place."""
+        u, b = (self.p["u1"], self.p["b1"]) if inner else (self.p["u0"], self.p["b0"])
+        z = h @ u
+        z += b
+        # Exponentials stay finite; the bound on all logits is cheaper than a look at each.
+        if len(h) and math.sqrt(float((h * h).sum(axis=1).max()) * float((u * u).sum(axis=0).max())) + float(np.abs(b).max()) > 60:
+            np.minimum(z, 60, out=z)
+        return z
 
     def gradient(self, ids: np.ndarray, valid: np.ndarray, target: np.ndarray, weight: np.ndarray, inner: bool) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the weighted targets and its gradient."""
         p, scored, n, m = self.p, target.shape[1], ids.shape[1], "1" if inner else ""
-        lp, x, xq, q, k, v, s, c, h = self.forward(ids, valid, scored, inner, keep=True)
-        lp -= np.log(np.exp(lp).sum(axis=2, keepdims=True))
+        h, (x, xq, q, k, v, s, c) = self.states(ids, valid, scored, inner, keep=True)
         u, b = ("u1", "b1") if inner else ("u0", "b0")
         total = max(1.0, float(weight.sum()))
-        i, j = np.indices(target.shape)
-        loss = -float((lp[i, j, target] * weight).sum()) / total
-        dz = np.exp(lp)
-        dz[i, j, target] -= 1
-        dz *= (weight / total)[:, :, None].astype(np.float32)
+        used = weight > 0
+        hs, y, w = h[used], target[used], (weight[used] / total).astype(h.dtype)
+        at = np.arange(len(y))
+        dz = self.odds(hs, inner)
+        hit = dz[at, y].astype(float)
+        np.exp(dz, out=dz)
+        sums = dz.sum(axis=1)
+        loss = float(((np.log(sums) - hit) * w).sum())
+        dz *= (w / sums)[:, None]
+        dz[at, y] -= w
         flat = lambda a: a.reshape(-1, a.shape[-1])
-        g = {u: flat(h).T @ flat(dz), b: flat(dz).sum(axis=0)}
-        dh = dz @ p[u].T
+        g = {u: hs.T @ dz, b: dz.sum(axis=0)}
+        dh = np.zeros_like(h)
+        dh[used] = dz @ p[u].T
         g["o" + m] = flat(c).T @ flat(dh)
         dc = dh @ p["o" + m].T
         ds = np.matmul(dc, v.transpose(0, 2, 1))
         dv = np.matmul(s.transpose(0, 2, 1), dc)
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * np.float32(DIM**-0.5)
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
+        ds -= (dc * c).sum(axis=2, keepdims=True)
+        ds *= s
+        dq, dk = np.matmul(ds, k) * np.float32(DIM**-0.5), np.matmul(ds.transpose(0, 2, 1), q)
         g["q" + m], g["k" + m], g["v" + m] = flat(xq).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
         dx = dk @ p["k" + m].T + dv @ p["v" + m].T
         dx[:, n - scored :] += dh + dq @ p["q" + m].T
-        places = (ids.ravel()[:, None] * DIM + np.arange(DIM)).ravel()
-        g["e" + m] = np.bincount(places, weights=dx.ravel(), minlength=p["e" + m].size).reshape(p["e" + m].shape).astype(dx.dtype)
+        # Rows of one input are summed next to each other.
+        order = np.argsort(ids, axis=None, kind="stable")
+        sorted_ids = ids.ravel()[order]
+        heads = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
+        g["e" + m] = np.zeros_like(p["e" + m])
+        g["e" + m][sorted_ids[heads]] = np.add.reduceat(flat(dx)[order], heads, axis=0)
         g["pos" + m] = np.zeros_like(p["pos" + m])
         g["pos" + m][:n] = dx.sum(axis=0)
         return loss, g
@@ -230,34 +254,38 @@ class Model:
         target[begins + n - 1] = INNER - 1
         return inputs, target, n, flat
 
-    def encode(self, words: list[bytes], subwords: Subwords) -> tuple[np.ndarray, np.ndarray]:
-        """Class of the first id of words outside the table, and natural log of the rest of the word given that class."""
+    def encode(self, words: list[bytes], subwords: Subwords) -> np.ndarray:
+        """Natural log of the rest of each word outside the table, given the class of its first id."""
+        if not words:
+            return np.zeros(0)
         inputs, target, n, flat = self.spelled([subwords(w) for w in words])
         begins = np.cumsum(n) - n
-        first, ends = flat[begins], begins + n - 1
         within = np.zeros(len(flat))
         within[:-1] = self.inner_log[flat[1:]]
-        within[ends] = 0.0
+        within[begins + n - 1] = 0.0
         lp, _ = score_places(self.net, inputs, target, n, INNER_WINDOW, INNER_CONTEXT, inner=True)
         lp = np.log((1 - FLAT) * np.exp(lp) + FLAT * self.inner_share[target])
-        return self.other_class[first], self.other_log[first] + np.add.reduceat(lp + within, begins) if len(flat) else within
+        return self.other_log[flat[begins]] + np.add.reduceat(lp + within, begins)
 
 
-def score_places(net: Attention, inputs: np.ndarray, target: np.ndarray, lengths: np.ndarray, window: int, context: int, *, inner: bool, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def score_places(net: Attention, inputs: np.ndarray, target: np.ndarray, lengths: np.ndarray, window: int, context: int, *, inner: bool) -> tuple[np.ndarray, np.ndarray]:
     """Log probability of every target, each once, over batches of windows; and of any word outside the table."""
     at, valid, counts = windows(lengths, window, context)
-    out, outside = np.zeros(len(inputs)), np.zeros(len(inputs))
-    step = max(1, block // (window - context))
+    out, outside = np.zeros(len(inputs)), np.zeros(0 if inner else len(inputs))
+    step = max(1, (BLOCK if not inner else BLOCK // 2) // (window - context))
     for i in range(0, len(at), step):
         a, ok, c = at[i : i + step], valid[i : i + step], counts[i : i + step]
-        z = net.forward(inputs[a], ok, window - context, inner)
+        h = net.states(inputs[a], ok, window - context, inner)[c]
         places = a[:, context:][c]
-        r, q = np.nonzero(c)
-        hit = z[r, q, target[places]]
-        total = np.log(np.exp(z, out=z).sum(axis=2))
-        out[places] = hit - total[r, q]
-        if not inner:
-            outside[places] = (np.log(z[:, :, FREQUENT:].sum(axis=2)) - total)[r, q]
+        z = net.odds(h, inner)
+        hit = z[np.arange(len(z)), target[places]]
+        np.exp(z, out=z)
+        if inner:
+            out[places] = hit - np.log(z.sum(axis=1))
+        else:
+            other = z[:, FREQUENT:].sum(axis=1)
+            total = np.log(z[:, :FREQUENT].sum(axis=1) + other)
+            out[places], outside[places] = hit - total, np.log(other) - total
     return out, outside
 
 
@@ -291,25 +319,49 @@ def train(texts: list[str], m: Model, *, steps: int = 2000, seed: int = 11) -> M
     return m
 
 
+def _first_class(m: Model, sub: Subwords, words: list[bytes]) -> np.ndarray:
+    """Class of the first id of each of these words outside the table."""
+    if len(_CLASSES) > 500_000:
+        _CLASSES.clear()
+    out = []
+    for w in words:
+        c = _CLASSES.get(w)
+        if c is None:
+            c = _CLASSES[w] = int(m.other_class[sub(w)[0]])
+        out.append(c)
+    return np.array(out, dtype=np.int64)
+
+
+def place_words(docs: list[list[bytes]], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """For words and ends of texts, joined: number in the table (-1: not in it), class; lengths, places of ends, other words and their places."""
+    table, sub = _ready(m)
+    n = np.array([len(d) + 1 for d in docs], dtype=np.int64)
+    ends = np.cumsum(n) - 1
+    index = np.fromiter(chain.from_iterable(chain(map(table.get, d, repeat(-1)), (-2,)) for d in docs), dtype=np.int64, count=int(n.sum()))
+    cls = np.full(len(index), FREQUENT - 1, dtype=np.int64)
+    known = index >= 0
+    if m.word_class is not None and len(m.word_class):
+        cls[known] = m.word_class[index[known]]
+    other = np.flatnonzero(index == -1)
+    owner = np.searchsorted(ends, other)
+    begins = ends - n + 1
+    ws = [docs[o][i] for o, i in zip(owner.tolist(), (other - begins[owner]).tolist(), strict=True)]
+    cls[other] = _first_class(m, sub, ws)
+    return index, cls, n, ends, ws, other
+
+
 def first_places(docs: list[list[bytes]], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, targets and lengths of the first classes of texts, each with its end."""
-    table, sub = _ready(m)
-    other: dict[bytes, int] = {}
+    _, target, lengths, ends, _, _ = place_words(docs, m)
+    return shifted(target, ends, lengths), target, lengths
 
-    def kind(w: bytes) -> int:
-        i = table.get(w, -1)
-        if i >= 0:
-            return m.word_class[i]
-        if w not in other:
-            other[w] = m.other_class[sub(w)[0]]
-        return other[w]
 
-    lengths = np.array([len(d) + 1 for d in docs], dtype=np.int64)
-    target = np.array([c for d in docs for c in (*map(kind, d), FREQUENT - 1)], dtype=np.int64)
-    inputs = np.empty_like(target)
-    inputs[1:] = target[:-1]
-    inputs[np.cumsum(lengths) - lengths] = Model.BOS
-    return inputs, target, lengths
+def shifted(cls: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Classes one place later, each text begun by the mark of a beginning."""
+    inputs = np.empty_like(cls)
+    inputs[1:] = cls[:-1]
+    inputs[ends - lengths + 1] = Model.BOS
+    return inputs
 
 
 def train_on(rows: DataFrame, model: Broadcast, net: Attention, rate: float, passes: int, *, inner: bool) -> Attention:
@@ -341,17 +393,27 @@ def train_on(rows: DataFrame, model: Broadcast, net: Attention, rate: float, pas
                     g = here.gradient(x[at[j]], valid[j], y[at[j][:, at.shape[1] - counts.shape[1] :]], counts[j].astype(np.float32), inner)[1]
                     adam.step(g, rate * min(1.0, step / 20))
         if seen:
-            yield pd.DataFrame({"n": [seen], "p": [np.concatenate([here.p[k].ravel() for k in start]).astype("<f4").tobytes()]})
+            yield pd.DataFrame({"k": [_task() % PARTS], "n": [seen], "p": [np.concatenate([here.p[k].ravel() for k in start]).astype("<f4").tobytes()]})
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        n = int(part["n"].sum())
+        total = sum(np.frombuffer(p, "<f4").astype(float) * w for p, w in zip(part["p"], part["n"], strict=True))
+        return pd.DataFrame({"n": [n], "p": [(total / n).astype("<f8").tobytes()]})
 
-    got = rows.mapInPandas(fit, "n long, p binary").collect()
+    # Sums in two levels: the driver gets PARTS sets of weights at most, however many tasks there are.
+    got = rows.mapInPandas(fit, "k int, n long, p binary").groupBy("k").applyInPandas(add, "n long, p binary").collect()
     if not got:
         return net
     total = sum(r.n for r in got)
-    mean = sum(np.frombuffer(r.p, "<f4").astype(float) * (r.n / total) for r in got)
+    mean = sum(np.frombuffer(r.p, "<f8") * (r.n / total) for r in got)
     cuts = np.split(mean.astype(np.float32), np.cumsum([v.size for v in start.values()])[:-1])
     return Attention({**net.p, **{k: c.reshape(v.shape) for (k, v), c in zip(start.items(), cuts, strict=True)}})
 
 
+def _task() -> int:
+    return TaskContext.get().partitionId()
+
+
 def id_counts(vocabulary: DataFrame, least: int | None, tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Over all words of the corpus: occurrences of first ids of frequent words (``least`` times or more) and of other
     words, in how many other words each inner id is found (with repeats), and the number of other words."""
@@ -360,12 +422,13 @@ def id_counts(vocabulary: DataFrame, least: int | None, tokenizer: str) -> tuple
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sub, n = Subwords(tokenizer), np.zeros((3, n_ids), dtype=np.int64)
         for part in parts:
-            for w, c in zip(part["word"], part["c"], strict=True):
-                ids = sub(w.encode("utf-8", "surrogatepass"))
-                other = least is None or c < least
-                n[int(other), ids[0]] += c
-                if other:
-                    np.add.at(n[2], ids[1:], 1)
+            ids = [sub(w.encode("utf-8", "surrogatepass")) for w in part["word"]]
+            c = part["c"].to_numpy()
+            other = np.ones(len(c), bool) if least is None else c < least
+            first = np.array([x[0] for x in ids], dtype=np.int64)
+            for i in (0, 1):
+                n[i] += np.bincount(first[other == i], weights=c[other == i], minlength=n_ids).astype(np.int64)
+            n[2] += np.bincount(np.fromiter(chain.from_iterable(x[1:] for x, o in zip(ids, other.tolist(), strict=True) if o), dtype=np.int64), minlength=n_ids)
         k, i = np.nonzero(n)
         yield pd.DataFrame({"kind": k, "id": i, "n": n[k, i]})
 
@@ -405,6 +468,8 @@ def add_counts(m: Model, frequent: list[tuple[str, int]], total: int, distinct:
 
 
 _READY: dict[int, tuple] = {}
+#: Classes of first ids of words outside the table, kept in a process while their number is small.
+_CLASSES: dict[bytes, int] = {}
 
 
 def _ready(m: Model) -> tuple[dict[bytes, int], Subwords]:
@@ -412,110 +477,110 @@ def _ready(m: Model) -> tuple[dict[bytes, int], Subwords]:
     key = id(m)
     if key not in _READY:
         _READY.clear()
+        _CLASSES.clear()
         _READY[key] = ({w: i for i, w in enumerate(m.words.split(b"\n"))} if m.words else {}, Subwords(m.tokenizer), m)
     return _READY[key][:2]
 
 
 def score_batch(texts: list[str | None], m: Model) -> list[tuple]:
-    """Per text: n_tokens, and n_known, base_score and score of what the table of frequent words covers; {other word: log10 of its spelling, and of any other word, at each place}."""
-    table, sub = _ready(m)
-    docs = [words_of(t) for t in texts]
-    at = [list(map(table.get, d, repeat(-1))) for d in docs]
-    n = np.array([len(d) + 1 for d in docs])
-    ends = np.cumsum(n)
-    begins = ends - n
-    index = np.full(int(n.sum()), -1, dtype=np.int64)
-    for a, b in zip(begins, at, strict=True):
-        index[a : a + len(b)] = b
-    is_end = np.zeros(len(index), dtype=bool)
-    is_end[ends - 1] = True
-    other = np.flatnonzero((index < 0) & ~is_end)
-    cls = np.zeros(len(index), dtype=np.int64)
-    rest = np.zeros(len(index))
-    base = np.zeros(len(index))
+    """Per text: n_tokens; n_known, base_score and score of what the table of frequent words covers; the other words,
+    and for each the log10 of its class and of any word outside the table."""
+    if not texts:
+        return []
+    index, cls, n, ends, ws, other = place_words([words_of(t) for t in texts], m)
+    begins = ends - n + 1
+    rest, base = np.zeros(len(index)), np.zeros(len(index))
     known = index >= 0
-    if m.words:
+    if m.word_log is not None and len(m.word_log):
         i = index[known]
-        cls[known], rest[known], base[known] = m.word_class[i], m.word_log[i], m.word_base[i]
-    rare: list[dict[bytes, list[tuple[float, float]]]] = [{} for _ in docs]
-    if len(other):
-        owner = np.searchsorted(ends, other, side="right")
-        ws = [docs[o][i - begins[o]] for o, i in zip(owner, other, strict=True)]
-        numbers: dict[bytes, int] = {}
-        of = np.array([numbers.setdefault(w, len(numbers)) for w in ws])
-        c, r = m.encode(list(numbers), sub)
-        cls[other] = c[of]
-        rest[other] = r[of] / math.log(10)
-    cls[is_end] = FREQUENT - 1
-    base[is_end], known[is_end] = m.end_base, m.end_known
-    inputs = np.empty_like(cls)
-    inputs[1:] = cls[:-1]
-    inputs[begins] = Model.BOS
-    lp, outside = score_places(m.net, inputs, cls, n, WINDOW, CONTEXT, inner=False)
-    lp = lp / math.log(10) + rest
-    if len(other):
-        for o, w, x, y in zip(owner, ws, lp[other].tolist(), (outside[other] / math.log(10)).tolist(), strict=True):
-            rare[o].setdefault(w, []).append((x, y))
-    lp = np.log10((1 - BASE) * 10.0**lp + BASE * 10.0**base)
+        rest[known], base[known] = m.word_log[i], m.word_base[i]
+    base[ends], known[ends] = m.end_base, m.end_known
+    lp, outside = score_places(m.net, shifted(cls, ends, n), cls, n, WINDOW, CONTEXT, inner=False)
+    first, any_other = lp[other] / math.log(10), outside[other] / math.log(10)
+    lp = np.log10((1 - BASE) * 10.0 ** (lp / math.log(10) + rest) + BASE * 10.0**base)
     lp[other] = 0.0  # these are added where the counts of all words are
     total, based, knew = np.add.reduceat(lp, begins), np.add.reduceat(base, begins), np.add.reduceat(known.astype(np.int64), begins)
-    return [(int(k), int(q), float(b), float(s), x) for k, q, b, s, x in zip(n, knew, based, total, rare, strict=True)]
+    cuts = np.searchsorted(other, np.r_[begins, len(index)])
+    rare = [w.decode("utf-8", "replace") for w in ws]
+    return [(int(k), int(q), float(x), float(y), rare[a:b], first[a:b], any_other[a:b]) for k, q, x, y, a, b in zip(n, knew, based, total, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c over all texts of ``docs``; words are counted in each task and then summed."""
+    """word, c (occurrences in the rows to learn from) for every word of ``docs``; words are counted in each task and then summed."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter = Counter()
+        held: set = set()
 
         def out() -> pd.DataFrame:
-            return pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in c], "c": list(c.values())})
+            ws, ns = [*c, *(held - c.keys())], [*c.values()]
+            return pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in ws], "c": ns + [0] * (len(ws) - len(ns))})
 
         for part in parts:
-            for t in part["text"]:
-                c.update(words_of(t if isinstance(t, str) else None))
-                if len(c) > 400_000:
+            for t, learn in zip(part["text"], part["learn"], strict=True):
+                ws = words_of(t if isinstance(t, str) else None)
+                c.update(ws) if learn else held.update(ws)
+                if len(c) + len(held) > 400_000:
                     yield out()
                     c.clear()
-        if c:
+                    held.clear()
+        if c or held:
             yield out()
 
-    return docs.select("text").mapInPandas(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    rows = docs.select("text", (fold(F.col("doc_id"), FOLDS) != HELD_OUT).alias("learn"))
+    return rows.mapInPandas(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def least_count(vocabulary: DataFrame, most: int) -> int | None:
+    """The least count for which the words that reach it are ``most`` at most; None if there is none."""
+    per = vocabulary.groupBy("c").agg(F.count(F.lit(1)).alias("k"))
+    # One row per distinct count, of which a corpus has few.
+    upto = per.select("c", F.sum("k").over(Window.orderBy(F.desc("c"))).alias("upto"))
+    return upto.filter(F.col("upto") <= most).agg(F.min("c")).first()[0]
+
+
+def first_texts(learned: DataFrame, most: int, size: int = FIRST_BYTES) -> list[str]:
+    """Texts for the first steps, chosen by hash of the id: at most ``most`` and, but for the first, at most ``size`` bytes in all."""
+    one = learned.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = one.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "n").limit(most).collect()
+    chosen, total = set(), 0
+    for r in sizes:
+        total += r.n
+        if chosen and total > size:
+            break
+        chosen.add(r.doc_id)
+    if not chosen:
+        return []
+    ids = learned.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "doc_id long")
+    got = one.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()  # of repeated ids the least text
+    return [r.text for r in sorted(got, key=lambda r: r.doc_id)]
 
 
-def fit_model(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, max_frequent: int = MAX_FREQUENT, max_training: int = MAX_TRAINING) -> tuple[Model, Broadcast, DataFrame, int, int]:
-    """The model of the rows that aren't held out, its broadcast tables, the vocabulary, and the numbers of tokens and of distinct ones."""
+def fit_model(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, max_frequent: int = MAX_FREQUENT, max_training: int = MAX_TRAINING) -> tuple[Model, Broadcast, DataFrame, int, int, int | None]:
+    """The model of the rows that aren't held out, its broadcast tables, the vocabulary, the numbers of tokens and of distinct ones, and the least count of the table's words."""
     spark = docs.sparkSession
     bounded_batches(spark)
     learned = docs.filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    vocabulary = materialize(word_counts(learned), "vocabulary")
+    everything = materialize(word_counts(docs), "vocabulary")
+    vocabulary = everything.filter("c > 0")
     n_texts = learned.count()
     sums = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     total, distinct = int(sums.n) + n_texts, int(sums.v) + (n_texts > 0)
-    # The least count for which the words that reach it fit the table: from the counts of counts.  The rarest tenth
-    # of the words stays outside at any size, so that spellings are learned from it.
-    max_frequent = min(max_frequent, int(sums.v) * (SPELLED - 1) // SPELLED)
-    least, running = None, 0
-    for r in sorted(vocabulary.groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r.c):
-        running += r.k
-        if running > max_frequent:
-            break
-        least = r.c
+    # The rarest tenth of the words stays outside the table at any size, so that spellings are learned from it.
+    least = least_count(vocabulary, min(max_frequent, int(sums.v) * (SPELLED - 1) // SPELLED))
     frequent = sorted((r.word, r.c) for r in vocabulary.filter(F.col("c") >= least).toLocalIterator()) if least else []
     fitted = add_counts(new_model(*id_counts(vocabulary, least, tokenizer), tokenizer), frequent, total, distinct, n_texts)
-    chosen = learned.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_training)
-    texts = [r.text for r in sorted(learned.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").limit(2 * max_training).collect(), key=lambda r: (r.doc_id, r.text or ""))]
-    train(texts, fitted)
+    train(first_texts(learned, max_training), fitted)
     _READY.clear()
     # All training rows and all other words, each in one of the passes.
     model = spark.sparkContext.broadcast(fitted)
     others = vocabulary.filter(F.col("c") < least) if least else vocabulary
     passes = 1 if n_texts <= max_training else max(1, -(-LEAST_WINDOWS * (WINDOW - CONTEXT) // max(1, total)))
-    for i, rate in enumerate(RATES):
+    for i, rate in enumerate(RATES if n_texts else ()):
         turn = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(len(RATES))) == i  # noqa: B023, E731
         fitted.net = train_on(learned.filter(turn("doc_id")).select("text"), model, fitted.net, rate, passes, inner=False)
         fitted.net = train_on(others.filter(turn("word")).select("word"), model, fitted.net, rate, 1, inner=True)
-    return fitted, model, vocabulary, total, distinct
+    return fitted, model, everything, total, distinct, least
 
 
 def score_texts(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, max_frequent: int = MAX_FREQUENT, max_training: int = MAX_TRAINING) -> DataFrame:
@@ -524,36 +589,46 @@ def score_texts(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, max_freq
     Learns from all rows whose crc32(doc_id as text) mod 7 is not 2: counts, and the
     attention model, whose first steps are on at most ``max_training`` of them.  Null and
     empty texts are an end alone.  Without rows to learn from, train_tokens is 0 and only the
-    untrained model scores.  Repeated rows repeat.
+    untrained model scores; an empty table gives an empty one.  Very long texts are scored
+    whole, window by window.  Repeated rows repeat, and count as often; equal texts get equal
+    scores.  Further columns are ignored, whatever their names.
     """
-    fitted, model, vocabulary, total, distinct = fit_model(docs, tokenizer=tokenizer, max_frequent=max_frequent, max_training=max_training)
+    docs = docs.select("doc_id", "text")
+    fitted, model, vocabulary, total, distinct, least = fit_model(docs, tokenizer=tokenizer, max_frequent=max_frequent, max_training=max_training)
     net = fitted.net
+    numbers = ("n_tokens", "n_known", "base_score", "score", "word", "first", "any")
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
         m.net = net
         for part in parts:
             got = score_batch([t if isinstance(t, str) else None for t in part.pop("text")], m)
-            out = part.assign(**{k: [g[i] for g in got] for i, k in enumerate(("n_tokens", "n_known", "base_score", "score"))})
-            out["rare"] = [[{"word": w.decode("utf-8", "replace"), "spelled": [a for a, _ in x], "any": [b for _, b in x]} for w, x in g[4].items()] for g in got]
-            yield out
+            yield part.assign(**{k: [g[i] for g in got] for i, k in enumerate(numbers)})
+
+    def spell(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = model.value
+        m.net = net
+        sub = _ready(m)[1]
+        for part in parts:
+            part["rest"] = m.encode([w.encode("utf-8", "surrogatepass") for w in part["word"]], sub) / math.log(10)
+            yield part
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), "text")
-    schema = "_row long, doc_id long, named boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word: string, spelled: array<double>, any: array<double>>>"
+    schema = "_row long, doc_id long, named boolean, n_tokens long, n_known long, base_score double, score double, word array<string>, first array<double>, any array<double>"
     scored = materialize(rows.mapInPandas(score, schema), "scored")
-    # What the table doesn't cover meets the whole vocabulary here.
-    other = scored.select("_row", F.explode("rare").alias("r")).select("_row", F.col("r.word").alias("word"), F.col("r.spelled").alias("spelled"), F.col("r.any").alias("any"))
-    c = F.coalesce("c", F.lit(0))
-    times = F.size("spelled")
+    # What the table doesn't cover meets its count and its spelling here, both made once per distinct word.
+    others = vocabulary.filter(F.col("c") < least) if least else vocabulary
+    spelled = others.mapInPandas(spell, "word string, c long, rest double")
+    other = scored.select("_row", F.explode(F.arrays_zip("word", "first", "any")).alias("r")).select("_row", "r.word", "r.first", "r.any")
     ten = lambda x: F.pow(F.lit(10.0), x)
-    places = F.zip_with("spelled", "any", lambda s, y: F.log10(F.lit((1 - BASE) * (1 - COUNTED)) * ten(s) + F.lit((1 - BASE) * COUNTED / max(1, fitted.n_other)) * c * ten(y) + F.lit(BASE / (total + distinct + 1.0)) * (c + 1.0)))
-    mixed = F.aggregate(places, F.lit(0.0), lambda s, x: s + x)
-    more = other.join(vocabulary, "word", "left").groupBy("_row").agg(
-        F.sum(times * (F.log10(c + 1.0) + F.lit(-math.log10(total + distinct + 1)))).alias("_base"),
-        F.sum(F.when(c > 0, times).otherwise(0)).alias("_known"),
+    c = F.col("c")
+    mixed = F.log10(F.lit((1 - BASE) * (1 - COUNTED)) * ten(F.col("first") + F.col("rest")) + F.lit((1 - BASE) * COUNTED / max(1, fitted.n_other)) * c * ten(F.col("any")) + F.lit(BASE / (total + distinct + 1.0)) * (c + 1.0))
+    more = other.join(spelled, "word").groupBy("_row").agg(
+        F.sum(F.log10(c + 1.0) + F.lit(-math.log10(total + distinct + 1))).alias("_base"),
+        F.count_if(c > 0).alias("_known"),
         F.sum(mixed).alias("_score"),
     )
-    ids = scored.withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("rare", "named")
+    ids = scored.withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("word", "first", "any", "named")
     return ids.join(more, "_row", "left").select(
         "doc_id",
         (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"),
