@@ -14,15 +14,15 @@ from tessera.llm.decontamination import decontaminate
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.mixing import mix
 from tessera.llm.near_dedup import drop_near_duplicates
-from tessera.llm.quality import quality_model, score_quality
+from tessera.llm.quality import score_quality
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject (score of 0.3 or more)."""
-    model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs.select(*COLUMNS), model, threshold=0.3).filter("predicted = 1").select(*COLUMNS)
+    scored = score_quality(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+    return scored.filter("predicted = 1").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
