@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, hot_join, materialize, maybe_broadcast, unused
+from .base import bounded_batches, hot_join, materialize, maybe_broadcast, scratch, unused
 from .components import components
 from .shingles import in_chunks, mix64, shingle_sets
 
@@ -163,7 +163,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8)
     component_id is null and they are kept.  doc_ids are whole numbers; an empty table gives an
     empty one; further columns are ignored, whatever their names.
     """
-    docs = docs.select("doc_id", "text")
+    with scratch():
+        return materialize(_linked(docs.select("doc_id", "text"), width, threshold), "near", outlive=True)
+
+
+def _linked(docs: DataFrame, width: int, threshold: float) -> DataFrame:
+    """What ``near_duplicates`` returns; reads tables that go with the scratch space it is called in."""
     signed = materialize(signatures(docs, width=width, threshold=threshold), "signed")
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["f1", "f2", "n_shingles"]
