@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -29,9 +30,9 @@ class Memory:
         if project_root:
             self.roots |= {"memory_project": f"{project_root}/.tessera/memory", "skill_project": f"{project_root}/.tessera/skills"}
 
-    def _rows(self, chunks: DataFrame, index_name: str) -> DataFrame:
-        """Chunks (file_path, file_hash, chunk_idx, text, display_text, heading_path, scope, tags) as rows of the store."""
-        made = chunks.withColumn("embedding", embed_column(self.embedder, F.col("display_text"))).withColumn("text", F.col("display_text"))
+    def _rows(self, chunks: DataFrame, index_name: str, *, stored: str = "display_text") -> DataFrame:
+        """Chunks (file_path, file_hash, chunk_idx, display_text, heading_path, scope, tags) as rows of the store; ``stored`` names the text that is kept."""
+        made = chunks.withColumn("embedding", embed_column(self.embedder, F.col("display_text"))).withColumn("text", F.col(stored))
         return made.select(
             *[{"index_name": F.lit(index_name), "model": F.lit(self.embedder.model), "indexed_at": F.current_timestamp()}.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in CHUNKS]
         )
@@ -69,7 +70,7 @@ class Memory:
         args = (F.col("language"), F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("text"))
         c = c.withColumn("_stored", X.code_stored_text(*args)).withColumn("display_text", X.code_embed_text(*args))
         c = c.withColumn("scope", F.lit(CODE_SCOPE)).withColumn("tags", F.array().cast("array<string>")).withColumn("heading_path", F.array().cast("array<string>"))
-        rows = self._rows(c, "code").join(c.select("file_path", "chunk_idx", "_stored"), ["file_path", "chunk_idx"]).withColumn("text", F.col("_stored")).select(CHUNKS.fieldNames()).cache()
+        rows = self._rows(c, "code", stored="_stored").cache()
         counters = indexing.run_counters(plan, rows).first().asDict()
         self.store.apply(plan, rows)
         plan.unpersist()
@@ -77,12 +78,17 @@ class Memory:
         return counters
 
     def reindex(self) -> dict[str, int]:
-        """Index everything anew."""
-        self.store.write(self.store.read().limit(0))
-        return self.index()
+        """Index everything anew, the project's code too; without a project the code that is stored stays."""
+        stored = self.store.read()
+        self.store.write(stored.limit(0) if self.project_root else stored.filter(F.col("scope") == CODE_SCOPE))
+        counters = self.index()
+        if self.project_root:
+            code = self.index_code()
+            counters = {k: v + code[k] for k, v in counters.items()}
+        return counters
 
     def search(self, query: str, *, scope: str | list[str] | None = None, k: int = 5, tags: list[str] | None = None, rerank: bool = False) -> DataFrame:
-        """The hits nearest to a query, with rank."""
+        """The hits nearest to a query, best first."""
         vector, k = self.embedder.embed([query])[0], search.clamp_k(k)
         rows = self.store.read().filter(F.col("scope") != CODE_SCOPE)
         hits = search.search_reranked(rows, vector, query, k, lexical_score, scope=scope, tags=tags) if rerank else search.top_k(rows, vector, k, scope=scope, tags=tags)
@@ -149,8 +155,13 @@ class Memory:
         kind = {"global": "memory_global", "project": "memory_project"}[to]
         if kind not in self.roots:
             raise ValueError("no project")
+        found = C.find(self.catalog(), slug).first()
+        if found is None:
+            raise KeyError(slug)
+        new = Path(self.roots[kind]) / Path(found.path).name
+        if new.exists():
+            raise FileExistsError(str(new))
         old = Path(self.remove_from_index(slug))
-        new = Path(self.roots[kind]) / old.name
         new.parent.mkdir(parents=True, exist_ok=True)
         old.rename(new)
         self.index()
@@ -163,6 +174,23 @@ class Memory:
         self.store.delete(self.spark.createDataFrame([(found.path,)], "file_path string"))
         return found.path
 
+    def show(self, slug: str, scope: str | None = None) -> str:
+        """The file of a memory, front matter and all."""
+        found = C.find(self.catalog(scope), slug, scope).first()
+        if found is None:
+            raise KeyError(slug)
+        return Path(found.path).read_text(encoding="utf-8")
+
+    def edit(self, slug: str, change: Callable[[str], str], scope: str | None = None) -> bool:
+        """Rewrite a memory's file by ``change`` and index it; whether anything changed."""
+        old = self.show(slug, scope)
+        new = change(old)
+        if new == old:
+            return False
+        Path(C.find(self.catalog(scope), slug, scope).first().path).write_text(new, encoding="utf-8")
+        self.index()
+        return True
+
     def merge(self, slugs: list[str], *, title: str | None = None, scope: str | None = None) -> str:
         """Make one memory of several and delete them; returns its path."""
         cat = self.catalog()

@@ -18,7 +18,8 @@ def front_matter(files: DataFrame, *, text: str = "text") -> DataFrame:
     lines = F.filter(X.split_lines(flat), lambda x: x.rlike(r"^[A-Za-z_][\w-]*\s*:"))
     value = lambda x: F.regexp_replace(X.strip(F.regexp_replace(x, r"^[^:]*:\s*,?", "")), r"^([\"'])(.*)\1$", "$2")
     pairs = F.transform(lines, lambda x: F.struct(X.strip(F.regexp_extract(x, r"^([^:]*):", 1)).alias("k"), value(x).alias("v")))
-    last = F.map_from_entries(F.filter(pairs, lambda p: F.size(F.filter(pairs, lambda q: q["k"] == p["k"])) == 1))
+    # Of a key that comes twice the last counts.
+    last = X.let(pairs, lambda ps: F.map_from_entries(F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.greatest(F.size(ps), F.lit(1))), lambda q: q["k"] == p["k"]))))
     return files.withColumn("front", last).withColumn("body", F.when(has, F.regexp_replace(t, r"(?s)\A---[ \t]*\r?\n.*?\n---[ \t]*(\r?\n|\z)\n*", "")).otherwise(t))
 
 

@@ -75,20 +75,23 @@ def resolve_titles(titles: DataFrame, catalog: DataFrame, *, distance: int = MAX
     return titles.join(out.select(*keys, "title", F.coalesce("_near", "_head").alias("found_slug")), [*keys, "title"], "left")
 
 
-def dispatch(items: DataFrame, catalog: DataFrame, *, has_project: bool, max_project_actions: int = MAX_PROJECT_ACTIONS) -> DataFrame:
+def dispatch(items: DataFrame, catalog: DataFrame, *, has_project: bool, max_project_actions: int = MAX_PROJECT_ACTIONS, batch: str | None = None) -> DataFrame:
     """The plan for all items: item_no, part, category, title, slug, status, reason.
 
     Statuses: written, appended, merged, merge_source_deleted, deleted, skipped.  At most
     ``max_project_actions`` merges and deletions of project memories are tried, in order of
-    item_no.  A merge has one row for its result and one per source (part counts them);
+    item_no; ``batch`` names the column of the call or session that the bound holds for, else it
+    holds for the whole table.  item_no is unique in the table.  A merge has one row for its result and one per source (part counts them);
     a source that is the result stays.  ``catalog`` has category, slug, title.
     """
     x = items.select(
         "item_no", F.coalesce("category", F.lit("")).alias("category"), F.coalesce("action", F.lit("write")).alias("action"), X.strip(F.coalesce("title", F.lit(""))).alias("title"),
-        X.strip(F.coalesce("content", F.lit(""))).alias("content"), F.coalesce("merge_sources", F.array().cast("array<string>")).alias("merge_sources"),
+        X.strip(F.coalesce("content", F.lit(""))).alias("content"), F.coalesce("merge_sources", F.array().cast("array<string>")).alias("merge_sources"), (F.col(batch) if batch else F.lit(0)).alias("_batch"),
     )
     counted = (F.col("category") == "project_memory") & F.col("action").isin("merge", "delete")
-    quota = F.sum(F.when(counted, 1).otherwise(0)).over(Window.partitionBy(F.col("action").isin("merge", "delete") & (F.col("category") == "project_memory")).orderBy("item_no"))
+    # Only the counted items of a batch come together; the others are dealt out.
+    apart = F.when(~counted, F.xxhash64("item_no"))
+    quota = F.sum(F.when(counted, 1).otherwise(0)).over(Window.partitionBy("_batch", apart).orderBy("item_no"))
     x = x.withColumn("_over", counted & (quota > max_project_actions)).withColumn("slug", X.slugify(F.col("title")))
     memory, project = F.col("category").isin(*MEMORY_CATEGORIES), F.col("category").isin(*PROJECT_CATEGORIES)
     empty = (F.col("title") == "") | (F.col("content") == "")

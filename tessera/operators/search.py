@@ -66,9 +66,12 @@ def top_k_batch(index: DataFrame, queries: DataFrame, k: int, *, id_col: str = "
 
     Queries (query_id, embedding) are taken in blocks of ``block``, a bounded broadcast.
     Every task multiplies its rows with a block and keeps ``k`` per query; only those are
-    shuffled.  Ties go by the least id.
+    shuffled.  Ties go by the least id.  Rows and queries without a vector are passed over; a zero
+    vector scores NaN, which sorts first, as in ``top_k``.  No queries give an empty table.
     """
-    rows = index.select(id_col, "embedding")
+    types = dict(queries.dtypes) | dict(index.dtypes)
+    rows = index.select(id_col, "embedding").filter("embedding IS NOT NULL")
+    queries = queries.filter("embedding IS NOT NULL")
     kept: DataFrame | None = None
     ids = queries.select(query_id).distinct().count()
     for b in range(max(1, -(-ids // block))):
@@ -77,7 +80,8 @@ def top_k_batch(index: DataFrame, queries: DataFrame, k: int, *, id_col: str = "
         if not got:
             continue
         q = np.array([r.embedding for r in got], dtype=float)
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            q /= np.linalg.norm(q, axis=1, keepdims=True)
         names = [r[query_id] for r in got]
 
         def nearest(parts: Iterator[pd.DataFrame], q=q, names=names) -> Iterator[pd.DataFrame]:
@@ -88,14 +92,17 @@ def top_k_batch(index: DataFrame, queries: DataFrame, k: int, *, id_col: str = "
                 ids, norms = p[id_col].to_numpy(), np.linalg.norm(v, axis=1)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     s = (q @ v.T) / norms[None, :]
-                order = [np.lexsort((ids, -x))[:k] for x in s]
-                yield pd.DataFrame({query_id: np.repeat(names, [len(o) for o in order]), id_col: np.concatenate([ids[o] for o in order]), "score": np.concatenate([x[o] for x, o in zip(s, order, strict=True)])})
-
-        types = dict(queries.dtypes) | dict(index.dtypes)
-        one = rows.mapInPandas(nearest, f"{query_id} {dict(queries.dtypes)[query_id]}, {id_col} {types[id_col]}, score double")
+                none = np.isnan(s)
+                s = np.where(none, 0.0, s)
+                order = [np.lexsort((ids, np.where(z, -np.inf, -x)))[:k] for x, z in zip(s, none, strict=True)]
+                pick = lambda a: np.concatenate([x[o] for x, o in zip(a, order, strict=True)])
+                yield pd.DataFrame({query_id: np.repeat(names, [len(o) for o in order]), id_col: np.concatenate([ids[o] for o in order]), "score": pick(s), "_none": pick(none)})
+
+        one = rows.mapInPandas(nearest, f"{query_id} {dict(queries.dtypes)[query_id]}, {id_col} {types[id_col]}, score double, _none boolean")
+        one = one.withColumn("score", F.when(F.col("_none"), F.lit(float("nan"))).otherwise(F.col("score"))).drop("_none")
         kept = one if kept is None else kept.unionByName(one)
     if kept is None:
-        raise ValueError("no queries")
+        return index.sparkSession.createDataFrame([], f"{query_id} {dict(queries.dtypes)[query_id]}, {id_col} {types[id_col]}, score double, rank int")
     w = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 12)), id_col)
     return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

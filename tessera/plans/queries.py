@@ -192,7 +192,7 @@ def chunk_markdown(spark, sf):
 
 @query
 def code_breadcrumb_parse(spark, sf):
-    d = table(spark, sf, "documents").select(F.concat(F.lit("src/"), F.col("source"), F.lit(".py")).alias("path"), "doc_id", F.substring("text", 1, 40).alias("t"))
+    d = table(spark, sf, "documents").select(F.concat(F.lit("src/"), F.col("source"), F.lit(".py")).alias("path"), "doc_id", F.col("text").alias("t"))
     start, end = (F.col("doc_id") % 90 + 1), (F.col("doc_id") % 90 + 40)
     d = d.withColumn("stored", X.code_stored_text(X.language(F.col("path")), F.col("path"), start, end, F.col("t")))
     p = X.parse_code_hit(F.col("stored"))
@@ -315,7 +315,7 @@ def slugify(spark, sf):
 @query
 def slug_near_match(spark, sf):
     p = table(spark, sf, "part")
-    names = p.select(X.slugify(F.substring("p_name", 1, 12)).alias("slug")).distinct()
+    names = p.select(X.slugify(F.col("p_name")).alias("slug")).distinct()
     nations = table(spark, sf, "nation").select(X.slugify(F.col("n_name")).alias("slug"))
     cut = table(spark, sf, "nation").select(F.concat(F.substring(F.lower("n_name"), 2, 30), F.lit("x")).alias("slug"))
     return routing.near_slugs(names.unionByName(cut), nations).filter("distance IS NOT NULL").select("slug", "target_slug", F.col("distance").cast("long").alias("distance"))
@@ -366,9 +366,10 @@ def catalog_list(spark, sf):
 
 @query
 def catalog_merge(spark, sf):
-    d = table(spark, sf, "documents").select("source", F.col("doc_id").alias("pos"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.array("lang", F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string"))).alias("tags"), F.substring("text", 1, 30).alias("body"))
-    m = catalog.merge_groups(d, "source")
-    return m.select("source", "title", F.array_join("tags", ",").alias("tags"), F.sha2(F.encode("body", "UTF-8"), 256).alias("body_sha256"), "n_sources")
+    # Memories that are merged are few: here each run of 64 ids of a source is one request.
+    d = table(spark, sf, "documents").select("source", F.expr("doc_id div 64").alias("request"), F.col("doc_id").alias("pos"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.array("lang", F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string"))).alias("tags"), F.col("text").alias("body"))
+    m = catalog.merge_groups(d, "source", "request")
+    return m.select("source", "request", "title", F.array_join("tags", ",").alias("tags"), F.sha2(F.encode("body", "UTF-8"), 256).alias("body_sha256"), "n_sources")
 
 
 @query
@@ -453,8 +454,8 @@ ORACLE_SQL: dict[str, str] = {
     "export_sorted": _D + " SELECT doc_id, file_path, chunk_idx, file_hash, scope FROM d ORDER BY file_path, chunk_idx",
     "file_table_distinct": _D + " SELECT DISTINCT file_path, file_hash, scope FROM d",
     "chunk_lines": "WITH " + _LINES.format(id="doc_id", t="documents", step=3, size=4, over=1) + " SELECT doc_id, chunk_idx, start_line, end_line, sha256(text) AS text_sha256 FROM k",
-    "code_breadcrumb_parse": """SELECT doc_id, '[py] ' || source || '.py:' || (doc_id % 90 + 1) || '-' || (doc_id % 90 + 40) || chr(10) || chr(10) || left(text, 40) AS stored, 'py' AS language,
- CAST(doc_id % 90 + 1 AS INT) AS start_line, CAST(doc_id % 90 + 40 AS INT) AS end_line, left(text, 40) AS body FROM documents""",
+    "code_breadcrumb_parse": """SELECT doc_id, '[py] ' || source || '.py:' || (doc_id % 90 + 1) || '-' || (doc_id % 90 + 40) || chr(10) || chr(10) || text AS stored, 'py' AS language,
+ CAST(doc_id % 90 + 1 AS INT) AS start_line, CAST(doc_id % 90 + 40 AS INT) AS end_line, text AS body FROM documents""",
     "session_counts": _COUNTS + " SELECT * FROM n",
     "session_gate": _COUNTS + """ SELECT *, CASE WHEN n_user_messages < 2 OR all_trivial OR (n_file_writes = 0 AND n_user_messages < 3) THEN 'skip' ELSE 'run' END AS decision,
  CASE WHEN n_user_messages < 2 OR all_trivial THEN 'trivial' WHEN n_file_writes = 0 AND n_user_messages < 3 THEN 'discussion' WHEN n_file_writes > 0 THEN 'implementation' ELSE 'discussion' END AS category,
@@ -480,7 +481,7 @@ ORACLE_SQL: dict[str, str] = {
     "recall_scope_counts": f"{_V} SELECT label, count(*) AS n_hits, count_if(contains(scope, 'skill')) AS n_skills, count_if(NOT contains(scope, 'skill')) AS n_memories FROM v GROUP BY label",
     "state_merge": "SELECT user_id % 20 AS session_id, 't' || (event_id % 13) AS title, event_type AS scope, round(max(value), 3) AS score, min(event_id) AS seq, arg_min(props, event_id) AS props FROM events GROUP BY ALL",
     "slugify": f"SELECT doc_id, {_SLUG.format('left(text, 200)')} AS slug FROM documents",
-    "slug_near_match": f"""WITH w AS (SELECT DISTINCT {_SLUG.format('left(p_name, 12)')} AS slug FROM part UNION SELECT lower(n_name)[2:31] || 'x' FROM nation), n AS (SELECT DISTINCT {_SLUG.format('n_name')} AS e FROM nation),
+    "slug_near_match": f"""WITH w AS (SELECT DISTINCT {_SLUG.format('p_name')} AS slug FROM part UNION SELECT lower(n_name)[2:31] || 'x' FROM nation), n AS (SELECT DISTINCT {_SLUG.format('n_name')} AS e FROM nation),
  m AS (SELECT slug, e, levenshtein(slug, e) AS distance, row_number() OVER (PARTITION BY slug ORDER BY levenshtein(slug, e), e) AS r FROM w, n WHERE levenshtein(slug, e) <= 3) SELECT slug, e AS target_slug, distance FROM m WHERE r = 1""",
     "route_quota": """WITH i AS (SELECT event_id, CASE WHEN event_id % 17 = 0 THEN '' ELSE 'Note ' || (event_id % 40) END AS title, row_number() OVER (ORDER BY event_id) AS r FROM events
  WHERE event_id % 6 = 1 AND ['write','write','write','delete','merge'][CAST(floor(event_id / 6) AS BIGINT) % 5 + 1] IN ('delete', 'merge')) SELECT event_id AS item_no, title, 'skipped' AS status FROM i WHERE r > 5""",
@@ -488,9 +489,10 @@ ORACLE_SQL: dict[str, str] = {
  SELECT page_id, file_path, CASE WHEN starts_with(file_path, '/home/memory/') THEN 'memory_global' WHEN starts_with(file_path, '/repo/skills/') THEN 'skill_project' END AS kind,
  CASE WHEN starts_with(file_path, '/home/memory/') THEN 'global' WHEN starts_with(file_path, '/repo/skills/') THEN 'skill_project' END AS scope FROM q""",
     "catalog_list": "SELECT CAST(doc_id AS VARCHAR) AS slug, CASE WHEN doc_id % 2 = 0 THEN 'Head ' || doc_id ELSE 'T' END AS title, 'a,' || lang AS tags, '2026-01-01' AS created_at, CASE WHEN doc_id % 2 = 0 THEN '# Head ' || doc_id || chr(10) ELSE '' END || 'body' AS body FROM documents",
-    "catalog_merge": """WITH d AS (SELECT source, doc_id, trim(left(text, 30), ' ' || chr(10) || chr(9) || chr(13)) AS b, lang FROM documents),
- g AS (SELECT source, unnest([lang, 'm' || (doc_id % 3)]) AS tag FROM d), t AS (SELECT source, string_agg(tag, ',' ORDER BY tag) AS tags FROM (SELECT DISTINCT source, tag FROM g) GROUP BY source)
- SELECT d.source, 'Doc ' || min(doc_id) AS title, any_value(t.tags) AS tags, sha256(coalesce(string_agg(nullif(b, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id), '')) AS body_sha256, count(*) AS n_sources FROM d JOIN t ON d.source = t.source GROUP BY d.source""",
+    "catalog_merge": """WITH d AS (SELECT source, doc_id // 64 AS request, doc_id, trim(text, ' ' || chr(10) || chr(9) || chr(13) || chr(11) || chr(12)) AS b, lang FROM documents),
+ g AS (SELECT source, request, unnest([lang, 'm' || (doc_id % 3)]) AS tag FROM d), t AS (SELECT source, request, string_agg(tag, ',' ORDER BY tag) AS tags FROM (SELECT DISTINCT source, request, tag FROM g) GROUP BY source, request)
+ SELECT d.source, d.request, 'Doc ' || min(doc_id) AS title, any_value(t.tags) AS tags, sha256(coalesce(string_agg(nullif(b, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id), '')) AS body_sha256, count(*) AS n_sources
+ FROM d JOIN t ON d.source = t.source AND d.request = t.request GROUP BY d.source, d.request""",
     "content_hashes": "SELECT doc_id, sha256(text) AS file_hash FROM documents",
     "text_labels": _E + """ SELECT event_id, CASE WHEN tokens * 1000 >= 1000000 THEN printf('%.1fM', tokens / 1e3) WHEN tokens * 1000 >= 1000 THEN printf('%.1fk', tokens * 1.0) ELSE CAST(tokens * 1000 AS VARCHAR) END AS tokens, left(sha256(project), 16) AS key,
  CASE WHEN length('/home/user/projects/of/' || project || source) > 30 THEN '...' || right('/home/user/projects/of/' || project || source, 27) ELSE '/home/user/projects/of/' || project || source END AS directory, source AS title FROM e""",
@@ -498,3 +500,5 @@ ORACLE_SQL: dict[str, str] = {
  SELECT page_id, suffix, CASE WHEN suffix = '' THEN 'text' ELSE suffix[2:] END AS language, suffix IN ('.html', '.php', '.js', '.json', '.css', '.m', '.r', '.c') AS is_code FROM q""",
     "transcript_parse": "SELECT conv_id, 's' || conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, sha256(CASE WHEN turn % 2 = 1 THEN trim(text, ' ' || chr(10) || chr(9) || chr(13)) ELSE text END) AS text_sha256 FROM conversations WHERE role <> 'system'",
 }
+
+from . import details  # noqa: E402, F401  more queries and SQL in the same tables

@@ -116,3 +116,15 @@ def test_store(spark, tmp_path):
     assert s.vacuum(keep=1) == ["v=1", "v=2"]
     other = VectorStore(spark, str(tmp_path / "s"), dim=4, model="other")
     assert other.read().count() == 0
+
+
+def test_batch_search_knows_missing_and_zero_vectors(spark):
+    from tessera.operators import search
+
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [0.6, 0.8])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(10, [1.0, 0.0]), (11, None)], "query_id long, embedding array<double>")
+    got = sorted(search.top_k_batch(rows, queries, 3).collect(), key=lambda r: r["rank"])
+    assert [(r.query_id, r.vec_id) for r in got] == [(10, 3), (10, 1), (10, 4)]
+    one = search.top_k(rows, [1.0, 0.0], 3, ties=("vec_id",)).collect()
+    assert [r.vec_id for r in one] == [3, 1, 4]
+    assert search.top_k_batch(rows, queries.limit(0), 3).count() == 0

@@ -162,3 +162,21 @@ def test_paths_and_texts(spark):
     assert text("<!--A-->\nold\n<!--B-->\nend") == "<!--A-->\nold\n<!-- appended now -->\nnew\n<!--B-->\nend"
     m = spark.range(1).select(routing.memory_text(F.lit("T"), F.lit(" c "), F.lit("1"), F.lit("2"), [("scope", F.lit("global"))], F.array(F.lit("a"))).alias("x")).first().x
     assert m == '---\ncreated_at: 1\nupdated_at: 2\nscope: global\ntags: ["a"]\n---\n\n# T\n\nc\n'
+
+
+def test_quota_holds_for_each_batch(spark):
+    from tessera.operators import routing
+
+    rows = [(i, "project_memory", "delete", f"T{i}", "c", None, i % 2) for i in range(16)]
+    items = spark.createDataFrame(rows, "item_no long, category string, action string, title string, content string, merge_sources array<string>, session int")
+    cat = spark.createDataFrame([("project_memory", f"t{i}", f"T{i}") for i in range(16)], "category string, slug string, title string")
+    deleted = lambda **how: routing.dispatch(items, cat, has_project=True, **how).filter("status = 'deleted'").count()
+    assert deleted() == 5 and deleted(batch="session") == 10
+
+
+def test_last_of_repeated_front_matter_keys(spark):
+    from tessera.operators import catalog
+
+    one = spark.createDataFrame([("---\ntitle: a\ntags: [x]\ntitle: b\n---\nbody",), ("no front",)], "text string")
+    got = [r.front for r in catalog.front_matter(one).collect()]
+    assert got == [{"title": "b", "tags": "[x]"}, {}]
