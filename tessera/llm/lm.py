@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .base import bounded_batches, materialize
-from .labelled import fold
+from .labelled import fold, least_by_hash
 
 FOLDS, HELD_OUT = 7, 2
 #: Classes of first ids of frequent words (the last is the end of a text, the one before takes all rarer ids), then of
@@ -542,7 +542,7 @@ def least_count(vocabulary: DataFrame, most: int) -> int | None:
 def first_texts(learned: DataFrame, most: int, size: int = FIRST_BYTES) -> list[str]:
     """Texts for the first steps, chosen by hash of the id: at most ``most`` and, but for the first, at most ``size`` bytes in all."""
     one = learned.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sizes = one.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "n").limit(most).collect()
+    sizes = least_by_hash(one.select("doc_id", F.octet_length("text").alias("n")), most, F.lit(7)).collect()
     chosen, total = set(), 0
     for r in sizes:
         total += r.n

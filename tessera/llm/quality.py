@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import bounded_batches, materialize, quoted, unused
-from .labelled import fit_logistic, fold, sigmoid
+from .labelled import fit_logistic, fold, least_by_hash, sigmoid
 
 #: Bound on the labelled rows that are fitted on, and on the unlabelled rows of the first steps.
 MAX_LABELLED = 12_000
@@ -210,7 +210,7 @@ def quality_model(rows: DataFrame, labels: DataFrame, x: str, *, max_labelled: i
     """
     usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     one = usable.groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("_y"))
-    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    chosen = least_by_hash(one, max_labelled)
     # A doc_id counts once, with the least of its rows.
     known = _collected(rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(x).alias(x), F.first("_y").alias("_y")), x)
     y = np.array([r["_y"] for r in known])
@@ -222,7 +222,7 @@ def quality_model(rows: DataFrame, labels: DataFrame, x: str, *, max_labelled: i
     means, scales = np.array([sums[f"m{i}"] for i in range(d)]), np.array([sums[f"s{i}"] for i in range(d)]) + 1e-6
     given = _squash(np.array([r.x for r in known]), means, scales)
     positive = given[y == 1]
-    some = rows.select("doc_id", x).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", x).limit(first)
+    some = least_by_hash(rows.select("doc_id", x), first, F.lit(3))
     other = _squash(np.array([r[x] for r in some.collect()]), means, scales)
     # Half of the positives against rows of all kinds; how all rows score tells the prior.
     half = len(positive) // 2

@@ -559,3 +559,13 @@ def test_integral_image_filters_are_sums_of_rectangles():
 def test_fold_is_crc32_of_the_id(spark):
     got = spark.createDataFrame([(i,) for i in (0, 7, 123456789)], "doc_id long").select("doc_id", fold(F.col("doc_id")).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.doc_id).encode()) % 5 for r in got)
+
+
+def test_least_by_hash_is_a_sort_of_all(spark):
+    from tessera.llm.labelled import least_by_hash
+
+    rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    every = [r.doc_id for r in rows.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").collect()]
+    for most in (50, 3_000, 15_000, 30_000):
+        assert [r.doc_id for r in least_by_hash(rows, most, F.lit(3)).collect()] == every[:most]
+    assert least_by_hash(rows.limit(0), 5).count() == 0
