@@ -141,7 +141,7 @@ def salted_join(many: DataFrame, few: DataFrame, on: str, salts: int = SALTS) ->
     return dealt.join(few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [on, salt]).drop(salt)
 
 
-def hot_join(many: DataFrame, few: DataFrame, on: str, *, count: str = "n", rows: int = 200_000) -> DataFrame:
+def hot_join(many: DataFrame, few: DataFrame, on: str | list[str], *, count: str = "n", rows: int = 200_000) -> DataFrame:
     """Inner join of ``many`` with ``few``, which has one row per key and in ``count`` how many rows of ``many`` the key has.
 
     Keys of HOT_ROWS rows or more are few; their rows stay where they are and the side of one

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .vector_sql import OP11_SQL, OP12_SQL, OP13_SQL
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -78,8 +80,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import cluster
+
+    return cluster(_table(spark, sf_dir, "embeddings"), dim=64, factor=64, k=16, rounds=3).drop("measured")
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign, place
+
+    text = F.coalesce("text", F.lit(""))
+    sized = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    placed = place(assign(sized, key="doc_id", shards=24), key="doc_id", shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import encode
+
+    return encode(_table(spark, sf_dir, "embeddings"), factor=256, parts=16, entries=64, rounds=2).drop("label", "scanned")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chroma, op2_line_dedup, op3_near_dedup, op4_toxicity, op5_html_text, op6_quality, op7_lm_score, op8_decontamination, op9_secret_scan, op10_mixing)}
+    return {f.__name__: f for f in (op1_chroma, op2_line_dedup, op3_near_dedup, op4_toxicity, op5_html_text, op6_quality, op7_lm_score, op8_decontamination, op9_secret_scan, op10_mixing, op11_clusters, op12_shards, op13_codes)}
 
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -137,4 +160,4 @@ FROM p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op8_decontamination": OP8_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op8_decontamination": OP8_SQL, "op10_mixing": OP10_SQL, "op11_clusters": OP11_SQL, "op12_shards": OP12_SQL, "op13_codes": OP13_SQL}
