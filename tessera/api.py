@@ -46,14 +46,14 @@ class Memory:
 
     def index(self, *, prune: bool = True) -> dict[str, int]:
         """Bring the index up to date with the directories; only new and changed files are chunked and embedded."""
-        seen = self._seen()
-        stored = self.store.read().filter(F.col("scope") != CODE_SCOPE)
-        plan = indexing.change_plan(seen, indexing.file_table(stored), prune=prune).cache()
+        seen, base = self._seen(), self.store.manifest()["version"]
+        stored = self.store.files(base).filter(F.col("scope") != CODE_SCOPE)
+        plan = indexing.change_plan(seen, stored, prune=prune).cache()
         changed = C.front_matter(seen.join(plan.filter("status IN ('new', 'changed')").select("file_path"), "file_path", "left_semi"))
         tags = C.tag_list(F.try_element_at("front", F.lit("tags")))
         rows = self._rows(chunking.chunk_markdown(changed.withColumn("tags", tags)), "memory").cache()
         counters = indexing.run_counters(plan, rows).first().asDict()
-        self.store.apply(plan, rows)
+        self.store.apply(plan, rows, base=base)
         plan.unpersist()
         rows.unpersist()
         return counters
@@ -63,8 +63,9 @@ class Memory:
         if not self.project_root:
             raise ValueError("no project")
         seen = files.code_files(self.spark, self.project_root, ignored=ignored).withColumnRenamed("path", "file_path")
-        stored = self.store.read().filter(F.col("scope") == CODE_SCOPE)
-        plan = indexing.change_plan(seen, indexing.file_table(stored), prune=prune).cache()
+        base = self.store.manifest()["version"]
+        stored = self.store.files(base).filter(F.col("scope") == CODE_SCOPE)
+        plan = indexing.change_plan(seen, stored, prune=prune).cache()
         changed = seen.filter("NOT too_large").join(plan.filter("status IN ('new', 'changed')").select("file_path"), "file_path", "left_semi")
         c = chunking.chunk_code(changed, size=chunk_lines)
         args = (F.col("language"), F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("text"))
@@ -72,7 +73,7 @@ class Memory:
         c = c.withColumn("scope", F.lit(CODE_SCOPE)).withColumn("tags", F.array().cast("array<string>")).withColumn("heading_path", F.array().cast("array<string>"))
         rows = self._rows(c, "code", stored="_stored").cache()
         counters = indexing.run_counters(plan, rows).first().asDict()
-        self.store.apply(plan, rows)
+        self.store.apply(plan, rows, base=base)
         plan.unpersist()
         rows.unpersist()
         return counters

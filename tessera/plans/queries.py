@@ -501,4 +501,4 @@ ORACLE_SQL: dict[str, str] = {
     "transcript_parse": "SELECT conv_id, 's' || conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, sha256(CASE WHEN turn % 2 = 1 THEN trim(text, ' ' || chr(10) || chr(9) || chr(13)) ELSE text END) AS text_sha256 FROM conversations WHERE role <> 'system'",
 }
 
-from . import details  # noqa: E402, F401  more queries and SQL in the same tables
+from . import details, versions  # noqa: E402, F401  more queries and SQL in the same tables

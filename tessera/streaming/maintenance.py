@@ -26,10 +26,11 @@ def index_edits(edits: DataFrame, store: VectorStore, chunker: Callable[[DataFra
     def apply(batch: DataFrame, _: int) -> None:
         last = batch.groupBy("file_path").agg(F.max_by("text", "version").alias("text"))
         hashed = last.withColumn("file_hash", F.when(F.col("text").isNotNull(), F.sha2(F.encode("text", "UTF-8"), 256)))
-        stored = indexing.file_table(store.read()).join(last.select("file_path"), "file_path", "left_semi")
+        base = store.manifest()["version"]
+        stored = store.files(base).join(last.select("file_path"), "file_path", "left_semi")
         plan = indexing.change_plan(hashed.filter("file_hash IS NOT NULL"), stored)
         changed = hashed.join(plan.filter("status IN ('new', 'changed')").select("file_path"), "file_path", "left_semi")
-        store.apply(plan, chunker(changed))
+        store.apply(plan, chunker(changed), base=base)
 
     writer = edits.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
