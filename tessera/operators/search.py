@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -61,50 +61,61 @@ def top_k(index: DataFrame, query: list[float], k: int, *, scope: str | list[str
     return scored.orderBy(F.desc("score"), *ties).limit(k)
 
 
-def top_k_batch(index: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", query_id: str = "query_id", block: int = 4096) -> DataFrame:
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` greatest scores, ties by the least id; NaN is the greatest."""
+    rank = np.where(np.isnan(scores), np.inf, scores)
+    if k < len(rank):
+        least = np.partition(rank, len(rank) - k)[len(rank) - k]
+        sure, tied = np.flatnonzero(rank > least), np.flatnonzero(rank == least)
+        at = np.concatenate([sure, tied[np.argsort(ids[tied], kind="stable")[: k - len(sure)]]])
+    else:
+        at = np.arange(len(rank))
+    return at[np.lexsort((ids[at], -rank[at]))]
+
+
+def top_k_batch(index: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", query_id: str = "query_id", block: int = 4096, part: int = 65_536) -> DataFrame:
     """For each query the ``k`` nearest rows: query_id, id_col, score, rank.
 
-    Queries (query_id, embedding) are taken in blocks of ``block``, a bounded broadcast.
-    Every task multiplies its rows with a block and keeps ``k`` per query; only those are
-    shuffled.  Ties go by the least id.  Rows and queries without a vector are passed over; a zero
-    vector scores NaN, which sorts first, as in ``top_k``.  No queries give an empty table.
+    Queries (query_id, embedding) fall into blocks of about ``block`` and rows of the index into parts of
+    about ``part``; each block meets each part in one task as two matrices, of which ``k`` rows a
+    query are kept, and those of all parts are ranked.  Nothing goes through the driver but two counts,
+    and the plan is the same for any number of queries; rows travel once per block, queries once per part.
+
+    Scores that differ beyond the twelfth digit only are ties and go by the least id.  Rows and queries
+    without a vector are passed over; a zero vector scores NaN, which sorts first, as in ``top_k``.
+    Repeated rows count each.  No queries give an empty table.
     """
     types = dict(queries.dtypes) | dict(index.dtypes)
-    rows = index.select(id_col, "embedding").filter("embedding IS NOT NULL")
-    queries = queries.filter("embedding IS NOT NULL")
-    kept: DataFrame | None = None
-    ids = queries.select(query_id).distinct().count()
-    for b in range(max(1, -(-ids // block))):
-        part = queries if ids <= block else queries.filter(F.pmod(F.xxhash64(query_id), F.lit(-(-ids // block))) == b)
-        got = part.select(query_id, "embedding").collect()
-        if not got:
-            continue
-        q = np.array([r.embedding for r in got], dtype=float)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            q /= np.linalg.norm(q, axis=1, keepdims=True)
-        names = [r[query_id] for r in got]
-
-        def nearest(parts: Iterator[pd.DataFrame], q=q, names=names) -> Iterator[pd.DataFrame]:
-            for p in parts:
-                v = np.array(p["embedding"].tolist(), dtype=float)
-                if not len(v):
-                    continue
-                ids, norms = p[id_col].to_numpy(), np.linalg.norm(v, axis=1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    s = (q @ v.T) / norms[None, :]
-                none = np.isnan(s)
-                s = np.where(none, 0.0, s)
-                order = [np.lexsort((ids, np.where(z, -np.inf, -x)))[:k] for x, z in zip(s, none, strict=True)]
-                pick = lambda a: np.concatenate([x[o] for x, o in zip(a, order, strict=True)])
-                yield pd.DataFrame({query_id: np.repeat(names, [len(o) for o in order]), id_col: np.concatenate([ids[o] for o in order]), "score": pick(s), "_none": pick(none)})
-
-        one = rows.mapInPandas(nearest, f"{query_id} {dict(queries.dtypes)[query_id]}, {id_col} {types[id_col]}, score double, _none boolean")
-        one = one.withColumn("score", F.when(F.col("_none"), F.lit(float("nan"))).otherwise(F.col("score"))).drop("_none")
-        kept = one if kept is None else kept.unionByName(one)
-    if kept is None:
-        return index.sparkSession.createDataFrame([], f"{query_id} {dict(queries.dtypes)[query_id]}, {id_col} {types[id_col]}, score double, rank int")
-    w = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 12)), id_col)
-    return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    rows = index.select(F.col(id_col).alias("_id"), F.col("embedding").alias("_v")).filter("_v IS NOT NULL")
+    asked = queries.select(F.col(query_id).alias("_q"), F.col("embedding").alias("_v")).filter("_v IS NOT NULL")
+    n = rows.count()
+    parts = max(1, -(-n // part), min(-(-n // 1024), index.sparkSession.sparkContext.defaultParallelism))
+    blocks = max(1, -(-asked.count() // block))
+    # The partition's number deals out rows that are equal; it is the same when a task is run again.
+    deal = lambda c, m: F.pmod(F.xxhash64(c) + F.spark_partition_id(), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = rows.withColumn("_part", deal("_id", parts)).withColumn("_block", every(blocks))
+    right = asked.withColumn("_block", deal("_q", blocks)).withColumn("_part", every(parts))
+
+    def meet(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(own) and len(wanted):
+            v, q, ids, names = np.array(own["_v"].tolist(), dtype=float), np.array(wanted["_v"].tolist(), dtype=float), own["_id"].to_numpy(), wanted["_q"].to_numpy()
+            step = max(1, (1 << 23) // len(v))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                norms, q = np.linalg.norm(v, axis=1), q / np.linalg.norm(q, axis=1, keepdims=True)
+                for start in range(0, len(q), step):  # a slice of scores of 64 MB
+                    s = (q[start : start + step] @ v.T) / norms[None, :]
+                    for name, score, r in zip(names[start : start + step], s, np.round(s, 12), strict=True):
+                        at = _best(r, ids, k)
+                        out.append(pd.DataFrame({"_q": [name] * len(at), "_id": ids[at], "score": np.nan_to_num(score[at]), "_r": np.nan_to_num(r[at]), "_none": np.isnan(r[at])}))
+        return pd.concat(out) if out else pd.DataFrame({"_q": [], "_id": [], "score": [], "_r": [], "_none": []})
+
+    met = left.groupBy("_block", "_part").cogroup(right.groupBy("_block", "_part")).applyInPandas(meet, f"_q {types[query_id]}, _id {types[id_col]}, score double, _r double, _none boolean")
+    nan = lambda c: F.when(F.col("_none"), F.lit(float("nan"))).otherwise(F.col(c))
+    met = met.select(F.col("_q").alias(query_id), F.col("_id").alias(id_col), nan("score").alias("score"), nan("_r").alias("_r"))
+    w = Window.partitionBy(query_id).orderBy(F.desc("_r"), id_col)
+    return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("_r")
 
 
 def merge_top_k(stores: list[DataFrame], query: list[float], k: int, **how) -> DataFrame:

@@ -128,3 +128,23 @@ def test_batch_search_knows_missing_and_zero_vectors(spark):
     one = search.top_k(rows, [1.0, 0.0], 3, ties=("vec_id",)).collect()
     assert [r.vec_id for r in one] == [3, 1, 4]
     assert search.top_k_batch(rows, queries.limit(0), 3).count() == 0
+
+
+def test_batch_search_in_blocks_and_parts(spark):
+    """Blocks and parts of a few rows, many ties, one row repeated a hundred times: as by a sort of all pairs, and no job per block."""
+    import numpy as np
+
+    from tessera.operators import search
+
+    rng = np.random.default_rng(2)
+    v = rng.integers(-1, 2, size=(60, 3)).astype(float)
+    v[(v == 0).all(axis=1)] = 1.0
+    rows = [(int(i), x.tolist()) for i, x in enumerate(v)] + [(7, v[7].tolist())] * 100
+    asked = [(1000 + i, rng.integers(1, 4, size=3).astype(float).tolist()) for i in range(40)]
+    index, queries = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    cos = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 12)
+    want = sorted((q, i, n + 1) for q, x in asked for n, (_, i) in enumerate(sorted((-cos(x, y), i) for i, y in rows)[:5]))
+    got = search.top_k_batch(index, queries, 5, block=7, part=16)
+    assert sorted((r.query_id, r.vec_id, r["rank"]) for r in got.collect()) == want
+    plans = [search.top_k_batch(index, queries.limit(n), 5, block=7)._jdf.queryExecution().optimizedPlan().toString().count("\n") for n in (7, 40)]
+    assert plans[0] == plans[1]
