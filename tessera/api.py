@@ -9,13 +9,16 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import text as X
 from .functions.embed import Embedder, HashingEmbedder, embed_column, lexical_score
 from .operators import catalog as C
-from .operators import chunking, indexing, ledger, recall, routing, search, sessions
-from .schema import CHUNKS, CODE_SCOPE
+from .operators import chunking, effects, indexing, ledger, recall, routing, search, sessions
+from .operators import review as reviews
+from .schema import CHUNKS, CODE_SCOPE, ITEMS
 from .sources import files
+from .sources.shared import exists, read_text
 from .sources.store import VectorStore
 
 
@@ -201,12 +204,14 @@ class Memory:
         row = self.spark.createDataFrame([(new.title, new.body, new.tags)], "title string, content string, tags array<string>").select(
             routing.memory_text(F.lit(""), F.col("content"), F.lit(now), F.lit(now), [("title", F.col("title")), ("source", F.lit("merge"))], F.col("tags")).alias("t")
         ).first()
-        for s in slugs:
-            if s != new.slug:
-                self.remove(s)
         kind = {"global": "memory_global", "project": "memory_project"}[new.scope]
         path = Path(self.roots[kind]) / f"{new.slug}.md"
+        if path.exists() and new.slug not in slugs:
+            raise FileExistsError(str(path))
         path.write_text(row.t, encoding="utf-8")
+        for s in slugs:
+            if s != new.slug:
+                self.remove(s)
         self.index()
         return str(path)
 
@@ -218,6 +223,109 @@ class Memory:
             spent = self.spark.createDataFrame([(0.0, False)], "spent double, exceeded boolean")
         return sessions.session_plan(gated, spent, session="file")
 
+    def _targets(self) -> dict[str, str]:
+        """Where items of each category go."""
+        out = {"global_memory": self.roots["memory_global"]}
+        if self.project_root:
+            out |= {"project_memory": self.roots["memory_project"], "project_skill": self.roots["skill_project"], "claude_md_patch": f"{self.project_root}/{effects.NOTES}"}
+        return out
+
+    def _known(self) -> DataFrame:
+        """Memories and skills of the project by category: category, slug, title, path, created_at."""
+        category = F.when(F.col("scope") == "global", "global_memory").otherwise("project_memory")
+        out = self.catalog().select(category.alias("category"), "slug", "title", "path", "created_at")
+        if self.project_root:
+            found = files.markdown_files(self.spark, self.roots["skill_project"], "skill_project").filter(F.col("path").endswith("/SKILL.md"))
+            name = F.element_at(F.split("path", "/"), -2)
+            out = out.unionByName(found.select(F.lit("project_skill").alias("category"), name.alias("slug"), name.alias("title"), "path", F.lit("").alias("created_at")))
+        return out
+
+    def plan(self, items: DataFrame, *, batch: str | None = None) -> DataFrame:
+        """What would be done about a session's items (see ITEMS): the plan, with paths."""
+        made = routing.dispatch(items, self._known(), has_project=bool(self.project_root), batch=batch)
+        return effects.records(made, self._targets())
+
+    def carry_out(self, items: DataFrame, run: str, *, batch: str | None = None, now: str | None = None, before: Callable | None = None) -> DataFrame:
+        """Write, merge, append and delete what items ask for and index the result; a record for each part of each item.
+
+        ``run`` names a journal under the root: a run that was cut off and is repeated under
+        its name finds its plan there, carries out what is left of it, and does nothing twice.
+        """
+        journal = f"{self.root}/journal/{run}"
+        if not exists(self.spark, f"{journal}/records/_SUCCESS"):
+            self.plan(items, batch=batch).write.mode("overwrite").parquet(f"{journal}/records")
+        records = self.spark.read.parquet(f"{journal}/records")
+        notes = self._targets().get("claude_md_patch")
+        made = lambda: effects.effects(records, items, self._known(), now or datetime.now(tz=UTC).isoformat(), notes=read_text(self.spark, notes) if notes and exists(self.spark, notes) else "")
+        effects.carry_out(self.spark, made, journal, before=before)
+        self.index()
+        return records
+
+    def context(self) -> str:
+        """What a reviewer is told of the memory: titles of memories, names of skills."""
+        rows = self._known().select("category", "title").orderBy("path").collect()
+        of = lambda c: [r.title for r in rows if r.category == c]
+        skills = files.markdown_files(self.spark, self.roots["skill_global"], "skill_global").filter(F.col("path").endswith("/SKILL.md")).select(F.element_at(F.split("path", "/"), -2).alias("n")).orderBy("n")
+        return reviews.context(self.project_root, of("global_memory"), of("project_memory"), [*(r.n for r in skills.collect()), *of("project_skill")])
+
+    def run_reviews(
+        self, events: DataFrame, call: Callable[[str], str], run: str, *, judge: Callable[[str], tuple[bool, str]] | None = None, force: bool = False, min_user_messages: int = 3, spent: DataFrame | None = None, now: str | None = None, model: str = "", before: Callable | None = None, **how
+    ) -> DataFrame:
+        """Review all sessions of event lines: gate, judge, reviewer, plan, effects, digests, costs.
+
+        ``call`` gets a prompt and gives the reviewer's JSON report; ``judge`` is asked about long discussions
+        without edits.  With ``force`` every session is reviewed.  The result has one row per session: file,
+        decision, category, reason, step, error, should_persist, n_items, n_records and digest (a path).
+
+        ``run`` names the journal under the root.  Each stage leaves its outcome there, so a run that is
+        repeated under its name asks neither judge nor reviewer twice and ends with the same files; ``how`` goes
+        to ``review.ask``.  Sessions that fail have the error in row and digest, and stop no other.
+        """
+        journal, spark = f"{self.root}/journal/{run}", self.spark
+
+        def kept(name: str, made: Callable[[], DataFrame]) -> DataFrame:
+            if not exists(spark, f"{journal}/{name}/_SUCCESS"):
+                made().write.mode("overwrite").parquet(f"{journal}/{name}")
+            return spark.read.parquet(f"{journal}/{name}")
+
+        turns = sessions.parse_events(events)
+
+        def gated() -> DataFrame:
+            counts = sessions.session_counts(turns, session="file")
+            if force:
+                out = counts.withColumns({"decision": F.lit("run"), "category": F.lit("manual"), "reason": F.lit("forced via manual trigger")})
+            else:
+                out = sessions.judge(sessions.gate(counts, min_user_messages=min_user_messages), sessions.condense(turns, session="file"), judge, session="file")
+            own = turns.groupBy("file").agg(F.first("session_id", ignorenulls=True).alias("session_id"), F.first("cwd", ignorenulls=True).alias("cwd"))
+            spent_ = spark.createDataFrame([(0.0, False)], "spent double, exceeded boolean") if spent is None else spent
+            return sessions.session_plan(out, spent_, session="file").join(own, "file").withColumn("now", F.lit(now or datetime.now(tz=UTC).isoformat()))
+
+        steps = kept("steps", gated)
+        first = steps.select("now").first()
+        if first is None:
+            return spark.createDataFrame([], "file string, decision string, category string, reason string, step string, error string, should_persist boolean, n_items int, n_records long, digest string")
+        now = first.now
+        asked = kept("prompts", lambda: reviews.prompts(sessions.markdown(turns.join(steps.filter("step = 'review'").select("file"), "file", "left_semi"), session="file"), self.context(), session="file"))
+        replies = sessions.payload(reviews.ask(asked, call, f"{journal}/replies", session="file", **how))
+        one = F.col("item")
+        items = kept("items", lambda: replies.filter("should_persist").select("file", F.posexplode("items").alias("at", "item")).select(F.concat_ws("#", "file", F.lpad(F.col("at").cast("string"), 6, "0")).alias("item_no"), "file", *[one[f.name].alias(f.name) for f in ITEMS if f.name != "item_no"]))
+        records = self.carry_out(items, run, batch="file", now=now, before=before).join(items.select("item_no", "file"), "item_no").withColumn("record_no", F.concat_ws("#", "item_no", "part"))
+        # A digest is called after its session; of several with one name all but the first get a number.
+        made = sessions.digest(steps.withColumn("session", F.coalesce("session_id", X.file_stem(F.col("file")))), records.join(steps.select("file", F.coalesce("session_id", X.file_stem(F.col("file"))).alias("session")), "file"), now, session="session", cwd="cwd", replies=replies.join(steps.select("file", F.coalesce("session_id", X.file_stem(F.col("file"))).alias("session")), "file"))
+        nth = F.row_number().over(Window.partitionBy("file_name").orderBy("session"))
+        named = made.withColumn("file_name", F.when(nth > 1, F.concat(F.regexp_replace("file_name", r"\.md$", ""), F.lit("-"), nth.cast("string"), F.lit(".md"))).otherwise(F.col("file_name")))
+        written = named.select(F.concat(F.lit(f"{self.root}/reviews/"), "file_name").alias("path"), F.lit("write").alias("kind"), F.col("digest").alias("text"), F.col("session").alias("item_no"))
+        effects.carry_out(spark, lambda: written, f"{journal}/digests")
+        paid = ledger.agent_usage(replies.filter("report IS NOT NULL"))
+        project = Path(self.project_root).name if self.project_root else "global"
+        if not exists(spark, f"{self.root}/costs/run={run}/_SUCCESS"):
+            entry = paid.select(F.lit(now).alias("ts"), F.lit("review").alias("source"), F.lit(project).alias("project"), F.lit(model).alias("model"), "tokens", F.round("cost_usd", 6).alias("cost_usd"), F.col("file").alias("context"))
+            entry.write.mode("overwrite").json(f"{self.root}/costs/run={run}")
+        digests = spark.read.parquet(f"{journal}/digests/effects").select(F.col("item_no").alias("session"), F.col("path").alias("digest"))
+        out = steps.withColumn("session", F.coalesce("session_id", X.file_stem(F.col("file")))).join(digests, "session", "left").join(replies.select("file", "error", "should_persist", F.size("items").alias("n_items")), "file", "left")
+        counted = records.groupBy("file").agg(F.count(F.lit(1)).alias("n_records"))
+        return out.join(counted, "file", "left").select("file", "decision", "category", "reason", "step", "error", "should_persist", "n_items", F.coalesce("n_records", F.lit(0)).alias("n_records"), "digest")
+
     def costs(self, lines: DataFrame, period: str = "30d", source: str | None = None, now: datetime | None = None) -> DataFrame:
         entries = ledger.of_source(files.read_ledger(lines), source)
         return ledger.summary(ledger.since(entries, period, now or datetime.now(tz=UTC)))

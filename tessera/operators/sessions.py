@@ -201,8 +201,12 @@ def markdown(turns: DataFrame, *, session: str = "session_id", max_chars: int =
     return rows.groupBy(session).agg(F.array_join(F.transform(ordered, lambda x: x["_t"]), "\n").alias("markdown"))
 
 
-def digest(gated: DataFrame, records: DataFrame | None, now: str, *, session: str = "session_id", cwd: str | None = None) -> DataFrame:
-    """One digest per session: name of its file and text, with front matter, the gate's verdict and a table of what was written."""
+def digest(gated: DataFrame, records: DataFrame | None, now: str, *, session: str = "session_id", cwd: str | None = None, replies: DataFrame | None = None, raw_chars: int = 8000) -> DataFrame:
+    """One digest per session: name of its file and text, with front matter, the gate's verdict and a table of what was written.
+
+    ``replies`` (session, report, error, should_persist, summary, items) adds what the reviewer said, or the
+    error, and up to ``raw_chars`` of the report itself.
+    """
     s = F.coalesce(F.col(session).cast("string"), F.lit("unknown"))
     place = F.coalesce(F.col(cwd), F.lit("-")) if cwd else F.lit("-")
     front = X.yaml_front([("session_id", s), ("timestamp", F.lit(now)), ("cwd", place), ("gate_decision", F.col("decision")), ("category", F.col("category")), ("user_messages", F.col("n_user_messages").cast("string")), ("file_writes", F.col("n_file_writes").cast("string"))])
@@ -214,8 +218,18 @@ def digest(gated: DataFrame, records: DataFrame | None, now: str, *, session: st
         listed = records.groupBy(session).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("record_no", line.alias("l")))), lambda x: x["l"]), "\n").alias("_rows"))
         rows = gated.join(listed, session, "left")
         table = F.when(F.col("_rows").isNotNull(), F.concat(F.lit("## Items written\n\n| Status | Category | Title | Path | Reason |\n|---|---|---|---|---|\n"), F.col("_rows")))
+    said, failed, raw = (F.lit(None).cast("string"),) * 3
+    if replies is not None:
+        own = F.struct(*[F.col(c) for c in ("report", "error", "should_persist", "summary", "items")])
+        rows = rows.join(replies.select(session, own.alias("_reply")), session, "left")
+        r = lambda k: F.col(f"_reply.{k}")
+        summary = F.coalesce(F.nullif(r("summary"), F.lit("")), F.lit("_(none)_"))
+        lines = F.concat_ws("\n", F.lit("## Review"), summary, F.concat(F.lit("\n- Persist: "), r("should_persist").cast("string")), F.concat(F.lit("- Items: "), F.size(r("items")).cast("string")))
+        said = F.when(r("report").isNotNull(), lines)
+        failed = F.when(r("error").isNotNull(), F.concat(F.lit("## Error\n```\n"), r("error"), F.lit("\n```")))
+        raw = F.when(r("report").isNotNull(), F.concat(F.lit("<details><summary>Reply</summary>\n\n```json\n"), F.substring(r("report"), 1, raw_chars), F.lit("\n```\n</details>")))
     verdict = F.concat_ws("\n", F.lit("## Gate"), F.concat(F.lit("- Decision: **"), F.col("decision"), F.lit("**")), F.concat(F.lit("- Reason: "), F.col("reason")), F.concat(F.lit("- Category: "), F.col("category")))
-    text = F.concat_ws("\n\n", front, F.lit(f"# Session digest — {now[:16].replace('T', ' ')}"), verdict, F.when(F.col("decision") == "skip", "_Not reviewed._"), table)
+    text = F.concat_ws("\n\n", front, F.lit(f"# Session digest — {now[:16].replace('T', ' ')}"), verdict, F.when(F.col("decision") == "skip", "_Not reviewed._"), said, table, failed, raw)
     name = F.concat(F.lit(re.sub(r"[:]", "", now[:19]) + "-"), F.substring(s, 1, 8), F.lit(".md"))
     return rows.select(session, name.alias("file_name"), text.alias("digest"))
 

@@ -480,7 +480,7 @@ ORACLE_SQL: dict[str, str] = {
  s AS (SELECT *, CAST(30 + sum(b + 1) OVER (PARTITION BY source ORDER BY rank) AS BIGINT) AS used FROM r) SELECT doc_id, source, rank, used FROM s WHERE rank = 1 OR used - 1 <= 8000""",
     "recall_scope_counts": f"{_V} SELECT label, count(*) AS n_hits, count_if(contains(scope, 'skill')) AS n_skills, count_if(NOT contains(scope, 'skill')) AS n_memories FROM v GROUP BY label",
     "state_merge": "SELECT user_id % 20 AS session_id, 't' || (event_id % 13) AS title, event_type AS scope, round(max(value), 3) AS score, min(event_id) AS seq, arg_min(props, event_id) AS props FROM events GROUP BY ALL",
-    "slugify": f"SELECT doc_id, {_SLUG.format('left(text, 200)')} AS slug FROM documents",
+    "slugify": f"SELECT doc_id, {_SLUG.format('text')} AS slug FROM documents",
     "slug_near_match": f"""WITH w AS (SELECT DISTINCT {_SLUG.format('p_name')} AS slug FROM part UNION SELECT lower(n_name)[2:31] || 'x' FROM nation), n AS (SELECT DISTINCT {_SLUG.format('n_name')} AS e FROM nation),
  m AS (SELECT slug, e, levenshtein(slug, e) AS distance, row_number() OVER (PARTITION BY slug ORDER BY levenshtein(slug, e), e) AS r FROM w, n WHERE levenshtein(slug, e) <= 3) SELECT slug, e AS target_slug, distance FROM m WHERE r = 1""",
     "route_quota": """WITH i AS (SELECT event_id, CASE WHEN event_id % 17 = 0 THEN '' ELSE 'Note ' || (event_id % 40) END AS title, row_number() OVER (ORDER BY event_id) AS r FROM events
@@ -501,4 +501,4 @@ ORACLE_SQL: dict[str, str] = {
     "transcript_parse": "SELECT conv_id, 's' || conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, sha256(CASE WHEN turn % 2 = 1 THEN trim(text, ' ' || chr(10) || chr(9) || chr(13)) ELSE text END) AS text_sha256 FROM conversations WHERE role <> 'system'",
 }
 
-from . import details, versions  # noqa: E402, F401  more queries and SQL in the same tables
+from . import details, versions, writes  # noqa: E402, F401  more queries and SQL in the same tables

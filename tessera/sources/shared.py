@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -64,26 +65,37 @@ def remove(spark: SparkSession, path: str) -> None:
 def write_text(spark: SparkSession, path: str, text: str, *, exclusive: bool = False) -> bool:
     """Write a small file so that readers see all of it or nothing; with ``exclusive`` False is returned if it was there already.
 
-    Exclusive creation is a hard link on a local disk and a rename that fails on others, which
-    HDFS does in one step; an object store must offer the same through its Hadoop connector.
+    Exclusive creation is a hard link on a local disk, and elsewhere a rename that fails if the name is
+    taken, which HDFS does in one step; an object store must offer the same through its Hadoop connector.
     """
     fs, at = file_of(spark, path)
+    if fs.getScheme() == "file":  # the driver's disk; without checksum files that others' edits would leave stale
+        name = at.toUri().getPath()
+        os.makedirs(os.path.dirname(name), exist_ok=True)
+        fresh = os.path.join(os.path.dirname(name), f".{os.path.basename(name)}-{uuid.uuid4().hex}")
+        with open(fresh, "w", encoding="utf-8", newline="") as out:
+            out.write(text)
+        if not exclusive:
+            os.replace(fresh, name)
+            return True
+        try:
+            os.link(fresh, name)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(fresh)
     jvm = spark.sparkContext._jvm
     fresh = jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}-{uuid.uuid4().hex}")
     fs.mkdirs(at.getParent())
     out = fs.create(fresh, True)
     out.write(text.encode())
     out.close()
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.NONE if exclusive else kind.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     try:
-        if exclusive and fs.getScheme() == "file":
-            local = lambda p: jvm.java.nio.file.Paths.get(p.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
-            jvm.java.nio.file.Files.createLink(local(at), local(fresh))
-            fs.delete(fresh, False)
-            return True
-        kind = jvm.org.apache.hadoop.fs.Options.Rename
-        how = spark.sparkContext._gateway.new_array(kind, 1)
-        how[0] = kind.NONE if exclusive else kind.OVERWRITE
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
         context.rename(context.makeQualified(fresh), context.makeQualified(at), how)
         return True
     except Py4JJavaError as error:
