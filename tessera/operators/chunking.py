@@ -39,7 +39,8 @@ def chunk_lines(files: DataFrame, *, text: str = "text", size: int = CHUNK_LINES
     """
     windows = X.let(X.split_lines(F.coalesce(F.col(text), F.lit(""))), lambda x: _windows(x, F.lit(1), size, int(size * overlap)))
     out = files.withColumn("_w", windows).drop(*[c for c in (text, "chunk_idx", "start_line", "end_line") if c in files.columns])
-    out = out.select("*", F.posexplode("_w").alias("chunk_idx", "_c")).drop("_w")
+    # The outer form, as the other would make every text's windows twice: once for a filter on their number.
+    out = out.select("*", F.posexplode_outer("_w").alias("chunk_idx", "_c")).drop("_w").filter("chunk_idx IS NOT NULL")
     return out.select(*[c for c in out.columns if c != "_c"], "_c.start_line", "_c.end_line", F.col("_c.text").alias(text))
 
 
@@ -50,45 +51,56 @@ def sections(body: Column, *, fence_aware: bool = False) -> Column:
     are left out; a body without sections is one section without headings.  With
     ``fence_aware``, lines in fenced code are no headings.
     """
-    level_type, out_type = "array<struct<level:int,title:string>>", "array<struct<path:array<string>,text:string>>"
-    empty = F.struct(F.array().cast(level_type).alias("stack"), F.array().cast("array<string>").alias("lines"), F.array().cast(out_type).alias("out"), F.lit(False).alias("fence"))
-    closed = lambda s: X.let(
-        X.strip(F.array_join(s["lines"], "\n")),
-        lambda x: F.when(x != "", F.concat(s["out"], F.array(F.struct(F.transform(s["stack"], lambda h: h["title"]).alias("path"), x.alias("text"))))).otherwise(s["out"]),
-    )
+    head, place, out_type = "struct<level:int,title:string>", "struct<start:int,path:array<string>>", "array<struct<path:array<string>,text:string>>"
+
+    def event(line: Column, i: Column) -> Column:
+        """A heading, or with level 0 a mark of fenced code; null for any other line."""
+        found = F.struct(i.alias("i"), F.length(F.regexp_extract(line, _HEADING, 1)).alias("level"), F.regexp_extract(line, _HEADING, 2).alias("title"))
+        out = F.when(line.startswith("#"), X.let(found, lambda f: F.when(f["level"] > 0, f)))
+        return out.when(line.rlike(r"^\s*(```|~~~)"), F.struct(i.alias("i"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("title"))) if fence_aware else out
+
+    # Only headings and marks are gone through one by one; a section's lines are a slice.
+    empty = F.struct(F.array().cast(f"array<{head}>").alias("stack"), F.array(F.struct(F.lit(0).alias("start"), F.array().cast("array<string>").alias("path")).cast(place)).alias("out"), F.lit(False).alias("fence"))
+
+    def step(s: Column, e: Column) -> Column:
+        pushed = F.concat(F.filter(s["stack"], lambda h: h["level"] < e["level"]), F.array(F.struct(e["level"].alias("level"), e["title"].alias("title")).cast(head)))
+        opened = lambda stack: F.struct(stack.alias("stack"), F.concat(s["out"], F.array(F.struct((e["i"] + 1).alias("start"), F.transform(stack, lambda h: h["title"]).alias("path")).cast(place))).alias("out"), s["fence"].alias("fence"))
+        as_is = lambda fence: F.struct(s["stack"].alias("stack"), s["out"].alias("out"), fence.alias("fence"))
+        return F.when(e["level"] == 0, as_is(~s["fence"])).when(s["fence"], as_is(s["fence"])).otherwise(X.let(pushed, opened))
 
-    def step(s: Column, line: Column) -> Column:
-        level = F.when(line.startswith("#"), F.length(F.regexp_extract(line, _HEADING, 1))).otherwise(0)
-        mark = line.rlike(r"^\s*(```|~~~)") if fence_aware else F.lit(False)
-        heading = (level > 0) & ~s["fence"]
-        pushed = F.concat(F.filter(s["stack"], lambda h: h["level"] < level), F.array(F.struct(level.cast("int").alias("level"), F.regexp_extract(line, _HEADING, 2).alias("title"))))
-        return F.struct(
-            F.when(heading, pushed).otherwise(s["stack"]).alias("stack"),
-            F.when(heading, F.array().cast("array<string>")).otherwise(F.concat(s["lines"], F.array(line))).alias("lines"),
-            F.when(heading, closed(s)).otherwise(s["out"]).alias("out"),
-            F.when(mark, ~s["fence"]).otherwise(s["fence"]).alias("fence"),
-        )
+    def cut(lines: Column) -> Column:
+        events = F.filter(F.transform(lines, event), lambda e: e.isNotNull())
+        places = F.aggregate(events, empty, step, lambda s: s["out"])
+
+        def texts(at: Column) -> Column:
+            end = lambda j: F.coalesce(F.get(at, j + 1)["start"] - 1, F.size(lines))
+            made = F.transform(at, lambda o, j: F.struct(o["path"].alias("path"), X.strip(F.array_join(F.slice(lines, o["start"] + 1, F.greatest(end(j) - o["start"], F.lit(0))), "\n")).alias("text")))
+            return F.filter(made, lambda x: x["text"] != "")
+
+        return X.let(places, texts)
 
     whole = lambda x: F.array(F.struct(F.array().cast("array<string>").alias("path"), x.alias("text")))
     rest = X.let(X.strip(body), lambda x: F.when(x != "", whole(x)).otherwise(F.array().cast(out_type)))
-    return X.let(F.aggregate(X.split_lines(body), empty, step, closed), lambda found: F.when(F.size(found) > 0, found).otherwise(rest))
+    return X.let(X.let(X.split_lines(body), cut), lambda found: F.when(F.size(found) > 0, found).otherwise(rest))
 
 
 def pack_paragraphs(body: Column, max_chars: int = MAX_CHARS) -> Column:
     """Pieces of at most ``max_chars`` made of whole paragraphs in order; a longer paragraph is a piece of its own."""
     paragraphs = F.filter(F.transform(F.split(body, r"\n{2,}", -1), X.strip), lambda p: p != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
+    # Ends of pieces, and the number and length of what is open: a piece is a slice of the paragraphs.
+    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("open"), F.lit(0).alias("n"), F.lit(0).alias("at"))
+
+    def step(s: Column, size: Column) -> Column:
+        full = (s["n"] + size + 2 > max_chars) & (s["open"] > 0)
+        new = F.struct(F.concat(s["ends"], F.array(s["at"])).alias("ends"), F.lit(1).alias("open"), size.alias("n"), (s["at"] + 1).alias("at"))
+        return F.when(full, new).otherwise(F.struct(s["ends"].alias("ends"), (s["open"] + 1).alias("open"), (s["n"] + size + 2).alias("n"), (s["at"] + 1).alias("at")))
 
-    def step(s: Column, p: Column) -> Column:
-        full = (s["n"] + F.length(p) + 2 > max_chars) & (F.size(s["open"]) > 0)
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(F.array_join(s["open"], "\n\n")))).otherwise(s["done"]).alias("done"),
-            F.when(full, F.array(p)).otherwise(F.concat(s["open"], F.array(p))).alias("open"),
-            F.when(full, F.length(p)).otherwise(s["n"] + F.length(p) + 2).alias("n"),
-        )
+    def packed(ps: Column) -> Column:
+        ends = F.aggregate(F.transform(ps, F.length), start, step, lambda s: F.when(s["open"] > 0, F.concat(s["ends"], F.array(s["at"]))).otherwise(s["ends"]))
+        begin = lambda all_, j: F.coalesce(F.get(all_, j - 1), F.lit(0))
+        return X.let(ends, lambda all_: F.transform(all_, lambda e, j: F.array_join(F.slice(ps, begin(all_, j) + 1, e - begin(all_, j)), "\n\n")))
 
-    packed = F.aggregate(paragraphs, start, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(F.array_join(s["open"], "\n\n")))).otherwise(s["done"]))
-    return F.when(F.length(body) <= max_chars, F.array(body)).otherwise(packed)
+    return F.when(F.length(body) <= max_chars, F.array(body)).otherwise(X.let(paragraphs, packed))
 
 
 def chunk_markdown(files: DataFrame, *, body: str = "body", max_chars: int = MAX_CHARS, min_piece: int = MIN_PIECE, fence_aware: bool = False) -> DataFrame:
@@ -108,7 +120,7 @@ def chunk_markdown(files: DataFrame, *, body: str = "body", max_chars: int = MAX
     whole = F.array(F.struct(F.array().cast("array<string>").alias("path"), X.strip(b).alias("text")))
     chunks = X.let(found, lambda x: F.when((F.size(x) == 0) & X.not_blank(b), whole).otherwise(x))
     out = files.withColumn("_c", chunks).drop(*[c for c in ("chunk_idx", "heading_path", "text", "display_text") if c in files.columns and c != body])
-    out = out.select("*", F.posexplode("_c").alias("chunk_idx", "_p")).drop("_c", body)
+    out = out.select("*", F.posexplode_outer("_c").alias("chunk_idx", "_p")).drop("_c", body).filter("chunk_idx IS NOT NULL")  # outer as in chunk_lines
     return out.select(*[c for c in out.columns if c != "_p"], F.col("_p.path").alias("heading_path"), F.col("_p.text").alias("text"), X.breadcrumb(F.col("_p.path"), F.col("_p.text")).alias("display_text"))
 
 

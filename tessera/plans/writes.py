@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import effects, review, sessions
+from ..operators import chunking, effects, review, sessions
 from ..sources.shared import file_of, shared_dir
 from .details import query
 from .queries import ORACLE_SQL, table, turns
@@ -39,3 +39,21 @@ def review_replies(spark, sf):
     fs.deleteOnExit(at)
     asked = sessions.condense(turns(spark, sf), session="conv_id", max_turns=2, max_chars=80).withColumnRenamed("condensed", "prompt")
     return review.ask(asked, lambda prompt: str(len(prompt)), kept, session="conv_id", wave=100_000).select("conv_id", "report")
+
+
+_PIECES = """WITH RECURSIVE d AS (SELECT doc_id, trim(replace(text, chr(10), chr(10) || chr(10)), ' ' || chr(10) || chr(9) || chr(13) || chr(11) || chr(12)) AS b FROM documents),
+ q AS (SELECT doc_id, trim(x, ' ' || chr(10) || chr(9) || chr(13) || chr(11) || chr(12)) AS p, i FROM (SELECT doc_id, unnest(regexp_split_to_array(b, '\n\n+')) AS x, unnest(range(len(regexp_split_to_array(b, '\n\n+')))) AS i FROM d WHERE length(b) > 1500)),
+ n AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM q WHERE p <> ''),
+ g AS (SELECT doc_id, i, p, length(p) + 2 AS n, 1 AS piece FROM n WHERE i = 1
+  UNION ALL SELECT n.doc_id, n.i, n.p, CASE WHEN g.n + length(n.p) + 2 > 1500 THEN length(n.p) ELSE g.n + length(n.p) + 2 END, g.piece + CASE WHEN g.n + length(n.p) + 2 > 1500 THEN 1 ELSE 0 END FROM g JOIN n ON n.doc_id = g.doc_id AND n.i = g.i + 1),
+ k AS (SELECT doc_id, piece, string_agg(p, chr(10) || chr(10) ORDER BY i) AS t FROM g GROUP BY doc_id, piece),
+ c AS (SELECT doc_id, piece, t FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS m FROM k) WHERE m = 1 OR length(t) >= 120 UNION ALL SELECT doc_id, 1, b FROM d WHERE length(b) <= 1500 AND b <> ''),
+ e AS (SELECT doc_id, piece, t, 'A > B' AS path FROM c UNION ALL SELECT doc_id, 1, '# A' || chr(10) || chr(10) || '## B' || CASE WHEN b = '' THEN '' ELSE chr(10) || chr(10) || b END, '' FROM d WHERE doc_id NOT IN (SELECT doc_id FROM c))
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1 AS chunk_idx, path, sha256(t) AS text_sha256 FROM e"""
+
+
+@query(_PIECES)
+def markdown_chunks(spark, sf):
+    """Documents under two headings, packed by paragraph."""
+    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.concat(F.lit("# A\n## B\n"), "text"), "\n", "\n\n").alias("body"))
+    return chunking.chunk_markdown(d).select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.array_join("heading_path", " > ").alias("path"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))

@@ -77,3 +77,73 @@ def test_large_definitions_are_cut_in_windows(spark):
 @pytest.mark.parametrize("n,spans,want", [(10, [(3, 5)], [(1, 2), (3, 5), (6, 10)]), (5, [(1, 5)], [(1, 5)]), (5, [(1, 3), (2, 4)], [(1, 3), (4, 4), (5, 5)])])
 def test_regions(n, spans, want):
     assert C.regions(n, spans) == want
+
+
+def slow_sections(body, fence_aware):
+    """The plain loop: (headings above, text) of every section with text."""
+    import re
+
+    stack, lines, out, fence = [], [], [], False
+
+    def close():
+        if t := "\n".join(lines).strip():
+            out.append(([t_ for _, t_ in stack], t))
+
+    for line in body.splitlines():
+        m = re.match(r"^(#{1,6})\s+(.+?)\s*$", line)
+        if m and not fence:
+            close()
+            lines.clear()
+            stack[:] = [h for h in stack if h[0] < len(m[1])] + [(len(m[1]), m[2])]
+        else:
+            lines.append(line)
+        if fence_aware and re.match(r"^\s*(```|~~~)", line):
+            fence = not fence
+    close()
+    return out or ([([], body.strip())] if body.strip() else [])
+
+
+def slow_pieces(text, most):
+    if len(text) <= most:
+        return [text]
+    done, open_, n = [], [], 0
+    for p in filter(None, (x.strip() for x in __import__("re").split(r"\n{2,}", text))):
+        if n + len(p) + 2 > most and open_:
+            done.append("\n\n".join(open_))
+            open_, n = [p], len(p)
+        else:
+            open_.append(p)
+            n += len(p) + 2
+    return done + (["\n\n".join(open_)] if open_ else [])
+
+
+@pytest.mark.parametrize("fence_aware", [False, True])
+def test_markdown_matches_the_loop(spark, fence_aware):
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    line = lambda: r.choice(["", "", "text of it", "# One", "## Two two ", "#### Four", "#none", "```", "~~~ py", "###### Six", "  ", "x" * 40])
+    bodies = ["\n".join(line() for _ in range(r.randint(0, 60))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(bodies)), "id int, body string")
+    got = df.select("id", C.sections(F.col("body"), fence_aware=fence_aware).alias("s"), C.pack_paragraphs(F.col("body"), 90).alias("p")).collect()
+    for x in got:
+        assert [(list(s.path), s.text) for s in x.s] == slow_sections(bodies[x.id], fence_aware)
+        assert list(x.p) == slow_pieces(bodies[x.id], 90)
+
+
+def test_markdown_is_linear(spark):
+    """Four times the text takes far less than sixteen times as long."""
+    import time
+
+    def seconds(n):
+        body = "\n\n".join(["# H", "some words of a paragraph"] * n)
+        df = spark.createDataFrame([(body,)] * 2, "body string")
+        took = []
+        for _ in range(2):
+            began = time.perf_counter()
+            assert C.chunk_markdown(df).count() == 2 * n
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    seconds(100)
+    assert seconds(8000) < 9 * max(0.3, seconds(2000))
