@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from ..sources.shared import shared_dir
+
 #: ASCII white space: space and the code points 9 to 13.
 WS = " \t\n\x0b\x0c\r"
 #: One word in Java's regular expressions, and what parts words.
@@ -33,23 +33,6 @@ SALTS = 8
 _OPEN: list[list[DataFrame]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share.
-
-    Where ``spark.checkpoint.dir`` is unset it is one under the warehouse; on a master of one
-    machine, whose tasks share its disk, a temporary one.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        return path
-    if re.match(r"local(\[|$)", spark.sparkContext.master):
-        path = tempfile.mkdtemp(prefix="tessera-")
-    else:
-        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tessera"
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir()
-
-
 def materialize(df: DataFrame, tag: str, *, outlive: bool = False) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
@@ -152,6 +135,16 @@ def hot_join(many: DataFrame, few: DataFrame, on: str | list[str], *, count: str
     return many.join(hot, on).unionByName(cold)
 
 
+def measured_join(many: DataFrame, few: DataFrame, on: str | list[str], *, count: str = "n", rows: int = 200_000, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Inner join as by ``hot_join``, with all of ``few`` sent to the tasks if it has at most ``rows`` rows and ``size`` bytes."""
+    held = few.persist(StorageLevel.MEMORY_AND_DISK)
+    if _OPEN:
+        _OPEN[-1].append(held)
+    if held.count() <= rows and int(held.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= size:
+        return many.join(F.broadcast(held), on)
+    return hot_join(many, held, on, count=count, rows=rows)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
     """Hold Arrow batches for Python to ``rows`` rows and 16 MB, so that long texts don't fill a worker's memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:

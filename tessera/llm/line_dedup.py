@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import WS, ascii_lower, materialize, maybe_broadcast, quoted, unused
+from .base import WS, ascii_lower, materialize, maybe_broadcast, measured_join, quoted, unused
 
 #: Rows up to which a table of a few numbers a row may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -61,9 +61,9 @@ def line_bitmaps(docs: DataFrame, *, min_docs: int = 2, min_chars: int = 1, keep
     lines = materialize(lines, "lines")
     place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "k", "pos")
     counted = [F.count(F.lit(1)).alias("n"), *([F.min(place).alias("first")] if keep == "first" else [])]
-    repeated = first_lines(lines).groupBy("h1", "h2").agg(*counted).filter(F.col("n") >= min_docs).drop("n")
-    repeated = maybe_broadcast(repeated, BROADCAST_ROWS)
-    hit = lines.join(repeated, ["h1", "h2"])
+    repeated = first_lines(lines).groupBy("h1", "h2").agg(*counted).filter(F.col("n") >= min_docs)
+    # Where the repeated keys are too many to be sent to all tasks, the lines of a frequent one stay where they are.
+    hit = measured_join(lines, repeated, ["h1", "h2"], rows=BROADCAST_ROWS).drop("n")
     if keep == "first":
         # A key may repeat within its first document, too.
         hit = hit.filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("k") == F.col("first.k")) & (F.col("pos") == F.col("first.pos"))))

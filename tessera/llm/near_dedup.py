@@ -173,14 +173,14 @@ def _linked(docs: DataFrame, width: int, threshold: float) -> DataFrame:
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["f1", "f2", "n_shingles"]
     # Classes of equal sets: one aggregation, however many copies there are.
-    classes = some.groupBy(*same).agg(F.min("doc_id").alias("id"))
+    classes = some.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes, "classes")
-    reps = some.join(classes, same).filter(F.col("doc_id") == F.col("id")).select("id", "f1", "n_shingles", "bands", "sketch").dropDuplicates(["id", "f1"])
+    reps = hot_join(some, classes, same).filter(F.col("doc_id") == F.col("id")).select("id", "f1", "n_shingles", "bands", "sketch").dropDuplicates(["id", "f1"])
     reps = materialize(reps, "reps")
     # Documents of several texts link the classes of these.
     several = some.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("a"), F.max(F.struct(*same)).alias("b")).filter("a <> b").select("doc_id")
     several = maybe_broadcast(several, BROADCAST_ROWS)
-    owned = some.join(several, "doc_id", "left_semi").join(classes, same).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    owned = hot_join(some.join(several, "doc_id", "left_semi"), classes, same).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     keyed = reps.select("id", F.explode("bands").alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = materialize(hot_join(keyed, counts, "key"), "buckets")
@@ -232,9 +232,11 @@ def _linked(docs: DataFrame, width: int, threshold: float) -> DataFrame:
         right = members.select(unit.alias("unit"), every(ls).alias("l"), F.pmod(F.xxhash64("id"), rs).cast("int").alias("r"), F.lit(1).alias("side"), "id", "component")
         more = _compare(left.unionByName(right), one_each, sets, threshold)
         found = components(links.unionByName(more))
-    final = signed.join(classes.withColumnRenamed("id", "_class"), ["f1", "f2", "n_shingles"], "left")
-    final = final.join(found.withColumnRenamed("id", "_class"), "_class", "left")
-    final = final.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "_class", "doc_id")).alias("component_id"))
+    # Classes get their component first, so that only they meet the documents, of which one class may have any share.
+    ends = classes.join(found, "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"), "n")
+    final = hot_join(some.select("doc_id", *same), ends, same).select("doc_id", "n_shingles", "component_id")
+    others = signed.filter("NOT (n_shingles > 0 AND doc_id IS NOT NULL)")
+    final = final.unionByName(others.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return final.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

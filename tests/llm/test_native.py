@@ -301,3 +301,50 @@ def test_words_are_ascii_white_space_words(spark):
         want = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         assert spark.createDataFrame([(t,)], "t string").select(words(F.col("t")).alias("w")).first().w == want
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_shortest_items_open_no_bound(spark):
+    """With items of five words beside longer ones, a document's shingles pass by the longer ones' bound or as one of those, and short documents pass fewer."""
+    r = random.Random(6)
+    word = lambda: f"w{r.randrange(5000)}"
+    long_, short = [" ".join(word() for _ in range(60)) for _ in range(8)], [" ".join(word() for _ in range(5)) for _ in range(40)]
+    text = " ".join(word() for _ in range(400))
+    texts = [(i, f"{text} {x} {text[: 10 * i]}") for i, x in enumerate([*long_, *short, ""])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+
+    def probed(items):
+        sampled = D.item_samples(spark.createDataFrame([(i, x) for i, x in enumerate(items)], "item_id long, text string")).collect()
+        sizes = [(45, max(max(x.sample) for x in sampled if x.size_class))] if any(x.size_class for x in sampled) else []
+        few = [x.sample[0] for x in sampled if not x.size_class]
+        ws = D.words(D.ascii_lower(F.col("text")))
+        rows = docs.select(F.size(D._probes(D._hashes(ws, 5), sizes, few)).alias("n"), F.size(F.array_distinct(D._hashes(ws, 5))).alias("all")).collect()
+        return sum(x.n for x in rows) / sum(x.all for x in rows)
+
+    alone, both = probed(long_), probed([*long_, *short])
+    assert alone < 0.6 and both < alone + 0.01 and probed(short) < 0.01
+    items = spark.createDataFrame([(i, x) for i, x in enumerate([*long_, *short])], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in D.contained_items(docs, items).collect()}
+    assert {(i, i) for i in range(48)} <= got
+    assert D.contained_items(spark.createDataFrame([(1, short[3])], "doc_id long, text string"), items).count() == 1
+
+
+def test_too_many_short_items_for_a_set(spark, monkeypatch):
+    monkeypatch.setattr(D, "SHORT_SET", 2)
+    items = spark.createDataFrame([(i, f"a{i} b c d e") for i in range(9)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x a3 b c d e y"), (2, "x y z")], "doc_id long, text string")
+    assert [(x.doc_id, x.item_id) for x in D.contained_items(docs, items).collect()] == [(1, 3)]
+
+
+def test_frequent_lines_beyond_the_broadcast(spark, monkeypatch):
+    """A line of half of the rows when the repeated keys are too many to send: it doesn't meet in one task, and the result is the same."""
+    from tessera.llm import base
+    from tessera.llm import line_dedup as L
+
+    rows = [(i, f"same line\nown {i}\npair {i // 2}\nsame line") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = sorted(map(str, L.dedup_lines(df, min_docs=2, keep="none").collect()))
+    monkeypatch.setattr(L, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(base, "HOT_ROWS", 100)
+    out = L.line_bitmaps(df, min_docs=2, keep="none")
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().toString()
+    assert sorted(map(str, L.apply_bitmaps(df, out).collect())) == want and all("same" not in x for x in want)
