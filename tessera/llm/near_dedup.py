@@ -175,12 +175,13 @@ def _linked(docs: DataFrame, width: int, threshold: float) -> DataFrame:
     # Classes of equal sets: one aggregation, however many copies there are.
     classes = some.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes, "classes")
-    reps = hot_join(some, classes, same).filter(F.col("doc_id") == F.col("id")).select("id", "f1", "n_shingles", "bands", "sketch").dropDuplicates(["id", "f1"])
+    # Joined on the document, too, so that of a class, however large, only its first document is looked for.
+    reps = some.withColumn("id", F.col("doc_id")).join(classes, [*same, "id"]).select("id", "f1", "n_shingles", "bands", "sketch").dropDuplicates(["id", "f1"])
     reps = materialize(reps, "reps")
     # Documents of several texts link the classes of these.
     several = some.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("a"), F.max(F.struct(*same)).alias("b")).filter("a <> b").select("doc_id")
     several = maybe_broadcast(several, BROADCAST_ROWS)
-    owned = hot_join(some.join(several, "doc_id", "left_semi"), classes, same).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    owned = some.join(several, "doc_id", "left_semi").join(classes, same).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     keyed = reps.select("id", F.explode("bands").alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = materialize(hot_join(keyed, counts, "key"), "buckets")
