@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import ast
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .definitions import top_level_spans
 
 CHUNK_LINES, OVERLAP = 40, 0.25
 MAX_CHARS, MIN_PIECE = 1500, 120
@@ -124,45 +122,6 @@ def chunk_markdown(files: DataFrame, *, body: str = "body", max_chars: int = MAX
     return out.select(*[c for c in out.columns if c != "_p"], F.col("_p.path").alias("heading_path"), F.col("_p.text").alias("text"), X.breadcrumb(F.col("_p.path"), F.col("_p.text")).alias("display_text"))
 
 
-#: Starts of what stands at the top level of a file, by language, where no parser is at hand.
-_TOP = {
-    "js": r"(export\s|(async\s+)?function\b|class\b|const\b|let\b)",
-    "ts": r"(export\s|(async\s+)?function\b|class\b|const\b|let\b|interface\b|type\b)",
-    "go": r"(func\b|type\b)",
-    "rs": r"(pub(\([a-z]+\))?\s+)?(async\s+)?(fn|impl|struct|enum|trait|mod)\b",
-    "java": r"(public\s+|private\s+|protected\s+|abstract\s+|final\s+|static\s+)*(class|interface|enum)\b",
-    "rb": r"(def|class|module)\b",
-    "sh": r"(function\s+\w+|\w+\s*\(\)\s*\{)",
-    "c": r"\w[\w\s\*]*\([^;]*\)\s*\{|struct\b|enum\b",
-}
-_SAME = {"jsx": "js", "mjs": "js", "cjs": "js", "tsx": "ts", "kt": "java", "scala": "java", "cs": "java", "bash": "sh", "zsh": "sh", "h": "c", "cc": "c", "cpp": "c", "hpp": "c", "hh": "c"}
-
-
-def top_level_spans(source: str, lang: str) -> list[tuple[int, int]] | None:
-    """First and last line (from 1) of each definition at the top level; None if none is found or the source doesn't parse."""
-    if lang == "py":
-        try:
-            tree = ast.parse(source)
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return None
-        found = [n for n in tree.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
-        return [(min([n.lineno, *(d.lineno for d in n.decorator_list)]), n.end_lineno or n.lineno) for n in found] or None
-    pattern = _TOP.get(_SAME.get(lang, lang))
-    if not pattern:
-        return None
-    lines = source.splitlines()
-    starts = [i for i, x in enumerate(lines) if re.match(pattern, x)]
-    if not starts:
-        return None
-    out = []
-    for i, nxt in zip(starts, [*starts[1:], len(lines)], strict=True):
-        end = next((j for j in range(i, nxt) if re.match(r"^(\}|end\b)", lines[j])), nxt - 1)
-        while end > i and not lines[end].strip():
-            end -= 1
-        out.append((i + 1, end + 1))
-    return out
-
-
 def regions(n_lines: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The spans and the gaps between them, in order, over lines 1 to ``n_lines``."""
     out, at = [], 1
