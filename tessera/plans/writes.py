@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.embed import KeywordEmbedder
+from ..functions.requests import VectorTable, embed_table
+from ..functions.yaml_values import nested_front_matter
 from ..operators import chunking, effects, review, sessions
 from ..sources.shared import file_of, shared_dir
 from .details import query
@@ -57,3 +60,31 @@ def markdown_chunks(spark, sf):
     """Documents under two headings, packed by paragraph."""
     d = table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.concat(F.lit("# A\n## B\n"), "text"), "\n", "\n\n").alias("body"))
     return chunking.chunk_markdown(d).select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.array_join("heading_path", " > ").alias("path"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
+@query("SELECT doc_id, CAST(contains(lower(text), 'data') AS INT) AS about_data, CAST(contains(lower(text), 'the') AS INT) AS about_the, count(*) OVER (PARTITION BY text) AS n_equal FROM documents")
+def embed_requests(spark, sf):
+    """Every document embedded by packed requests, equal texts once, through a table of vectors by content hash."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    vectors = VectorTable(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    out = embed_table(d, KeywordEmbedder([["data"], ["the"]]), vectors, "query", max_tokens=50_000)
+    n = d.groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("h")).agg(F.count(F.lit(1)).alias("n_equal"))
+    keyed = out.withColumn("h", F.sha2(F.encode("text", "UTF-8"), 256)).join(n, "h")
+    return keyed.select("doc_id", F.col("embedding")[0].cast("int").alias("about_data"), F.col("embedding")[1].cast("int").alias("about_the"), "n_equal")
+
+
+@query("SELECT doc_id, lang, source, sha256(text) AS text_sha256, len(string_split(text, chr(10))) AS n_lines, string_split(text, chr(10))[1] AS first_line, 'Body of ' || doc_id AS body FROM documents")
+def front_nested(spark, sf):
+    """Whole texts put into nested front matter, as a quoted text in a flow map and as a list of lines, and read back."""
+    d = table(spark, sf, "documents")
+    quoted = F.concat(F.lit("'"), F.replace("source", F.lit("'"), F.lit("''")), F.lit("'"))
+    front = F.concat(
+        F.lit("---\nkeys:\n  lang: >-\n    "), F.col("lang"), F.lit("\n  source: "), quoted, F.lit("\nparts:\n- "), F.to_json(F.struct(F.col("text").alias("whole"))), F.lit("\n- lines: "), F.to_json(F.split("text", "\n")),
+        F.lit("\n---\n\nBody of "), F.col("doc_id").cast("string"),
+    )
+    read = nested_front_matter(d.select("doc_id", front.alias("text")))
+    at = lambda path, kind="string": F.variant_get("front", path, kind)
+    return read.select(
+        "doc_id", at("$.keys.lang").alias("lang"), at("$.keys.source").alias("source"), F.sha2(F.encode(at("$.parts[0].whole"), "UTF-8"), 256).alias("text_sha256"),
+        F.size(at("$.parts[1].lines", "array<string>")).cast("long").alias("n_lines"), at("$.parts[1].lines[0]").alias("first_line"), "body",
+    )
