@@ -12,19 +12,26 @@ def _toward_least(pairs: DataFrame, *, larger: bool) -> DataFrame:
     """One star contraction: neighbours of each node join the least node among it and them.
 
     ``larger`` joins the neighbours that exceed the node, else those below it and the node
-    itself.  Minima are pre-aggregated; a node of many neighbours is never gathered, and the
+    itself, without repeats.  Minima are pre-aggregated; a node of many neighbours is never gathered, and the
     join back with its minimum is salted, so that no task has all of them.
     """
     if larger:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("_m")).withColumn("_m", F.least("_m", "a"))
-        return salted_join(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
+        return salted_join(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b"))  # one row for each pair
     down = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
     least = down.groupBy("a").agg(F.min("b").alias("_m"))
     joined = salted_join(down, least, "a").filter("b > _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
     return joined.unionByName(least.select("a", F.col("_m").alias("b"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the pairs (a, b), a > b, are stars: every a has one b, and no b is an a."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    nodes = edges.select(ends.alias("e")).select("e.*").groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.filter("up > 1 OR up + down > 1").agg(F.count(F.lit(1)).alias("n")).first().n == 0
+
+
 def components(pairs: DataFrame, *, rounds: int = 60) -> DataFrame:
     """(id, component): for every node of the pairs (a, b) the least node that it reaches.
 
@@ -32,18 +39,12 @@ def components(pairs: DataFrame, *, rounds: int = 60) -> DataFrame:
     which a graph needs about the logarithm of its longest path squared; more is an error.
     """
     edges = materialize(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    digest = lambda e: e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
-    before = digest(edges)
     for _ in range(rounds):
-        if not before.n:
+        if _settled(edges):
             break
         new = materialize(_toward_least(_toward_least(edges, larger=True), larger=False), "edges")
         release(edges)
         edges = new
-        now = digest(edges)
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError("the components did not settle")
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
