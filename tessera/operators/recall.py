@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,8 +56,13 @@ def merge_state(hits: DataFrame, *, session: str = "session_id", order: str = "s
 
 
 def expire_state(state: DataFrame, now: Column, *, updated: str = "updated_at", max_age: int = STATE_MAX_AGE_SECONDS) -> DataFrame:
-    """Sessions whose last update is no older than ``max_age`` seconds."""
-    return state.filter(F.unix_timestamp(now) - F.unix_timestamp(updated) <= max_age)
+    """Sessions whose last update is no older than ``max_age`` seconds, to the microsecond.
+
+    Updates without a time zone are held against ``now`` as the clock of the session's zone shows it.
+    """
+    if dict(state.dtypes)[updated] == "timestamp_ntz":
+        return state.filter(now.cast("timestamp_ntz") - F.col(updated) <= F.lit(timedelta(seconds=max_age)))
+    return state.filter(F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(updated).cast("timestamp")) <= max_age * 1_000_000)
 
 
 def prompt_text(event: DataFrame, column: str = "event") -> DataFrame:

@@ -182,9 +182,9 @@ def ledger_display(spark, sf):
 @query("SELECT user_id, max(ts) AS updated_at FROM events GROUP BY user_id HAVING epoch((SELECT max(ts) FROM events)) - epoch(max(ts)) <= 3600")
 def state_expiry(spark, sf):
     e = table(spark, sf, "events")
-    now = e.agg(F.max("ts").alias("t")).first().t
-    state = e.groupBy("user_id").agg(F.max("ts").alias("updated_at"))
-    return recall.expire_state(state, F.lit(now), max_age=3600)
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    state = e.groupBy("user_id").agg(F.max("ts").alias("updated_at")).crossJoin(F.broadcast(now))
+    return recall.expire_state(state, F.col("now"), max_age=3600).drop("now")
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n, step FROM (SELECT conv_id, CASE WHEN count_if(role = 'user' AND regexp_replace(text, '\\s', '', 'g') <> '') < 2 THEN 'digest' ELSE 'over_budget' END AS step FROM conversations WHERE role <> 'system' GROUP BY conv_id) GROUP BY step")

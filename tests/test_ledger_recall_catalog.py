@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import catalog, ledger, recall
+from tessera.plans import queries as plans
 from tessera.schema import LEDGER
 from tessera.sources.files import read_ledger
 
@@ -87,3 +88,21 @@ def test_catalog(spark):
     with pytest.raises(ValueError):
         catalog.merge(c, ["a", "none"])
     assert catalog.title_block(c, 1).first().block == '  - "Head"\n  - … and 4 more' and catalog.title_block(c.limit(0)).first().block == "  (none)"
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_expiry_counts_fractions_of_seconds(spark, kind):
+    s = spark.createDataFrame([(1, "2026-01-01 00:00:00.999999"), (2, "2026-01-01 00:00:00.000001"), (3, "2026-01-01 00:00:00"), (4, None)], "k int, t string").select("k", F.col("t").cast(kind).alias("updated_at"))
+    now = F.lit("2026-01-01 01:00:00.000001").cast(kind)
+    assert sorted(r.k for r in recall.expire_state(s, now, max_age=3600).collect()) == [1, 2]
+
+
+def test_expiry_across_a_change_of_clocks(spark, tmp_path):
+    """Times without a zone are as the tables write them, whatever the zone's clocks did."""
+    spark.sql("SELECT * FROM VALUES (1, TIMESTAMP_NTZ'2024-03-31 01:30:00'), (2, TIMESTAMP_NTZ'2024-03-31 03:15:00.5'), (3, TIMESTAMP_NTZ'2024-03-31 02:15:00.25') AS t(user_id, ts)").write.parquet(f"{tmp_path}/events.parquet")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        assert [r.user_id for r in plans.QUERIES["state_expiry"](spark, str(tmp_path)).collect()] == [2]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
