@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from ..session import bounded_batches  # noqa: F401  the operators take it from here
 from ..sources.shared import shared_dir
 
 #: ASCII white space: space and the code points 9 to 13.
@@ -143,10 +144,3 @@ def measured_join(many: DataFrame, few: DataFrame, on: str | list[str], *, count
     if held.count() <= rows and int(held.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= size:
         return many.join(F.broadcast(held), on)
     return hot_join(many, held, on, count=count, rows=rows)
-
-
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Hold Arrow batches for Python to ``rows`` rows and 16 MB, so that long texts don't fill a worker's memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

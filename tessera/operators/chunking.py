@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import bounded_batches
 from .definitions import top_level_spans
 
 CHUNK_LINES, OVERLAP = 40, 0.25
@@ -142,6 +143,7 @@ def chunk_code(files: DataFrame, *, text: str = "text", lang: str = "language",
     What is longer than ``size`` lines is cut in windows.  Files whose definitions aren't
     found are cut in windows as a whole.
     """
+    bounded_batches(files.sparkSession)
 
     @F.pandas_udf("array<struct<a:int,b:int>>")
     def cut(source: pd.Series, language: pd.Series) -> pd.Series:

@@ -64,3 +64,20 @@ def test_variant(spark):
 def test_long_values_take_linear_time(text):
     began = time.perf_counter()
     assert read_values(text) is not None and time.perf_counter() - began < 5
+
+
+def test_batches_for_python_are_bounded(spark, monkeypatch):
+    """A worker never holds thousands of whole texts at once."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+
+        def sizes(raw):
+            return F.pandas_udf(lambda part: part.map(lambda _: f'{{"n": {len(part)}}}'), "string")(raw)
+
+        monkeypatch.setattr("tessera.functions.yaml_values.values", lambda raw: F.try_parse_json(sizes(raw)))
+        files = spark.range(0, 3000, 1, 1).select(F.lit("---\na: 1\n---\nbody").alias("text"))
+        seen = nested_front_matter(files).agg(F.max(F.variant_get("front", "$.n", "int")).alias("n"), F.count(F.lit(1)).alias("k")).first()
+        assert seen.k == 3000 and seen.n <= 512
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
