@@ -104,18 +104,28 @@ def words(col: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, GAP_RE))
 
 
+def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df``, cached until the innermost open ``scratch`` ends, and its number of rows; what a lost executor held is computed again."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if _OPEN:
+        _OPEN[-1].append(df)
+    return df, df.count()
+
+
+def _sent(df: DataFrame, size: int = BROADCAST_BYTES) -> DataFrame:
+    """The cached ``df`` marked for broadcast if its copy has at most ``size`` bytes, else as it is."""
+    # The plan of a new query over the cached copy knows the copy's true size.
+    return F.broadcast(df) if int(df.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= size else df
+
+
 def maybe_broadcast(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows and ``size`` bytes, else as it is (shuffled join).
 
     It is counted and measured first, which is the proof that a broadcast needs; it is kept
-    in the executors meanwhile, and what a lost executor held is computed again.
+    in the executors meanwhile.
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if _OPEN:
-        _OPEN[-1].append(df)
-    few = df.count() <= rows
-    # The plan of a new query over the cached copy knows the copy's true size.
-    return F.broadcast(df) if few and int(df.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= size else df
+    df, n = _counted(df)
+    return _sent(df, size) if n <= rows else df
 
 
 def salted_join(many: DataFrame, few: DataFrame, on: str, salts: int = SALTS) -> DataFrame:
@@ -129,9 +139,13 @@ def hot_join(many: DataFrame, few: DataFrame, on: str | list[str], *, count: str
     """Inner join of ``many`` with ``few``, which has one row per key and in ``count`` how many rows of ``many`` the key has.
 
     Keys of HOT_ROWS rows or more are few; their rows stay where they are and the side of one
-    row a key is sent to them, so that no task gets a whole key.  The others are joined by shuffle.
+    row a key is sent to them, so that no task gets a whole key.  The others are joined by shuffle;
+    where no key has that many rows, that is the only join, as each one adds to what the driver holds.
     """
-    hot = maybe_broadcast(few.filter(F.col(count) >= HOT_ROWS), rows)
+    hot, n = _counted(few.filter(F.col(count) >= HOT_ROWS))
+    if not n:
+        return many.join(few, on)
+    hot = _sent(hot) if n <= rows else hot
     cold = many.join(hot.select(on), on, "left_anti").join(few.filter(F.col(count) < HOT_ROWS), on)
     return many.join(hot, on).unionByName(cold)
 

@@ -9,16 +9,16 @@ from .base import materialize, release, salted_join
 
 
 def _toward_least(pairs: DataFrame, *, larger: bool) -> DataFrame:
-    """One star contraction: neighbours of each node join the least node among it and them.
+    """One star contraction of pairs (a, b), a > b: neighbours of each node join the least node among it and them.
 
     ``larger`` joins the neighbours that exceed the node, else those below it and the node
     itself, without repeats.  Minima are pre-aggregated; a node of many neighbours is never gathered, and the
     join back with its minimum is salted, so that no task has all of them.
     """
     if larger:
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("_m")).withColumn("_m", F.least("_m", "a"))
-        return salted_join(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b"))  # one row for each pair
+        ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+        least = pairs.select(ends.alias("e")).select("e.*").groupBy("a").agg(F.min("b").alias("_m")).withColumn("_m", F.least("_m", "a"))
+        return salted_join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b"))  # one row for each pair
     down = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
     least = down.groupBy("a").agg(F.min("b").alias("_m"))
     joined = salted_join(down, least, "a").filter("b > _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))

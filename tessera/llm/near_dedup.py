@@ -138,7 +138,7 @@ def links_between(left: list, right: list, threshold: float, bound: int) -> list
     return found
 
 
-def _compare(groups: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _compare(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) found in groups (unit, l, r, side, id, component); every group is bounded."""
     _, k = banding(threshold)
     bound = sketch_bound(threshold, k)
@@ -148,8 +148,7 @@ def _compare(groups: DataFrame, reps: DataFrame, sets: DataFrame, threshold: flo
         left, right = [x for x, s in zip(rows, part["side"], strict=True) if s == 0], [x for x, s in zip(rows, part["side"], strict=True) if s == 1]
         return pd.DataFrame(links_between(left, right, threshold, bound) if left and right else [], columns=["a", "b"], dtype="int64")
 
-    full = groups.join(reps.select("id", "f1", "bands", "sketch").join(sets, ["id", "f1"]), "id")
-    return full.groupBy("unit", "l", "r").applyInPandas(compare, "a long, b long")
+    return groups.join(sets, "id").groupBy("unit", "l", "r").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -172,24 +171,22 @@ def _linked(docs: DataFrame, width: int, threshold: float) -> DataFrame:
     signed = materialize(signatures(docs, width=width, threshold=threshold), "signed")
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["f1", "f2", "n_shingles"]
-    # Classes of equal sets: one aggregation, however many copies there are.
-    classes = some.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
-    classes = materialize(classes, "classes")
-    # Joined on the document, too, so that of a class, however large, only its first document is looked for.
-    reps = some.withColumn("id", F.col("doc_id")).join(classes, [*same, "id"]).select("id", "f1", "n_shingles", "bands", "sketch").dropDuplicates(["id", "f1"])
-    reps = materialize(reps, "reps")
+    # Classes of equal sets, with the bands and sketch that equal sets share: one aggregation, however many copies there are.
+    classes = some.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = classes = materialize(classes, "classes")
     # Documents of several texts link the classes of these.
     several = some.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("a"), F.max(F.struct(*same)).alias("b")).filter("a <> b").select("doc_id")
     several = maybe_broadcast(several, BROADCAST_ROWS)
-    owned = some.join(several, "doc_id", "left_semi").join(classes, same).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    owned = some.select("doc_id", *same).join(several, "doc_id", "left_semi").join(classes.select(*same, "id"), same).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     keyed = reps.select("id", F.explode("bands").alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = materialize(hot_join(keyed, counts, "key"), "buckets")
     central = buckets.groupBy("id").agg(F.sum("n").alias("c"))
     hubs = buckets.join(central, "id").groupBy("key").agg(F.max(F.struct("c", (-F.col("id")).alias("m"))).alias("h"), F.count(F.lit(1)).alias("n")).select("key", (-F.col("h.m")).alias("hub"), "n")
     star = materialize(hot_join(buckets.select("id", "key"), hubs, "key").filter("id <> hub").select("id", "hub").distinct(), "star")
-    one_each = reps.select("id", "f1", "bands", "sketch")
-    sets = materialize(_sets(docs, buckets.select("id"), width).dropDuplicates(["id", "f1"]), "sets")
+    # With bands and sketch, so that comparisons join once; both steps need the same exchange.
+    sets = _sets(docs, buckets.select("id"), width).join(reps.select("id", "f1", "bands", "sketch"), ["id", "f1"])
+    sets = materialize(sets.dropDuplicates(["id", "f1"]), "sets")
 
     # Each hub with its documents; a hub of many is dealt out over several groups.
     spread = star.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / RIGHT).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"))
@@ -198,7 +195,7 @@ def _linked(docs: DataFrame, width: int, threshold: float) -> DataFrame:
     first = first.unionByName(
         spread.select(F.col("hub").alias("unit"), F.lit(0).alias("l"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("r"), F.lit(0).alias("side"), F.col("hub").alias("id"), F.col("hub").alias("component"))
     )
-    links = materialize(_compare(first, one_each, sets, threshold).unionByName(owned.filter("a <> b")), "links")
+    links = materialize(_compare(first, sets, threshold).unionByName(owned.filter("a <> b")), "links")
     found = components(links)
 
     # Buckets that lie in several components: what is outside their largest one is compared with all members.
@@ -226,15 +223,16 @@ def _linked(docs: DataFrame, width: int, threshold: float) -> DataFrame:
         apart = open_buckets.join(home.join(whole.select(F.col("unit").alias("cluster")), "cluster", "left_anti"), "unit").select("unit", "n", "n_left", "most")
         members = in_clusters.join(whole, "unit").select("unit", "id", "component", "n", "n_left", "most", F.lit(0).alias("kind"))
         members = members.unionByName(by_bucket.join(apart, "unit").select("unit", "id", "component", "n", "n_left", "most", F.lit(1).alias("kind")))
+        members = materialize(members, "members")  # both sides read it; else each would plan all of the above again
         ls, rs = F.ceil(F.col("n_left") / LEFT).cast("int"), F.ceil(F.col("n") / RIGHT).cast("int")
         unit = F.xxhash64("kind", "unit")
         every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         left = members.filter("component <> most").select(unit.alias("unit"), F.pmod(F.xxhash64("id"), ls).cast("int").alias("l"), every(rs).alias("r"), F.lit(0).alias("side"), "id", "component")
         right = members.select(unit.alias("unit"), every(ls).alias("l"), F.pmod(F.xxhash64("id"), rs).cast("int").alias("r"), F.lit(1).alias("side"), "id", "component")
-        more = _compare(left.unionByName(right), one_each, sets, threshold)
+        more = _compare(left.unionByName(right), sets, threshold)
         found = components(links.unionByName(more))
     # Classes get their component first, so that only they meet the documents, of which one class may have any share.
-    ends = classes.join(found, "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"), "n")
+    ends = classes.select(*same, "id", "n").join(found, "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"), "n")
     final = hot_join(some.select("doc_id", *same), ends, same).select("doc_id", "n_shingles", "component_id")
     others = signed.filter("NOT (n_shingles > 0 AND doc_id IS NOT NULL)")
     final = final.unionByName(others.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

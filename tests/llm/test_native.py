@@ -348,3 +348,18 @@ def test_frequent_lines_beyond_the_broadcast(spark, monkeypatch):
     out = L.line_bitmaps(df, min_docs=2, keep="none")
     assert "BroadcastHashJoin" in out._jdf.queryExecution().toString()
     assert sorted(map(str, L.apply_bitmaps(df, out).collect())) == want and all("same" not in x for x in want)
+
+
+def test_a_join_without_hot_keys_is_one_join(spark, monkeypatch):
+    """Each further join adds plans, threads and metrics to the driver, whose memory is what ran out."""
+    from tessera.llm import base
+
+    many = spark.createDataFrame([(i % 7, i) for i in range(50)], "k int, v int")
+    few = spark.createDataFrame([(i, 10 * i, sum(j % 7 == i for j in range(50))) for i in range(5)], "k int, w int, n int")
+    want = sorted((i % 7, i, 10 * (i % 7)) for i in range(50) if i % 7 < 5)
+    for hot, joins in ((1_000, 1), (8, 3)):
+        monkeypatch.setattr(base, "HOT_ROWS", hot)
+        with base.scratch():
+            got = base.hot_join(many, few, "k")
+            assert sorted((r.k, r.v, r.w) for r in got.collect()) == want
+            assert got._jdf.queryExecution().analyzed().toString().count("Join ") == joins
