@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import base64
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +73,16 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def joined_words(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts as by ``words_of``, joined in one array of bytes, and how many each text has."""
+    a = pa.array([(t or "").encode("utf-8", "surrogatepass") for t in texts], pa.large_binary()).view(pa.large_string())
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(a)))
+    values, n = split.flatten().cast(pa.large_binary()), np.diff(split.offsets.to_numpy())
+    some = pc.greater(pc.binary_length(values), 0)  # a text without words gives one empty piece
+    n[pc.equal(pc.binary_length(pc.ascii_trim_whitespace(a)), 0).to_numpy(zero_copy_only=False)] = 0
+    return values.filter(some), n.astype(np.int64)
+
+
 class Subwords:
     """Ids of words under a public byte-level vocabulary in a file of ranks."""
 
@@ -272,6 +283,7 @@ def score_places(net: Attention, inputs: np.ndarray, target: np.ndarray, lengths
     """Log probability of every target, each once, over batches of windows; and of any word outside the table."""
     at, valid, counts = windows(lengths, window, context)
     out, outside = np.zeros(len(inputs)), np.zeros(0 if inner else len(inputs))
+    kinds = np.repeat(np.eye(2, dtype=net.p["u0"].dtype), (FREQUENT, OTHER), axis=0)
     step = max(1, (BLOCK if not inner else BLOCK // 2) // (window - context))
     for i in range(0, len(at), step):
         a, ok, c = at[i : i + step], valid[i : i + step], counts[i : i + step]
@@ -283,8 +295,8 @@ def score_places(net: Attention, inputs: np.ndarray, target: np.ndarray, lengths
         if inner:
             out[places] = hit - np.log(z.sum(axis=1))
         else:
-            other = z[:, FREQUENT:].sum(axis=1)
-            total = np.log(z[:, :FREQUENT].sum(axis=1) + other)
+            frequent, other = (z @ kinds).T  # a product is faster than sums of short rows
+            total = np.log(frequent + other)
             out[places], outside[places] = hit - total, np.log(other) - total
     return out, outside
 
@@ -305,7 +317,7 @@ def train(texts: list[str], m: Model, *, steps: int = 2000, seed: int = 11) -> M
     r = np.random.default_rng(seed)
     some = sorted({w for d in docs for w in d if w not in table})
     some = [some[i] for i in r.permutation(len(some))[:200_000]]
-    inputs, target, lengths = first_places(docs, m)
+    inputs, target, lengths = first_places(texts, m)
     sets = [(inputs, target, *windows(lengths, WINDOW, CONTEXT), False, 16)]
     if some:
         inputs, target, lengths, _ = m.spelled([sub(w) for w in some])
@@ -332,27 +344,33 @@ def _first_class(m: Model, sub: Subwords, words: list[bytes]) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def place_words(docs: list[list[bytes]], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """For words and ends of texts, joined: number in the table (-1: not in it), class; lengths, places of ends, other words and their places."""
+def place_words(texts: list[str | None], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """For words and ends of texts, joined: number in the table (-1: not in it, -2: an end), class; lengths, places of ends, other words and their places."""
     table, sub = _ready(m)
-    n = np.array([len(d) + 1 for d in docs], dtype=np.int64)
+    words, n = joined_words(texts)
+    n += 1
     ends = np.cumsum(n) - 1
-    index = np.fromiter(chain.from_iterable(chain(map(table.get, d, repeat(-1)), (-2,)) for d in docs), dtype=np.int64, count=int(n.sum()))
+    if 8 * len(words) < len(table):  # Arrow hashes all of the table on each call
+        found = np.fromiter((table.get(w, -1) for w in words.to_pylist()), dtype=np.int64, count=len(words))
+    else:
+        found = pc.fill_null(pc.index_in(words, value_set=_READY[id(m)][3]), -1).to_numpy().astype(np.int64)
+    index = np.full(int(n.sum()), -2, dtype=np.int64)
+    is_word = np.ones(len(index), bool)
+    is_word[ends] = False
+    index[is_word] = found
     cls = np.full(len(index), FREQUENT - 1, dtype=np.int64)
     known = index >= 0
     if m.word_class is not None and len(m.word_class):
         cls[known] = m.word_class[index[known]]
     other = np.flatnonzero(index == -1)
-    owner = np.searchsorted(ends, other)
-    begins = ends - n + 1
-    ws = [docs[o][i] for o, i in zip(owner.tolist(), (other - begins[owner]).tolist(), strict=True)]
+    ws = words.filter(pa.array(found == -1)).to_pylist()
     cls[other] = _first_class(m, sub, ws)
     return index, cls, n, ends, ws, other
 
 
-def first_places(docs: list[list[bytes]], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def first_places(texts: list[str | None], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, targets and lengths of the first classes of texts, each with its end."""
-    _, target, lengths, ends, _, _ = place_words(docs, m)
+    _, target, lengths, ends, _, _ = place_words(texts, m)
     return shifted(target, ends, lengths), target, lengths
 
 
@@ -382,7 +400,7 @@ def train_on(rows: DataFrame, model: Broadcast, net: Attention, rate: float, pas
                 x, y, lengths, _ = m.spelled([_ready(m)[1](w.encode("utf-8", "surrogatepass")) for w in values if w])
                 at, valid, counts = windows(lengths, INNER_WINDOW, INNER_CONTEXT)
             else:
-                x, y, lengths = first_places([words_of(t) for t in values], m)
+                x, y, lengths = first_places(values, m)
                 at, valid, counts = windows(lengths, WINDOW, CONTEXT)
             seen += len(at)
             for _ in range(passes):
@@ -478,7 +496,8 @@ def _ready(m: Model) -> tuple[dict[bytes, int], Subwords]:
     if key not in _READY:
         _READY.clear()
         _CLASSES.clear()
-        _READY[key] = ({w: i for i, w in enumerate(m.words.split(b"\n"))} if m.words else {}, Subwords(m.tokenizer), m)
+        ws = m.words.split(b"\n") if m.words else []
+        _READY[key] = ({w: i for i, w in enumerate(ws)}, Subwords(m.tokenizer), m, pa.array(ws, pa.large_binary()))
     return _READY[key][:2]
 
 
@@ -487,7 +506,7 @@ def score_batch(texts: list[str | None], m: Model) -> list[tuple]:
     and for each the log10 of its class and of any word outside the table."""
     if not texts:
         return []
-    index, cls, n, ends, ws, other = place_words([words_of(t) for t in texts], m)
+    index, cls, n, ends, ws, other = place_words(texts, m)
     begins = ends - n + 1
     rest, base = np.zeros(len(index)), np.zeros(len(index))
     known = index >= 0
@@ -509,22 +528,27 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word, c (occurrences in the rows to learn from) for every word of ``docs``; words are counted in each task and then summed."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
-        held: set = set()
+        learned: list[pa.Array] = []
+        others: list[pa.Array] = []
 
         def out() -> pd.DataFrame:
-            ws, ns = [*c, *(held - c.keys())], [*c.values()]
-            return pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in ws], "c": ns + [0] * (len(ws) - len(ns))})
-
+            c = pc.value_counts(pa.chunked_array(learned, pa.large_binary()))
+            held = pc.unique(pa.chunked_array(others, pa.large_binary()))
+            ws, ns = c.field(0).to_pylist() + held.to_pylist(), c.field(1).to_pylist() + [0] * len(held)
+            learned.clear()
+            others.clear()
+            return pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in ws], "c": ns})
+
+        n = 0
         for part in parts:
-            for t, learn in zip(part["text"], part["learn"], strict=True):
-                ws = words_of(t if isinstance(t, str) else None)
-                c.update(ws) if learn else held.update(ws)
-                if len(c) + len(held) > 400_000:
-                    yield out()
-                    c.clear()
-                    held.clear()
-        if c or held:
+            learn = part["learn"].to_numpy(dtype=bool)
+            for found, which in ((learned, learn), (others, ~learn)):
+                found.append(joined_words([t if isinstance(t, str) else None for t in part["text"][which]])[0])
+                n += len(found[-1])
+            if n > 4_000_000:
+                yield out()
+                n = 0
+        if n:
             yield out()
 
     rows = docs.select("text", (fold(F.col("doc_id"), FOLDS) != HELD_OUT).alias("learn"))

@@ -361,6 +361,22 @@ def test_language_model(spark, sf):
     assert len(got) == len(texts)
 
 
+def test_words_are_found_in_bulk_as_one_by_one():
+    """Arrow parts and looks up all words of a batch; a small batch goes through a dictionary."""
+    texts = [None, "", " ", "\x0b\x0c A\tB\nÉé\rx\x1cy z \x85 ", " a  b ", "\x0c", "b " * 90]
+    values, n = lm.joined_words(texts)
+    apart = [lm.words_of(t) for t in texts]
+    assert values.to_pylist() == [w for d in apart for w in d] and n.tolist() == [len(d) for d in apart]
+    n_ids = lm.Subwords(lm.DEFAULT_TOKENIZER).n_ids
+    for more in (0, 2000):  # tables that are small and large beside the batch
+        frequent = [("a", 3), ("b", 2)] + [(f"w{i}", 1) for i in range(more)]
+        m = lm.add_counts(lm.new_model(*np.zeros((3, n_ids)), 1, lm.DEFAULT_TOKENIZER), frequent, 9 + more, 5 + more, 1)
+        index, _, lengths, ends, ws, other = lm.place_words(texts, m)
+        want = [{b"a": 0, b"b": 1}.get(w, -1) if w else -2 for d in apart for w in [*d, b""]]
+        assert index.tolist() == want and lengths.tolist() == [len(d) + 1 for d in apart]
+        assert ws == [w for d in apart for w in d if w not in (b"a", b"b")] and other.tolist() == [i for i, x in enumerate(want) if x == -1]
+
+
 def by_token(m, vocabulary, total, distinct, text):
     """log10 probability of a text, one token after the other, each from its own window."""
     sub, table = lm.Subwords(m.tokenizer), {w: i for i, w in enumerate(m.words.split(b"\n"))} if m.words else {}
