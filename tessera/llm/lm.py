@@ -2,8 +2,8 @@
 
 A text is its words and an end.  A word is its subword ids: the first, then the inner
 ones and an end of word.  An attention model predicts all of them, with weights of its
-own for first and for inner ids.  Its first steps are on a bounded sample of texts on the
-driver; then it passes over all training rows on the executors.  The mask lets a
+own for first and for inner ids.  Its first steps are on a bounded sample of texts in one
+task; then it passes over all training rows on the executors.  The mask lets a
 first id see the first ids of the words before it in the window, and an inner id see the
 ids of its own word; so what an inner id gets depends on its word alone, and is computed
 once per distinct word and not per occurrence.  Windows overlap: each holds some ids as
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import base64
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -49,7 +49,7 @@ INNER_WINDOW, INNER_CONTEXT = 8, 4
 MAX_FREQUENT = 300_000
 #: One in so many distinct words, at least, isn't in the table: the rarest, from which the spelling of others is learned.
 SPELLED = 10
-#: Bound on the texts of the first steps on the driver; after these the model passes over all training rows.
+#: Bound on the texts of the first steps, which one task does; after these the model passes over all training rows.
 MAX_TRAINING = 5_000
 #: Rate of each pass's steps on the executors; every training row is in one of these passes.
 RATES = (2e-3, 7e-4)
@@ -310,25 +310,52 @@ def _classes(counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return cls, np.where(cls == n - 1, np.log(np.maximum(rare, 1e-9) / max(1e-9, rare.sum())), 0.0)
 
 
-def train(texts: list[str], m: Model, *, steps: int = 2000, seed: int = 11) -> Model:
-    """The first steps, on a bounded list of texts (both kinds of ids in turn); ``m`` has classes and words."""
-    table, sub = _ready(m)
-    docs = [words_of(t) for t in texts]
-    r = np.random.default_rng(seed)
-    some = sorted({w for d in docs for w in d if w not in table})
+def train(batches: Iterable[list[str | None]], m: Model, net: Attention, *, steps: int = 2000, seed: int = 11) -> Attention:
+    """``net`` after the first steps, on a bounded number of texts (both kinds of ids in turn); ``m`` has classes and words."""
+    net, sub = Attention({k: v.copy() for k, v in net.p.items()}), _ready(m)[1]
+    placed, others = [], set()
+    for texts in batches:
+        _, cls, n, ends, ws, _ = place_words(texts, m)
+        placed.append((shifted(cls, ends, n).astype(np.int16), cls.astype(np.int16), n))
+        others.update(ws)
+    if not placed:
+        return net
+    inputs, target, lengths = map(np.concatenate, zip(*placed, strict=True))
+    r, some = np.random.default_rng(seed), sorted(others)
     some = [some[i] for i in r.permutation(len(some))[:200_000]]
-    inputs, target, lengths = first_places(texts, m)
     sets = [(inputs, target, *windows(lengths, WINDOW, CONTEXT), False, 16)]
     if some:
         inputs, target, lengths, _ = m.spelled([sub(w) for w in some])
         sets.append((inputs, target, *windows(lengths, INNER_WINDOW, INNER_CONTEXT), True, 384))
-    adam = Adam(m.net.p)
-    for step in range(steps if docs else 0):
+    adam = Adam(net.p)
+    for step in range(steps):
         rate = 6e-3 * min(1.0, (steps - step) / (0.6 * steps))
         for x, y, at, valid, counts, inner, size in sets:
             i = r.integers(0, len(at), size)
-            adam.step(m.net.gradient(x[at[i]], valid[i], y[at[i][:, at.shape[1] - counts.shape[1] :]], counts[i].astype(np.float32), inner)[1], rate)
-    return m
+            adam.step(net.gradient(x[at[i]], valid[i], y[at[i][:, at.shape[1] - counts.shape[1] :]], counts[i].astype(np.float32), inner)[1], rate)
+    return net
+
+
+def first_steps(rows: DataFrame, model: Broadcast, net: Attention) -> Attention:
+    """``net`` after the first steps on ``rows`` (doc_id, text; bounded), which one task takes in the order of doc_id: the
+    driver gets the weights alone, and holds neither texts nor what is made of them."""
+
+    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batches = ([t if isinstance(t, str) else None for t in part["text"]] for part in parts)
+        yield pd.DataFrame({"p": [_packed(train(batches, model.value, net).p)]})
+
+    got = rows.repartition(1).sortWithinPartitions("doc_id").mapInPandas(fit, "p binary").first()
+    return Attention(_unpacked(np.frombuffer(got.p, "<f4"), net.p))
+
+
+def _packed(p: dict[str, np.ndarray]) -> bytes:
+    return np.concatenate([v.ravel() for v in p.values()]).astype("<f4").tobytes()
+
+
+def _unpacked(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Arrays of the names and shapes of ``like`` from their joined numbers."""
+    cuts = np.split(flat.astype(np.float32), np.cumsum([v.size for v in like.values()])[:-1])
+    return {k: c.reshape(v.shape) for (k, v), c in zip(like.items(), cuts, strict=True)}
 
 
 def _first_class(m: Model, sub: Subwords, words: list[bytes]) -> np.ndarray:
@@ -411,7 +438,7 @@ def train_on(rows: DataFrame, model: Broadcast, net: Attention, rate: float, pas
                     g = here.gradient(x[at[j]], valid[j], y[at[j][:, at.shape[1] - counts.shape[1] :]], counts[j].astype(np.float32), inner)[1]
                     adam.step(g, rate * min(1.0, step / 20))
         if seen:
-            yield pd.DataFrame({"k": [_task() % PARTS], "n": [seen], "p": [np.concatenate([here.p[k].ravel() for k in start]).astype("<f4").tobytes()]})
+            yield pd.DataFrame({"k": [_task() % PARTS], "n": [seen], "p": [_packed({k: here.p[k] for k in start})]})
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         n = int(part["n"].sum())
@@ -424,8 +451,7 @@ def train_on(rows: DataFrame, model: Broadcast, net: Attention, rate: float, pas
         return net
     total = sum(r.n for r in got)
     mean = sum(np.frombuffer(r.p, "<f8") * (r.n / total) for r in got)
-    cuts = np.split(mean.astype(np.float32), np.cumsum([v.size for v in start.values()])[:-1])
-    return Attention({**net.p, **{k: c.reshape(v.shape) for (k, v), c in zip(start.items(), cuts, strict=True)}})
+    return Attention({**net.p, **_unpacked(mean, start)})
 
 
 def _task() -> int:
@@ -563,8 +589,13 @@ def least_count(vocabulary: DataFrame, most: int) -> int | None:
     return upto.filter(F.col("upto") <= most).agg(F.min("c")).first()[0]
 
 
-def first_texts(learned: DataFrame, most: int, size: int = FIRST_BYTES) -> list[str]:
-    """Texts for the first steps, chosen by hash of the id: at most ``most`` and, but for the first, at most ``size`` bytes in all."""
+def frequent_words(vocabulary: DataFrame, least: int | None) -> list[tuple[str, int]]:
+    """Words found ``least`` times or more, which are a bounded number, and how often; in order."""
+    return sorted((r.word, r.c) for r in vocabulary.filter(F.col("c") >= least).toLocalIterator()) if least else []
+
+
+def first_texts(learned: DataFrame, most: int, size: int = FIRST_BYTES) -> DataFrame | None:
+    """doc_id, text for the first steps, chosen by hash of the id: at most ``most`` and, but for the first, at most ``size`` bytes in all; None if there are none."""
     one = learned.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sizes = least_by_hash(one.select("doc_id", F.octet_length("text").alias("n")), most, F.lit(7)).collect()
     chosen, total = set(), 0
@@ -574,10 +605,9 @@ def first_texts(learned: DataFrame, most: int, size: int = FIRST_BYTES) -> list[
             break
         chosen.add(r.doc_id)
     if not chosen:
-        return []
+        return None
     ids = learned.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "doc_id long")
-    got = one.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()  # of repeated ids the least text
-    return [r.text for r in sorted(got, key=lambda r: r.doc_id)]
+    return one.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # of repeated ids the least text
 
 
 def fit_model(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, max_frequent: int = MAX_FREQUENT, max_training: int = MAX_TRAINING) -> tuple[Model, Broadcast, DataFrame, int, int, int | None]:
@@ -592,12 +622,12 @@ def fit_model(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, max_freque
     total, distinct = int(sums.n) + n_texts, int(sums.v) + (n_texts > 0)
     # The rarest tenth of the words stays outside the table at any size, so that spellings are learned from it.
     least = least_count(vocabulary, min(max_frequent, int(sums.v) * (SPELLED - 1) // SPELLED))
-    frequent = sorted((r.word, r.c) for r in vocabulary.filter(F.col("c") >= least).toLocalIterator()) if least else []
-    fitted = add_counts(new_model(*id_counts(vocabulary, least, tokenizer), tokenizer), frequent, total, distinct, n_texts)
-    train(first_texts(learned, max_training), fitted)
-    _READY.clear()
-    # All training rows and all other words, each in one of the passes.
+    fitted = add_counts(new_model(*id_counts(vocabulary, least, tokenizer), tokenizer), frequent_words(vocabulary, least), total, distinct, n_texts)
     model = spark.sparkContext.broadcast(fitted)
+    first = first_texts(learned, max_training)
+    if first is not None:
+        fitted.net = first_steps(first, model, fitted.net)
+    # All training rows and all other words, each in one of the passes.
     others = vocabulary.filter(F.col("c") < least) if least else vocabulary
     passes = 1 if n_texts <= max_training else max(1, -(-LEAST_WINDOWS * (WINDOW - CONTEXT) // max(1, total)))
     for i, rate in enumerate(RATES if n_texts else ()):

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tessera.llm import chroma as K
@@ -466,6 +467,31 @@ def test_spelling_is_learned_at_every_size(spark):
     assert seen[0] > odd[0] + 5
 
 
+def test_first_steps_are_not_on_the_driver(spark, monkeypatch):
+    def train(*args, f=lm.train, **more):
+        assert TaskContext.get() is not None, "the driver would hold the texts and their windows"
+        return f(*args, **more)
+
+    monkeypatch.setattr(lm, "train", train)
+    rows = [(i, f"plain words odd{i} " * 9) for i in range(40)]
+    m = lm.fit_model(spark.createDataFrame(rows + rows[:1], DOCS))[0]
+    assert not lm._READY and np.abs(m.net.p["b0"]).max() > 0.1
+
+
+def test_first_steps_are_in_order_and_leave_the_start_as_it_was(spark):
+    texts = ["one two three " * 30, None, "four five six seven " * 20, "", "Eight one " * 40 + "nine"]
+    df = spark.createDataFrame([(i, t or "") for i, t in enumerate(texts)], DOCS)
+    n_ids = lm.Subwords(lm.DEFAULT_TOKENIZER).n_ids
+    m = lm.add_counts(lm.new_model(*np.zeros((3, n_ids)), 1, lm.DEFAULT_TOKENIZER), [("four", 20), ("one", 70)], 300, 12, 5)
+    start = {k: v.copy() for k, v in m.net.p.items()}
+    got = lm.first_steps(df.orderBy(F.desc("doc_id")), spark.sparkContext.broadcast(m), m.net)
+    kept = lm.train([texts[:2], texts[2:]], m, m.net)
+    assert all((m.net.p[k] == v).all() for k, v in start.items()) and any((kept.p[k] != v).any() for k, v in start.items())
+    for k, v in kept.p.items():
+        np.testing.assert_allclose(got.p[k], v, rtol=1e-3, atol=1e-3)
+    lm._READY.clear()
+
+
 def test_windows_score_every_id_once_and_gradients_are_right():
     lengths = np.array([1, 40, 33, 7, 100])
     at, valid, counts = lm.windows(lengths, 48, 16)
