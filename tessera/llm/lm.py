@@ -22,6 +22,7 @@ import base64
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -57,8 +58,8 @@ RATES = (2e-3, 7e-4)
 LEAST_WINDOWS = 32_000
 #: Bound on the bytes of these texts, and on the sets of weights that the driver collects of a pass.
 FIRST_BYTES, PARTS = 64 << 20, 256
-#: Places whose logits are held at once.
-BLOCK = 1024
+#: Places whose logits are held at once, of first and of inner ids.
+BLOCK, INNER_BLOCK = 4096, 1024
 #: Characters of a word that are encoded at once; longer words are encoded in pieces.
 PIECE = 64
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -73,9 +74,12 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def joined_words(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+def joined_words(texts: list[str | None] | pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of texts as by ``words_of``, joined in one array of bytes, and how many each text has."""
-    a = pa.array([(t or "").encode("utf-8", "surrogatepass") for t in texts], pa.large_binary()).view(pa.large_string())
+    if isinstance(texts, pa.Array):
+        a = pc.fill_null(texts.cast(pa.large_string()), "")
+    else:
+        a = pa.array([(t or "").encode("utf-8", "surrogatepass") for t in texts], pa.large_binary()).view(pa.large_string())
     split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(a)))
     values, n = split.flatten().cast(pa.large_binary()), np.diff(split.offsets.to_numpy())
     some = pc.greater(pc.binary_length(values), 0)  # a text without words gives one empty piece
@@ -83,6 +87,37 @@ def joined_words(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
     return values.filter(some), n.astype(np.int64)
 
 
+def gathered(parts: Iterator[pa.RecordBatch], rows: int = 1 << 30, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches joined until they have ``rows`` rows or ``size`` bytes."""
+    held, n, b = [], 0, 0
+    for part in parts:
+        if not part.num_rows:
+            continue
+        held.append(part)
+        n, b = n + part.num_rows, b + part.nbytes
+        if n >= rows or b >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, b = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def packed_ids(ids: list[list[int]]) -> pa.Array:
+    """One value of bytes per list: its numbers of 32 bits."""
+    ends = np.cumsum([0, *map(len, ids)])
+    flat = np.fromiter(chain.from_iterable(ids), dtype="<i4", count=int(ends[-1]))
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(flat)])
+
+
+def unpacked_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that ``packed_ids`` packed, joined, and how many each value has."""
+    if not len(column):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view("<i4")
+    return flat.astype(np.int64), np.diff(at).astype(np.int64) // 4
+
+
 class Subwords:
     """Ids of words under a public byte-level vocabulary in a file of ranks."""
 
@@ -104,6 +139,12 @@ class Subwords:
         return out
 
 
+@cache
+def _subwords(tokenizer: str) -> Subwords:
+    """The vocabulary, read once in a worker."""
+    return Subwords(tokenizer)
+
+
 @dataclass
 class Attention:
     """Causal self-attention with a residual path: one layer and head for first ids, one (names end in 1) for inner ids."""
@@ -123,68 +164,87 @@ class Attention:
 
         ``ids`` (windows, length) are inputs, ``valid`` marks those within their text.
         """
-        p, n, m = self.p, ids.shape[1], "1" if inner else ""
+        p, n, m, d = self.p, ids.shape[1], "1" if inner else "", DIM
         x = np.take(p["e" + m], ids, axis=0)
         x += p["pos" + m][:n]
-        xq = x[:, n - scored :]
-        q, k, v = xq @ (p["q" + m] * np.float32(DIM**-0.5)), x @ p["k" + m], x @ p["v" + m]
+        # One product for queries, keys and values; a column of ones beside the values sums the weights with them.
+        qkv = x.reshape(-1, d) @ np.concatenate([p["q" + m] * np.float32(d**-0.5), p["k" + m], p["v" + m], np.zeros((d, 1), x.dtype)], axis=1)
+        qkv[:, 3 * d] = 1
+        qkv = qkv.reshape(len(ids), n, 3 * d + 1)
+        q, k, v = qkv[:, n - scored :, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
         s = np.matmul(q, k.transpose(0, 2, 1))
         np.exp(np.minimum(s, np.float32(40), out=s), out=s)
-        s *= np.tri(scored, n, n - scored, dtype=s.dtype)  # no id sees those ahead of it
+        if scored > 1:
+            s *= _seen(scored, n, s.dtype)  # no id sees those ahead of it
         part = np.flatnonzero(~valid.all(axis=1))
         s[part] *= valid[part][:, None, :]
-        total = s.sum(axis=2, keepdims=True) + np.float32(1e-30)
-        if keep:
-            s /= total
-            c = np.matmul(s, v)
-            return xq + c @ p["o" + m], (x, xq, q, k, v, s, c)
         c = np.matmul(s, v)
-        c /= total
-        return xq + c @ p["o" + m]
-
-    def odds(self, h: np.ndarray, inner: bool) -> np.ndarray:
-        """Logits of the classes for states (places, DIM); they may be changed in place."""
+        total = c[:, :, d:] + np.float32(1e-30)
+        c = c[:, :, :d] / total
+        h = (c.reshape(-1, d) @ p["o" + m]).reshape(c.shape)
+        h += x[:, n - scored :]
+        return (h, (x, q, k, v, s, c, total)) if keep else h
+
+    def head(self, inner: bool) -> tuple[np.ndarray, float, float]:
+        """Weights of the logits with their biases as a last row, and what bounds the logits."""
         u, b = (self.p["u1"], self.p["b1"]) if inner else (self.p["u0"], self.p["b0"])
-        z = h @ u
-        z += b
+        return np.concatenate([u, b[None]]), float((u * u).sum(axis=0).max()), float(np.abs(b).max())
+
+    @staticmethod
+    def odds(h: np.ndarray, head: tuple[np.ndarray, float, float]) -> np.ndarray:
+        """Logits of the classes for states (places, DIM and a one); they may be changed in place."""
+        z = h @ head[0]
         # Exponentials stay finite; the bound on all logits is cheaper than a look at each.
-        if len(h) and math.sqrt(float((h * h).sum(axis=1).max()) * float((u * u).sum(axis=0).max())) + float(np.abs(b).max()) > 60:
+        if len(h) and math.sqrt(float(np.einsum("ij,ij->i", h, h).max()) * head[1]) + head[2] > 60:
             np.minimum(z, 60, out=z)
         return z
 
     def gradient(self, ids: np.ndarray, valid: np.ndarray, target: np.ndarray, weight: np.ndarray, inner: bool) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the weighted targets and its gradient."""
-        p, scored, n, m = self.p, target.shape[1], ids.shape[1], "1" if inner else ""
-        h, (x, xq, q, k, v, s, c) = self.states(ids, valid, scored, inner, keep=True)
-        u, b = ("u1", "b1") if inner else ("u0", "b0")
-        total = max(1.0, float(weight.sum()))
-        used = weight > 0
-        hs, y, w = h[used], target[used], (weight[used] / total).astype(h.dtype)
-        at = np.arange(len(y))
-        dz = self.odds(hs, inner)
-        hit = dz[at, y].astype(float)
-        np.exp(dz, out=dz)
-        sums = dz.sum(axis=1)
-        loss = float(((np.log(sums) - hit) * w).sum())
-        dz *= (w / sums)[:, None]
-        dz[at, y] -= w
+        p, scored, n, m, d = self.p, target.shape[1], ids.shape[1], "1" if inner else "", DIM
+        h, (x, q, k, v, s, c, total) = self.states(ids, valid, scored, inner, keep=True)
         flat = lambda a: a.reshape(-1, a.shape[-1])
-        g = {u: hs.T @ dz, b: dz.sum(axis=0)}
-        dh = np.zeros_like(h)
-        dh[used] = dz @ p[u].T
-        g["o" + m] = flat(c).T @ flat(dh)
-        dc = dh @ p["o" + m].T
+        used = np.flatnonzero(weight.ravel() > 0)
+        y, w = target.ravel()[used], (weight.ravel()[used] / max(1.0, float(weight.sum()))).astype(h.dtype)
+        hs = np.ones((len(used), d + 1), h.dtype)
+        hs[:, :d] = flat(h)[used]
+        head = self.head(inner)
+        back = np.concatenate([head[0][:d].T, np.ones((head[0].shape[1], 1), h.dtype)], axis=1)
+        z, at = self.odds(hs, head), np.arange(len(hs))
+        hit = z[at, y]
+        np.exp(z, out=z)
+        # Sums come with the product, and rows are scaled on the side of the states, which is short.
+        dhs = z @ back
+        sums = dhs[:, d].copy()
+        loss = float((np.log(sums) - hit) @ w)
+        scale = (w / sums)[:, None]
+        z[at, y] -= sums
+        gu = z.T @ (hs * scale)
+        g = {"u1" if inner else "u0": gu[:, :d].T, "b1" if inner else "b0": gu[:, d]}
+        dhs *= scale
+        dhs -= w[:, None] * np.take(back, y, axis=0)
+        dh = np.zeros((h.shape[0] * scored, d), h.dtype)
+        dh[used] = dhs[:, :d]
+        g["o" + m] = flat(c).T @ dh
+        dc = np.empty((len(ids), scored, d + 1), h.dtype)
+        dc[:, :, :d] = (dh @ p["o" + m].T).reshape(c.shape)
+        dc[:, :, :d] /= total
+        dc[:, :, d] = -np.einsum("ijk,ijk->ij", dc[:, :, :d], c)
         ds = np.matmul(dc, v.transpose(0, 2, 1))
-        dv = np.matmul(s.transpose(0, 2, 1), dc)
-        ds -= (dc * c).sum(axis=2, keepdims=True)
         ds *= s
-        dq, dk = np.matmul(ds, k) * np.float32(DIM**-0.5), np.matmul(ds.transpose(0, 2, 1), q)
-        g["q" + m], g["k" + m], g["v" + m] = flat(xq).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dk @ p["k" + m].T + dv @ p["v" + m].T
-        dx[:, n - scored :] += dh + dq @ p["q" + m].T
-        # Rows of one input are summed next to each other.
-        order = np.argsort(ids, axis=None, kind="stable")
-        sorted_ids = ids.ravel()[order]
+        # Gradients of queries, keys and values side by side, as they were made.
+        dqkv = np.zeros((len(ids), n, 3 * d), h.dtype)
+        dqkv[:, n - scored :, :d] = np.matmul(ds, k)
+        dqkv[:, :, d : 2 * d] = np.matmul(ds.transpose(0, 2, 1), q)
+        dqkv[:, :, 2 * d :] = np.matmul(s.transpose(0, 2, 1), dc[:, :, :d])
+        dqkv[:, n - scored :, :d] *= np.float32(d**-0.5)
+        g["q" + m], g["k" + m], g["v" + m] = np.split(flat(x).T @ flat(dqkv), 3, axis=1)
+        dx = (flat(dqkv) @ np.concatenate([p["q" + m], p["k" + m], p["v" + m]], axis=1).T).reshape(x.shape)
+        dx[:, n - scored :] += dh.reshape(h.shape)
+        # Rows of one input are summed next to each other; ids of 16 bits are sorted by radix.
+        short = ids.ravel().astype(np.int16)
+        order = np.argsort(short, kind="stable")
+        sorted_ids = short[order]
         heads = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
         g["e" + m] = np.zeros_like(p["e" + m])
         g["e" + m][sorted_ids[heads]] = np.add.reduceat(flat(dx)[order], heads, axis=0)
@@ -193,23 +253,35 @@ class Attention:
         return loss, g
 
 
+@cache
+def _seen(scored: int, n: int, dtype: np.dtype) -> np.ndarray:
+    """Which of ``n`` places the last ``scored`` of them see."""
+    return np.tri(scored, n, n - scored, dtype=dtype)
+
+
 class Adam:
-    """Steps of Adam, with gradients held to a norm of 1, on parameters by name."""
+    """Steps of Adam, with gradients held to a norm of 1, on all parameters of ``p`` (or those of ``names``), which become parts of one array."""
 
-    def __init__(self, p: dict[str, np.ndarray]):
-        self.p = p
-        self.mom, self.var = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-        self.t = dict.fromkeys(p, 0)
+    def __init__(self, p: dict[str, np.ndarray], names: Iterable[str] | None = None):
+        self.names = list(p if names is None else names)
+        self.flat = np.concatenate([p[k].ravel() for k in self.names])
+        at = np.cumsum([0, *[p[k].size for k in self.names]])
+        for k, a, b in zip(self.names, at[:-1], at[1:], strict=True):
+            p[k] = self.flat[a:b].reshape(p[k].shape)
+        self.mom, self.var, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
 
     def step(self, g: dict[str, np.ndarray], rate: float) -> None:
-        norm = math.sqrt(sum(float((gk * gk).sum()) for gk in g.values()))
-        for k, gk in g.items():
-            gk = gk * np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-            self.t[k] += 1
-            t = self.t[k]
-            self.mom[k] = 0.9 * self.mom[k] + 0.1 * gk
-            self.var[k] = 0.99 * self.var[k] + 0.01 * gk * gk
-            self.p[k] -= (rate * (self.mom[k] / (1 - 0.9**t)) / (np.sqrt(self.var[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+        gk = np.concatenate([g[k].ravel() for k in self.names])
+        gk *= np.float32(min(1.0, 1.0 / max(math.sqrt(float(gk @ gk)), 1e-9)))
+        self.t += 1
+        self.mom *= np.float32(0.9)
+        self.mom += np.float32(0.1) * gk
+        gk *= gk
+        self.var *= np.float32(0.99)
+        self.var += np.float32(0.01) * gk
+        down = np.sqrt(self.var / np.float32(1 - 0.99**self.t))
+        down += np.float32(1e-8)
+        self.flat -= np.float32(rate / (1 - 0.9**self.t)) * self.mom / down
 
 
 def windows(lengths: np.ndarray, window: int, context: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,54 +325,97 @@ class Model:
 
     BOS = FIRST + INNER
 
-    def spelled(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs (first class, inner classes), targets (inner classes, end of word), lengths and joined ids of words."""
-        n = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.array([i for x in ids for i in x], dtype=np.int64)
+    def spelled(self, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs (first class, inner classes) and targets (inner classes, end of word) of words with ``n`` ids each, joined in ``flat``."""
         begins = np.cumsum(n) - n
         inputs = self.inner_class[flat] + FIRST
         inputs[begins] = self.other_class[flat[begins]]
         target = np.empty(len(flat), dtype=np.int64)
         target[:-1] = self.inner_class[flat[1:]]
         target[begins + n - 1] = INNER - 1
-        return inputs, target, n, flat
+        return inputs, target
 
-    def encode(self, words: list[bytes], subwords: Subwords) -> np.ndarray:
+    def rest(self, flat: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Natural log of the rest of each word outside the table, given the class of its first id."""
-        if not words:
+        if not len(n):
             return np.zeros(0)
-        inputs, target, n, flat = self.spelled([subwords(w) for w in words])
+        inputs, target = self.spelled(flat, n)
         begins = np.cumsum(n) - n
         within = np.zeros(len(flat))
         within[:-1] = self.inner_log[flat[1:]]
         within[begins + n - 1] = 0.0
-        lp, _ = score_places(self.net, inputs, target, n, INNER_WINDOW, INNER_CONTEXT, inner=True)
+        lp = score_inner(self.net, inputs, target, n)
         lp = np.log((1 - FLAT) * np.exp(lp) + FLAT * self.inner_share[target])
         return self.other_log[flat[begins]] + np.add.reduceat(lp + within, begins)
 
+    def encode(self, words: list[bytes], subwords: Subwords) -> np.ndarray:
+        """``rest`` of these words."""
+        return self.rest(*unpacked_ids(packed_ids([subwords(w) for w in words])))
+
 
-def score_places(net: Attention, inputs: np.ndarray, target: np.ndarray, lengths: np.ndarray, window: int, context: int, *, inner: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of every target, each once, over batches of windows; and of any word outside the table."""
+def score_places(net: Attention, inputs: np.ndarray, target: np.ndarray, lengths: np.ndarray, window: int, context: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of every target of first ids, each once, over batches of windows; and of any word outside the table."""
     at, valid, counts = windows(lengths, window, context)
-    out, outside = np.zeros(len(inputs)), np.zeros(0 if inner else len(inputs))
+    out, outside = np.zeros(len(inputs)), np.zeros(len(inputs))
     kinds = np.repeat(np.eye(2, dtype=net.p["u0"].dtype), (FREQUENT, OTHER), axis=0)
-    step = max(1, (BLOCK if not inner else BLOCK // 2) // (window - context))
+    head, step = net.head(False), max(1, BLOCK // (window - context))
     for i in range(0, len(at), step):
-        a, ok, c = at[i : i + step], valid[i : i + step], counts[i : i + step]
-        h = net.states(inputs[a], ok, window - context, inner)[c]
-        places = a[:, context:][c]
-        z = net.odds(h, inner)
+        a, c = at[i : i + step], np.flatnonzero(counts[i : i + step])
+        h = _with_one(net.states(inputs[a], valid[i : i + step], window - context, False), c)
+        places = a[:, context:].ravel()[c]
+        z = net.odds(h, head)
         hit = z[np.arange(len(z)), target[places]]
         np.exp(z, out=z)
-        if inner:
-            out[places] = hit - np.log(z.sum(axis=1))
-        else:
-            frequent, other = (z @ kinds).T  # a product is faster than sums of short rows
-            total = np.log(frequent + other)
-            out[places], outside[places] = hit - total, np.log(other) - total
+        frequent, other = (z @ kinds).T  # a product is faster than sums of short rows
+        total = np.log(frequent + other)
+        out[places], outside[places] = hit - total, np.log(other) - total
     return out, outside
 
 
+def _with_one(h: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The ``used`` ones of these states, each with a one for the bias."""
+    out = np.ones((len(used), h.shape[-1] + 1), h.dtype)
+    out[:, :-1] = h.reshape(-1, h.shape[-1])[used]
+    return out
+
+
+def score_inner(net: Attention, inputs: np.ndarray, target: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Log probability of every target of inner ids, each once; places of the first windows that see the same ids share their logits."""
+    at, valid, counts = windows(lengths, INNER_WINDOW, INNER_CONTEXT)
+    out, head = np.zeros(len(inputs)), net.head(True)
+
+    def put(h: np.ndarray, places: np.ndarray, which: np.ndarray) -> None:
+        """Targets at ``places`` under the states h[which]."""
+        z = net.odds(h, head)
+        hit = z[which, target[places]]
+        np.exp(z, out=z)
+        out[places] = hit - np.log(z @ np.ones(z.shape[1], z.dtype))[which]
+
+    first = ~valid[:, 0]  # begins its word
+    for j in range(INNER_WINDOW - INNER_CONTEXT):
+        rows = np.flatnonzero(first & counts[:, j])
+        n = INNER_CONTEXT + j + 1
+        key = np.zeros(len(rows), np.int64)
+        for i in range(INNER_CONTEXT, n):
+            key = key * (FIRST + INNER) + inputs[at[rows, i]]
+        order = np.argsort(key, kind="stable")
+        new = np.r_[True, key[order[1:]] != key[order[:-1]]] if len(rows) else np.zeros(0, bool)
+        group, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+        for b in range(0, len(heads), INNER_BLOCK):
+            one = rows[order[heads[b : b + INNER_BLOCK]]]
+            h = net.states(inputs[at[one, :n]], valid[one, :n], 1, True)
+            some = slice(heads[b], heads[b + INNER_BLOCK] if b + INNER_BLOCK < len(heads) else None)
+            put(_with_one(h, np.arange(len(one))), at[rows[order[some]], n - 1], group[some] - b)
+    later = np.flatnonzero(~first)
+    step = INNER_BLOCK // (INNER_WINDOW - INNER_CONTEXT)
+    for i in range(0, len(later), step):
+        one = later[i : i + step]
+        c = np.flatnonzero(counts[one])
+        h = _with_one(net.states(inputs[at[one]], valid[one], INNER_WINDOW - INNER_CONTEXT, True), c)
+        put(h, at[one][:, INNER_CONTEXT:].ravel()[c], np.arange(len(c)))
+    return out
+
+
 def _classes(counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Class of each id, below ``n``, and natural log of its share in the class; the last class takes all rarer ids."""
     top = np.argsort(-counts, kind="stable")[: n - 1]
@@ -325,12 +440,12 @@ def train(batches: Iterable[list[str | None]], m: Model, net: Attention, *, step
     some = [some[i] for i in r.permutation(len(some))[:200_000]]
     sets = [(inputs, target, *windows(lengths, WINDOW, CONTEXT), False, 16)]
     if some:
-        inputs, target, lengths, _ = m.spelled([sub(w) for w in some])
-        sets.append((inputs, target, *windows(lengths, INNER_WINDOW, INNER_CONTEXT), True, 384))
-    adam = Adam(net.p)
+        flat, lengths = unpacked_ids(packed_ids([sub(w) for w in some]))
+        sets.append((*m.spelled(flat, lengths), *windows(lengths, INNER_WINDOW, INNER_CONTEXT), True, 384))
+    adams = [Adam(net.p, [k for k in net.p if k.endswith("1") == s[-2]]) for s in sets]
     for step in range(steps):
         rate = 6e-3 * min(1.0, (steps - step) / (0.6 * steps))
-        for x, y, at, valid, counts, inner, size in sets:
+        for (x, y, at, valid, counts, inner, size), adam in zip(sets, adams, strict=True):
             i = r.integers(0, len(at), size)
             adam.step(net.gradient(x[at[i]], valid[i], y[at[i][:, at.shape[1] - counts.shape[1] :]], counts[i].astype(np.float32), inner)[1], rate)
     return net
@@ -371,7 +486,13 @@ def _first_class(m: Model, sub: Subwords, words: list[bytes]) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def place_words(texts: list[str | None], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+def place_words(texts: list[str | None] | pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """``placed``, with the other words as a list."""
+    index, cls, n, ends, ws, other = placed(texts, m)
+    return index, cls, n, ends, ws.to_pylist(), other
+
+
+def placed(texts: list[str | None] | pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     """For words and ends of texts, joined: number in the table (-1: not in it, -2: an end), class; lengths, places of ends, other words and their places."""
     table, sub = _ready(m)
     words, n = joined_words(texts)
@@ -390,14 +511,16 @@ def place_words(texts: list[str | None], m: Model) -> tuple[np.ndarray, np.ndarr
     if m.word_class is not None and len(m.word_class):
         cls[known] = m.word_class[index[known]]
     other = np.flatnonzero(index == -1)
-    ws = words.filter(pa.array(found == -1)).to_pylist()
-    cls[other] = _first_class(m, sub, ws)
+    ws = words.filter(pa.array(found == -1))
+    if len(ws):
+        each = ws.dictionary_encode()
+        cls[other] = _first_class(m, sub, each.dictionary.to_pylist())[each.indices.to_numpy()]
     return index, cls, n, ends, ws, other
 
 
-def first_places(texts: list[str | None], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def first_places(texts: list[str | None] | pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, targets and lengths of the first classes of texts, each with its end."""
-    _, target, lengths, ends, _, _ = place_words(texts, m)
+    _, target, lengths, ends, _, _ = placed(texts, m)
     return shifted(target, ends, lengths), target, lengths
 
 
@@ -410,24 +533,23 @@ def shifted(cls: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.ndarra
 
 
 def train_on(rows: DataFrame, model: Broadcast, net: Attention, rate: float, passes: int, *, inner: bool) -> Attention:
-    """``net`` after steps on all ``rows`` (one column: texts, or for inner ids words).
+    """``net`` after steps on all ``rows`` (one column: texts, or for inner ids the packed ids of words).
 
     Every task goes over its rows from the same start; the results are averaged by windows.
     """
     start = {k: v for k, v in net.p.items() if (k.endswith("1")) == inner}
-    column = rows.columns[0]
 
-    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, here = model.value, Attention({k: v.copy() for k, v in start.items()})
         adam, r, seen, step = Adam(here.p), np.random.default_rng(13), 0, 0
         size = 384 if inner else 64
-        for part in parts:
-            values = [t if isinstance(t, str) else None for t in part[column]]
+        for part in gathered(parts, 4096) if inner else gathered(parts):
             if inner:
-                x, y, lengths, _ = m.spelled([_ready(m)[1](w.encode("utf-8", "surrogatepass")) for w in values if w])
+                flat, lengths = unpacked_ids(part.column(0))
+                x, y = m.spelled(flat, lengths)
                 at, valid, counts = windows(lengths, INNER_WINDOW, INNER_CONTEXT)
             else:
-                x, y, lengths = first_places(values, m)
+                x, y, lengths = first_places(part.column(0), m)
                 at, valid, counts = windows(lengths, WINDOW, CONTEXT)
             seen += len(at)
             for _ in range(passes):
@@ -438,7 +560,7 @@ def train_on(rows: DataFrame, model: Broadcast, net: Attention, rate: float, pas
                     g = here.gradient(x[at[j]], valid[j], y[at[j][:, at.shape[1] - counts.shape[1] :]], counts[j].astype(np.float32), inner)[1]
                     adam.step(g, rate * min(1.0, step / 20))
         if seen:
-            yield pd.DataFrame({"k": [_task() % PARTS], "n": [seen], "p": [_packed({k: here.p[k] for k in start})]})
+            yield pa.RecordBatch.from_arrays([pa.array([_task() % PARTS], pa.int32()), pa.array([seen], pa.int64()), pa.array([_packed({k: here.p[k] for k in start})])], ["k", "n", "p"])
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         n = int(part["n"].sum())
@@ -446,7 +568,7 @@ def train_on(rows: DataFrame, model: Broadcast, net: Attention, rate: float, pas
         return pd.DataFrame({"n": [n], "p": [(total / n).astype("<f8").tobytes()]})
 
     # Sums in two levels: the driver gets PARTS sets of weights at most, however many tasks there are.
-    got = rows.mapInPandas(fit, "k int, n long, p binary").groupBy("k").applyInPandas(add, "n long, p binary").collect()
+    got = rows.mapInArrow(fit, "k int, n long, p binary").groupBy("k").applyInPandas(add, "n long, p binary").collect()
     if not got:
         return net
     total = sum(r.n for r in got)
@@ -463,21 +585,22 @@ def id_counts(vocabulary: DataFrame, least: int | None, tokenizer: str) -> tuple
     words, in how many other words each inner id is found (with repeats), and the number of other words."""
     n_ids = Subwords(tokenizer).n_ids
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sub, n = Subwords(tokenizer), np.zeros((3, n_ids), dtype=np.int64)
-        for part in parts:
-            ids = [sub(w.encode("utf-8", "surrogatepass")) for w in part["word"]]
-            c = part["c"].to_numpy()
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((3, n_ids), dtype=np.int64)
+        for part in gathered(parts, 16384):
+            c, (flat, lengths) = part.column(0).to_numpy(), unpacked_ids(part.column(1))
             other = np.ones(len(c), bool) if least is None else c < least
-            first = np.array([x[0] for x in ids], dtype=np.int64)
+            begins = np.cumsum(lengths) - lengths
             for i in (0, 1):
-                n[i] += np.bincount(first[other == i], weights=c[other == i], minlength=n_ids).astype(np.int64)
-            n[2] += np.bincount(np.fromiter(chain.from_iterable(x[1:] for x, o in zip(ids, other.tolist(), strict=True) if o), dtype=np.int64), minlength=n_ids)
+                n[i] += np.bincount(flat[begins[other == i]], weights=c[other == i], minlength=n_ids).astype(np.int64)
+            inner = np.repeat(other, lengths)
+            inner[begins] = False
+            n[2] += np.bincount(flat[inner], minlength=n_ids)
         k, i = np.nonzero(n)
-        yield pd.DataFrame({"kind": k, "id": i, "n": n[k, i]})
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(n[k, i])], ["kind", "id", "n"])
 
     out = np.zeros((3, n_ids))
-    for r in vocabulary.mapInPandas(count, "kind int, id int, n long").groupBy("kind", "id").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in vocabulary.select("c", "ids").mapInArrow(count, "kind int, id int, n long").groupBy("kind", "id").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.kind, r.id] = r.n
     others = vocabulary.filter(F.col("c") < least).count() if least else vocabulary.count()
     return out[0], out[1], out[2], others
@@ -523,16 +646,14 @@ def _ready(m: Model) -> tuple[dict[bytes, int], Subwords]:
         _READY.clear()
         _CLASSES.clear()
         ws = m.words.split(b"\n") if m.words else []
-        _READY[key] = ({w: i for i, w in enumerate(ws)}, Subwords(m.tokenizer), m, pa.array(ws, pa.large_binary()))
+        _READY[key] = ({w: i for i, w in enumerate(ws)}, _subwords(m.tokenizer), m, pa.array(ws, pa.large_binary()))
     return _READY[key][:2]
 
 
-def score_batch(texts: list[str | None], m: Model) -> list[tuple]:
+def score_batch(texts: pa.Array, m: Model) -> list[pa.Array]:
     """Per text: n_tokens; n_known, base_score and score of what the table of frequent words covers; the other words,
     and for each the log10 of its class and of any word outside the table."""
-    if not texts:
-        return []
-    index, cls, n, ends, ws, other = place_words(texts, m)
+    index, cls, n, ends, ws, other = placed(texts, m)
     begins = ends - n + 1
     rest, base = np.zeros(len(index)), np.zeros(len(index))
     known = index >= 0
@@ -540,45 +661,63 @@ def score_batch(texts: list[str | None], m: Model) -> list[tuple]:
         i = index[known]
         rest[known], base[known] = m.word_log[i], m.word_base[i]
     base[ends], known[ends] = m.end_base, m.end_known
-    lp, outside = score_places(m.net, shifted(cls, ends, n), cls, n, WINDOW, CONTEXT, inner=False)
+    lp, outside = score_places(m.net, shifted(cls, ends, n), cls, n, WINDOW, CONTEXT)
     first, any_other = lp[other] / math.log(10), outside[other] / math.log(10)
     lp = np.log10((1 - BASE) * 10.0 ** (lp / math.log(10) + rest) + BASE * 10.0**base)
     lp[other] = 0.0  # these are added where the counts of all words are
     total, based, knew = np.add.reduceat(lp, begins), np.add.reduceat(base, begins), np.add.reduceat(known.astype(np.int64), begins)
-    cuts = np.searchsorted(other, np.r_[begins, len(index)])
-    rare = [w.decode("utf-8", "replace") for w in ws]
-    return [(int(k), int(q), float(x), float(y), rare[a:b], first[a:b], any_other[a:b]) for k, q, x, y, a, b in zip(n, knew, based, total, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    cuts = pa.array(np.searchsorted(other, np.r_[begins, len(index)]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(cuts, v) for v in (_strings(ws), pa.array(first), pa.array(any_other))]
+    return [pa.array(n), pa.array(knew), pa.array(based), pa.array(total), *lists]
+
+
+def _strings(words: pa.Array) -> pa.Array:
+    return words.view(pa.large_string()).cast(pa.string())
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, c (occurrences in the rows to learn from) for every word of ``docs``; words are counted in each task and then summed."""
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned: list[pa.Array] = []
         others: list[pa.Array] = []
 
-        def out() -> pd.DataFrame:
+        def out() -> Iterator[pa.RecordBatch]:
             c = pc.value_counts(pa.chunked_array(learned, pa.large_binary()))
             held = pc.unique(pa.chunked_array(others, pa.large_binary()))
-            ws, ns = c.field(0).to_pylist() + held.to_pylist(), c.field(1).to_pylist() + [0] * len(held)
+            words = pa.concat_arrays([c.field(0), held])
+            counts = np.r_[c.field(1).to_numpy(), np.zeros(len(held), np.int64)]
             learned.clear()
             others.clear()
-            return pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in ws], "c": ns})
+            for i in range(0, len(words), 1 << 16):
+                yield pa.RecordBatch.from_arrays([_strings(words[i : i + (1 << 16)]), pa.array(counts[i : i + (1 << 16)])], ["word", "c"])
 
-        n = 0
+        n = size = 0
         for part in parts:
-            learn = part["learn"].to_numpy(dtype=bool)
-            for found, which in ((learned, learn), (others, ~learn)):
-                found.append(joined_words([t if isinstance(t, str) else None for t in part["text"][which]])[0])
-                n += len(found[-1])
-            if n > 4_000_000:
-                yield out()
-                n = 0
+            learn = part.column("learn")
+            for found, which in ((learned, learn), (others, pc.invert(learn))):
+                found.append(joined_words(part.column("text").filter(which))[0])
+                n, size = n + len(found[-1]), size + found[-1].nbytes
+            if n > 4_000_000 or size > 128 << 20:
+                yield from out()
+                n = size = 0
         if n:
-            yield out()
+            yield from out()
 
     rows = docs.select("text", (fold(F.col("doc_id"), FOLDS) != HELD_OUT).alias("learn"))
-    return rows.mapInPandas(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def with_ids(counted: DataFrame, tokenizer: str) -> DataFrame:
+    """``word_counts`` with the subword ids of each word, packed; so each word is parted once."""
+
+    def part_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sub = _subwords(tokenizer)
+        for part in parts:
+            words = part.column(0).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([*part.columns, packed_ids([sub(w) for w in words])], ["word", "c", "ids"])
+
+    return counted.select("word", "c").mapInArrow(part_words, "word string, c long, ids binary")
 
 
 def least_count(vocabulary: DataFrame, most: int) -> int | None:
@@ -615,7 +754,7 @@ def fit_model(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, max_freque
     spark = docs.sparkSession
     bounded_batches(spark)
     learned = docs.filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    everything = materialize(word_counts(docs), "vocabulary")
+    everything = materialize(with_ids(word_counts(docs), tokenizer), "vocabulary")
     vocabulary = everything.filter("c > 0")
     n_texts = learned.count()
     sums = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
@@ -633,7 +772,7 @@ def fit_model(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, max_freque
     for i, rate in enumerate(RATES if n_texts else ()):
         turn = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(len(RATES))) == i  # noqa: B023, E731
         fitted.net = train_on(learned.filter(turn("doc_id")).select("text"), model, fitted.net, rate, passes, inner=False)
-        fitted.net = train_on(others.filter(turn("word")).select("word"), model, fitted.net, rate, 1, inner=True)
+        fitted.net = train_on(others.filter(turn("word")).select("ids"), model, fitted.net, rate, 1, inner=True)
     return fitted, model, everything, total, distinct, least
 
 
@@ -650,29 +789,27 @@ def score_texts(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER, max_freq
     docs = docs.select("doc_id", "text")
     fitted, model, vocabulary, total, distinct, least = fit_model(docs, tokenizer=tokenizer, max_frequent=max_frequent, max_training=max_training)
     net = fitted.net
-    numbers = ("n_tokens", "n_known", "base_score", "score", "word", "first", "any")
 
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         m.net = net
-        for part in parts:
-            got = score_batch([t if isinstance(t, str) else None for t in part.pop("text")], m)
-            yield part.assign(**{k: [g[i] for g in got] for i, k in enumerate(numbers)})
+        for part in gathered(parts):
+            ids = [part.column(k) for k in ("_row", "doc_id", "named")]
+            yield pa.RecordBatch.from_arrays([*ids, *score_batch(part.column("text"), m)], ["_row", "doc_id", "named", "n_tokens", "n_known", "base_score", "score", "word", "first", "any"])
 
-    def spell(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spell(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         m.net = net
-        sub = _ready(m)[1]
-        for part in parts:
-            part["rest"] = m.encode([w.encode("utf-8", "surrogatepass") for w in part["word"]], sub) / math.log(10)
-            yield part
+        for part in gathered(parts, 16384):
+            rest = m.rest(*unpacked_ids(part.column("ids"))) / math.log(10)
+            yield pa.RecordBatch.from_arrays([part.column("word"), part.column("c"), pa.array(rest)], ["word", "c", "rest"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), "text")
     schema = "_row long, doc_id long, named boolean, n_tokens long, n_known long, base_score double, score double, word array<string>, first array<double>, any array<double>"
-    scored = materialize(rows.mapInPandas(score, schema), "scored")
+    scored = materialize(rows.mapInArrow(score, schema), "scored")
     # What the table doesn't cover meets its count and its spelling here, both made once per distinct word.
     others = vocabulary.filter(F.col("c") < least) if least else vocabulary
-    spelled = others.mapInPandas(spell, "word string, c long, rest double")
+    spelled = others.mapInArrow(spell, "word string, c long, rest double")
     other = scored.select("_row", F.explode(F.arrays_zip("word", "first", "any")).alias("r")).select("_row", "r.word", "r.first", "r.any")
     ten = lambda x: F.pow(F.lit(10.0), x)
     c = F.col("c")

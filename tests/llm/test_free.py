@@ -492,6 +492,26 @@ def test_first_steps_are_in_order_and_leave_the_start_as_it_was(spark):
     lm._READY.clear()
 
 
+def test_inner_ids_seen_alike_share_their_logits_and_words_are_parted_once(spark, monkeypatch):
+    net, r = lm.Attention.new(), np.random.default_rng(3)
+    lengths = r.integers(1, 12, 300)
+    inputs = r.integers(lm.FIRST, lm.FIRST + 3, lengths.sum())
+    inputs[np.cumsum(lengths) - lengths] = r.integers(lm.FREQUENT, lm.FREQUENT + 2, len(lengths))
+    target, rows = r.integers(0, lm.INNER, lengths.sum()), []
+    monkeypatch.setattr(lm.Attention, "odds", staticmethod(lambda h, head, f=lm.Attention.odds: (rows.append(len(h)), f(h, head))[1]))
+    got = lm.score_inner(net, inputs, target, lengths)
+    assert sum(rows) < 0.8 * len(inputs)
+    at, valid, counts = lm.windows(lengths, lm.INNER_WINDOW, lm.INNER_CONTEXT)
+    z = net.states(inputs[at], valid, counts.shape[1], True)[counts] @ net.p["u1"] + net.p["b1"]
+    places, want = at[:, lm.INNER_CONTEXT :][counts], z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    np.testing.assert_allclose(got[places], want[np.arange(len(z)), target[places]], rtol=1e-4, atol=1e-4)
+    column = lm.packed_ids([[5, 6], [7], [1, 2, 3]])
+    assert [x.tolist() for x in lm.unpacked_ids(column[1:])] == [[7, 1, 2, 3], [1, 3]] and len(lm.unpacked_ids(column[:0])[0]) == 0
+    words = lm.with_ids(spark.createDataFrame([("été", 2), ("x" * 200, 1)], "word string, c long"), lm.DEFAULT_TOKENIZER).collect()
+    sub = lm.Subwords(lm.DEFAULT_TOKENIZER)
+    assert [np.frombuffer(w.ids, "<i4").tolist() for w in words] == [sub(w.word.encode()) for w in words]
+
+
 def test_windows_score_every_id_once_and_gradients_are_right():
     lengths = np.array([1, 40, 33, 7, 100])
     at, valid, counts = lm.windows(lengths, 48, 16)
